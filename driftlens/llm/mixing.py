@@ -68,7 +68,7 @@ def targets(sources: DataFrame, epochs_most: int = 3, weights: tuple[int, ...] =
     return levels.select("source", "source_size", "weight", share.alias("target"))
 
 
-def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", epochs_most: int = 3, weights: tuple[int, ...] = WEIGHTS, range_rows: int = 20_000, seed: str = SEED) -> DataFrame:
+def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", epochs_most: int = 3, weights: tuple[int, ...] = WEIGHTS, range_rows: int = 4_000, seed: str = SEED) -> DataFrame:
     """Per row: id, source, size, source_size, target, key, digest, copies, taken."""
     narrow = docs.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(text_col).alias("size"),
