@@ -136,50 +136,69 @@ def votes(texts: list[str | None]) -> list:
     return [np.diff(ptr), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), rows)]
 
 
-def scan(docs: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFrame:
-    """Per row: id_cols, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
+def bit(at: F.Column) -> F.Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), at.cast("int"))
 
-    spans: array of (label, is_base, first, last, share) of verified places, by position.
+
+def names_of(mask: F.Column, base: bool | None) -> F.Column:
+    """Sorted distinct labels of the templates in a bit mask, joined by commas."""
+    found = {t: (label, own) for _, _, t, _, _, label, own in template_rows()}
+    some = [F.when(mask.bitwiseAND(F.lit(1 << t)) != 0, F.lit(label)) for t, (label, own) in found.items() if base is None or own == base]
+    return F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*some)))), ",")
+
+
+def scan(docs: DataFrame, id_cols: list[str], text_col: str = "text", spans: bool = False) -> DataFrame:
+    """Per row: id_cols, n_words, n_base, first_word, last_word, base_labels, labels, score.
+
+    With ``spans`` also the verified places: array of (first, last, label, is_base, share), by position.
+    Sets of grams and of templates are bit masks, so that all aggregates have fixed-width buffers.
     """
     spark = docs.sparkSession
-    named = docs.select(*[docs[c] for c in id_cols], docs[text_col].alias("__t"), F.monotonically_increasing_id().alias("__row"))
+    named = docs.select(*[docs[c].alias(f"__{i}") for i, c in enumerate(id_cols)], docs[text_col].alias("__t"), F.monotonically_increasing_id().alias("__row"))
+    ids = ["__row", *(f"__{i}" for i in range(len(id_cols)))]
     gram = pa.struct([("k", pa.int32()), ("hash", pa.int64()), ("pos", pa.int64())])
-    found = map_texts(named, "__t", [*id_cols, "__row"], [("n_words", "bigint", pa.int64()), ("grams", "array<struct<k:int,hash:bigint,pos:bigint>>", pa.list_(gram))], votes)
+    found = map_texts(named, "__t", ids, [("n_words", "bigint", pa.int64()), ("grams", "array<struct<k:int,hash:bigint,pos:bigint>>", pa.list_(gram))], votes)
     # One exchange by row: the aggregates and windows below keep to it.
     found = found.repartition("__row")
-    templates = F.broadcast(spark.createDataFrame(template_rows(), "k int, hash bigint, template int, gram bigint, grams bigint, label string, is_base boolean"))
-    each = found.select("__row", F.struct(*id_cols, "n_words").alias("own"), F.explode_outer("grams").alias("g")).select("__row", "own", F.col("g.k").alias("k"), F.col("g.hash").alias("hash"), F.col("g.pos").alias("pos"))
-    each = each.join(templates, ["k", "hash"], "left")
-    diagonal = F.col("pos") - F.col("gram")
-    voted = each.groupBy("__row", "template", "label", "is_base", "grams", diagonal.alias("diagonal")).agg(
-        F.first("own").alias("own"), F.count("template").alias("n"), F.collect_set("gram").alias("held"), F.min("pos").alias("lo"), F.max("pos").alias("hi"),
-    )
+    own = [*ids, "n_words"]
+    # A few hundred rows, fixed in this module.
+    templates = F.broadcast(spark.createDataFrame(template_rows(), "k int, hash bigint, template int, gram bigint, grams bigint, label string, is_base boolean").drop("label"))
+    each = found.select(*own, F.explode_outer("grams").alias("g")).select(*own, "g.*")
+    each = each.join(templates, ["k", "hash"], "left").withColumn("diagonal", F.col("pos") - F.col("gram"))
+    held = [F.bit_or(F.when(F.floor(F.col("gram") / 60) == w, bit(F.col("gram") % 60)).otherwise(F.lit(0).cast("long"))).alias(f"held_{w}") for w in (0, 1)]
+    by = [*own, "template", "is_base", "grams"]
+    voted = each.groupBy(*by, "diagonal").agg(F.count("template").alias("n"), *held, F.min("pos").alias("lo"), F.max("pos").alias("hi"))
     # Neighbouring diagonals of a notice; a lone vote of a longer notice doesn't join them.
-    strong = voted.withColumn("weak", ~F.coalesce("is_base", F.lit(True)) & (F.col("n") < 2) & (F.col("grams") > 3))
+    is_base = F.coalesce("is_base", F.lit(True))
+    strong = voted.withColumn("weak", ~is_base & (F.col("n") < 2) & (F.col("grams") > 3))
     line = Window.partitionBy("__row", "template", "weak").orderBy("diagonal", "lo")
-    near = (F.col("diagonal") - F.lag("diagonal").over(line) <= GAP) & ~F.coalesce("is_base", F.lit(True)) & (F.col("lo") - F.lag("lo").over(line) <= WIDTH * F.col("grams"))
-    merged = strong.withColumn("jump", F.when(F.coalesce(near, F.lit(False)), 0).otherwise(1)).withColumn("group", F.sum("jump").over(line))
-    spans = merged.groupBy("__row", "template", "label", "is_base", "grams", "weak", "group").agg(
-        F.first("own").alias("own"), F.min("diagonal").alias("start"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("held")))).alias("held"), F.max("n").alias("n"),
+    near = (F.col("diagonal") - F.lag("diagonal").over(line) <= GAP) & ~is_base & (F.col("lo") - F.lag("lo").over(line) <= WIDTH * F.col("grams"))
+    merged = strong.withColumn("jump", F.when(F.coalesce(near, F.lit(False)), 0).otherwise(1)).withColumn("part", F.sum("jump").over(line))
+    places = merged.groupBy(*by, "weak", "part").agg(
+        F.min("diagonal").alias("start"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+        *[F.bit_or(f"held_{w}").alias(f"held_{w}") for w in (0, 1)], F.max("n").alias("n"),
     )
-    k = F.when(F.col("is_base"), PHRASE_K).otherwise(NOTICE_K)
-    share = F.when(F.col("weak"), 0.0).when(F.col("is_base"), (F.col("n") == F.col("grams")).cast("double")).when(
-        F.col("hi") - F.col("lo") + 1 <= WIDTH * F.col("grams") + GAP, F.least(F.lit(1.0), F.col("held") / F.col("grams"))
-    ).otherwise(0.0)
-    spans = spans.withColumn("share", F.coalesce(share, F.lit(0.0))).withColumn("ok", F.coalesce(F.col("share") >= F.when(F.col("is_base"), 1.0).otherwise(LEAST_SHARE), F.lit(False)))
-    base = F.col("ok") & F.col("is_base")
-    span = F.struct(F.col("lo").alias("first"), (F.col("hi") + k - 1).alias("last"), "label", "is_base", "share")
-    out = spans.groupBy("__row").agg(
-        F.first("own").alias("own"), F.sum(F.coalesce(base, F.lit(False)).cast("long")).alias("n_base"),
-        F.min(F.when(base, F.col("start"))).alias("first_word"), F.max(F.when(base, F.col("start"))).alias("last_word"),
-        F.array_join(F.array_sort(F.collect_set(F.when(base, F.col("label")))), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("ok"), F.col("label")))), ",").alias("labels"),
-        F.max("share").alias("score"), F.array_sort(F.collect_list(F.when(F.col("ok"), span))).alias("spans"),
+    number = sum((F.bit_count(f"held_{w}") for w in (0, 1)), F.lit(0))
+    narrow = F.col("hi") - F.col("lo") + 1 <= WIDTH * F.col("grams") + GAP
+    share = F.when(F.col("weak"), 0.0).when(F.col("is_base"), (F.col("n") == F.col("grams")).cast("double")).when(narrow, F.least(F.lit(1.0), number / F.col("grams"))).otherwise(0.0)
+    places = places.withColumn("share", F.coalesce(share, F.lit(0.0)))
+    places = places.withColumn("ok", F.coalesce(F.col("share") >= F.when(F.col("is_base"), 1.0).otherwise(LEAST_SHARE), F.lit(False)))
+    base = F.col("ok") & is_base
+    aggregates = [
+        F.sum(base.cast("long")).alias("n_base"), F.min(F.when(base, F.col("start"))).alias("first_word"), F.max(F.when(base, F.col("start"))).alias("last_word"),
+        F.coalesce(F.bit_or(F.when(F.col("ok"), bit(F.col("template")))), F.lit(0).cast("long")).alias("mask"), F.max("share").alias("score"),
+    ]
+    if spans:
+        k = F.when(F.col("is_base"), PHRASE_K).otherwise(NOTICE_K)
+        label = names_of(bit(F.col("template")), None)
+        aggregates.append(F.array_sort(F.collect_list(F.when(F.col("ok"), F.struct(F.col("lo").alias("first"), (F.col("hi") + k - 1).alias("last"), label.alias("label"), "is_base", "share")))).alias("spans"))
+    out = places.groupBy(*own).agg(*aggregates)
+    return out.select(
+        *[F.col(f"__{i}").alias(c) for i, c in enumerate(id_cols)], "n_words", "n_base", "first_word", "last_word",
+        names_of(F.col("mask"), True).alias("base_labels"), names_of(F.col("mask"), None).alias("labels"), "score", *["spans"] * spans,
     )
-    return out.select(*[F.col(f"own.{c}").alias(c) for c in id_cols], F.col("own.n_words").alias("n_words"), "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")
 
 
 def op4_license_scan(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return scan(docs, ["doc_id"]).drop("spans")
+    return scan(docs, ["doc_id"])
