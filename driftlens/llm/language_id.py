@@ -7,7 +7,7 @@ the hits are counted for each language, each count is corrected for that
 language's false-positive rate, and the largest corrected share decides.
 
 Learning: from at most ``Settings.docs_per_language`` texts a language (those
-with the smallest hash of text and id, texts of up to ``Settings.most_chars``
+with the smallest hash of the id, texts of up to ``Settings.most_chars``
 characters; this bound is the only sample). An n-gram enters the filter of a
 language if enough of its texts have it, relative to the language where it is
 most frequent. Languages are the distinct non-null ``lang`` values; more than
@@ -37,7 +37,7 @@ U64 = np.uint64
 
 @dataclass(frozen=True)
 class Settings:
-    docs_per_language: int = 1500  # bound of the learning sample
+    docs_per_language: int = 1000  # bound of the learning sample; up to 1000 Spark limits within tasks
     most_chars: int = 20_000  # longer texts aren't learned from
     lengths: tuple[int, ...] = (3, 4)
     least_docs: int = 3
@@ -120,10 +120,16 @@ class Model:
 def fit(docs: DataFrame, learn: F.Column | None = None, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", settings: Settings = Settings()) -> Model:
     """Learns from the rows where ``learn`` holds and the language isn't null."""
     some = docs if learn is None else docs.filter(learn)
-    key = F.xxhash64(F.col(text_col), F.col(id_col).cast("string"))
+    key = F.xxhash64(F.col(id_col).cast("string"))
     few = some.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= settings.most_chars)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), key.alias("key"))
-    # Smallest hashes of each language: a partition keeps its own first (grouped limit before the shuffle).
-    first = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).filter(F.col("rank") <= settings.docs_per_language).drop("rank", "key")
+    # Smallest hashes of each language: a task sends its own first ones only (grouped limit before the
+    # shuffle), without texts; then one cut a language picks the texts where they lie.
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    lowest = few.select("lang", "key").withColumn("rank", rank).filter(F.col("rank") <= settings.docs_per_language)
+    cuts = lowest.groupBy("lang").agg(F.max("key").alias("cut"), F.count(F.lit(1)).alias("n")).collect()  # a row a language
+    size = {r["lang"]: r["n"] for r in cuts}
+    cut = docs.sparkSession.createDataFrame([(r["lang"], r["cut"]) for r in cuts], "lang string, cut bigint")
+    first = few.join(cut, "lang").filter("key <= cut").select("lang", "text")
 
     def distinct(texts):
         h, doc, _ = grams(texts, settings.lengths)
@@ -141,7 +147,6 @@ def fit(docs: DataFrame, learn: F.Column | None = None, text_col: str = "text",
         .groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
         .filter((F.col("n") >= settings.least_docs) | F.col("gram").isNull())
     )
-    size = {r["lang"]: r["n"] for r in first.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     own = counts.filter(F.col("gram").isNotNull()).toPandas()
     languages = sorted(size)
     words = max(1, -(-len(languages) // 64))
