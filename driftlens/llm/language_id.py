@@ -6,9 +6,9 @@ language that may contain a character n-gram. A text's n-grams are looked up,
 the hits are counted for each language, each count is corrected for that
 language's false-positive rate, and the largest corrected share decides.
 
-Learning: from at most ``Settings.docs_per_language`` texts a language (those
-with the smallest hash of the id, texts of up to ``Settings.most_chars``
-characters; this bound is the only sample). An n-gram enters the filter of a
+Learning: from about ``Settings.docs_per_language`` texts a language (those
+whose id hashes low enough, texts of up to ``Settings.most_chars`` characters;
+this bound is the only sample). An n-gram enters the filter of a
 language if enough of its texts have it, relative to the language where it is
 most frequent. Languages are the distinct non-null ``lang`` values; more than
 64 use several mask words.
@@ -27,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ U64 = np.uint64
 
 @dataclass(frozen=True)
 class Settings:
-    docs_per_language: int = 1000  # bound of the learning sample; up to 1000 Spark limits within tasks
+    docs_per_language: int = 1000  # bound of the learning sample (expected number; the hash decides)
     most_chars: int = 20_000  # longer texts aren't learned from
     lengths: tuple[int, ...] = (3, 4)
     least_docs: int = 3
@@ -120,16 +121,13 @@ class Model:
 def fit(docs: DataFrame, learn: F.Column | None = None, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", settings: Settings = Settings()) -> Model:
     """Learns from the rows where ``learn`` holds and the language isn't null."""
     some = docs if learn is None else docs.filter(learn)
-    key = F.xxhash64(F.col(id_col).cast("string"))
-    few = some.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= settings.most_chars)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), key.alias("key"))
-    # Smallest hashes of each language: a task sends its own first ones only (grouped limit before the
-    # shuffle), without texts; then one cut a language picks the texts where they lie.
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
-    lowest = few.select("lang", "key").withColumn("rank", rank).filter(F.col("rank") <= settings.docs_per_language)
-    cuts = lowest.groupBy("lang").agg(F.max("key").alias("cut"), F.count(F.lit(1)).alias("n")).collect()  # a row a language
-    size = {r["lang"]: r["n"] for r in cuts}
-    cut = docs.sparkSession.createDataFrame([(r["lang"], r["cut"]) for r in cuts], "lang string, cut bigint")
-    first = few.join(cut, "lang").filter("key <= cut").select("lang", "text")
+    able = some.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= settings.most_chars))
+    # Texts whose id hashes below the fraction that leaves docs_per_language of them: no ranking, no shuffle of texts.
+    size = {r["lang"]: r["n"] for r in able.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
+    cut = docs.sparkSession.createDataFrame([(x, min(1.0, settings.docs_per_language / n)) for x, n in size.items()], "lang string, part double")
+    cut = F.broadcast(cut) if len(size) <= 10_000 else cut
+    part = F.shiftrightunsigned(F.xxhash64(F.lit(5), F.col(id_col).cast("string")), 11) * F.lit(2.0**-53)
+    first = able.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), part.alias("at")).join(cut, "lang").filter("at < part").select("lang", "text")
 
     def distinct(texts):
         h, doc, _ = grams(texts, settings.lengths)
@@ -138,16 +136,22 @@ def fit(docs: DataFrame, learn: F.Column | None = None, text_col: str = "text",
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
         h, doc = h[new], doc[new]
+        # A null entry for each text counts the texts.
         at = np.searchsorted(doc, np.arange(len(texts) + 1))
-        return [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))]
+        values = np.insert(h.view(np.int64), at[:-1], 0)
+        null = np.insert(np.zeros(len(h), bool), at[:-1], True)
+        return [pa.ListArray.from_arrays(pa.array((at + np.arange(len(texts) + 1)).astype(np.int32)), pa.array(values, mask=null))]
 
     found = map_texts(first, "text", ["lang"], [("grams", "array<bigint>", pa.list_(pa.int64()))], distinct)
     counts = (
-        found.select("lang", F.explode_outer("grams").alias("gram"))
+        found.select("lang", F.explode("grams").alias("gram"))
         .groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
         .filter((F.col("n") >= settings.least_docs) | F.col("gram").isNull())
     )
-    own = counts.filter(F.col("gram").isNotNull()).toPandas()
+    found = counts.toArrow()  # n-grams of a bounded sample; with nulls, pandas would make floats of them
+    none = pc.is_null(found["gram"])
+    size = {r["lang"]: r["n"] for r in found.filter(none).to_pylist()}
+    own = found.filter(pc.invert(none)).to_pandas()
     languages = sorted(size)
     words = max(1, -(-len(languages) // 64))
     table = np.zeros((words, 1 << settings.bits), U64)
