@@ -17,9 +17,10 @@ classes are the connected components of the links. The steps:
    (the one with most bucket mates over all bands), not with each other;
 4. pairs are verified on their whole texts by exact weighted Jaccard;
    components are found by hooking and pointer jumping over written tables;
-5. buckets of three and more texts that still hold several components have
-   all remaining pairs between components verified, in salted blocks, so no
-   candidate is lost to step 3.
+5. in buckets of three and more texts that still hold several components, the
+   remaining pairs between components are made by an exact prefix filter on
+   the shingles and verified, so no candidate is lost to step 3 and a large
+   group of loosely similar texts doesn't make all its pairs.
 
 Equal texts are one node throughout (128-bit digest), so copies never make
 pairs. Nothing is collected on the driver but the counters above a tenth of
@@ -36,7 +37,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernels import Block, blocks, doc_of, is_space, map_texts, mix, ngrams
@@ -216,6 +217,42 @@ def verify(pairs: DataFrame, texts: DataFrame, weight, s: Settings) -> DataFrame
     return with_texts.mapInArrow(run, "a string, b string, similarity double")
 
 
+def remaining(open_: DataFrame, weight, s: Settings) -> DataFrame:
+    """All pairs (a < b) of different components among (node, root, text) that can be similar enough.
+
+    An exact filter in place of all pairs: a text's shingles are ordered from
+    the rarest among these texts on. Let t be the first shingle that two texts
+    share; neither text's weight before t is shared, so t lies within the
+    first (1 - similarity) of both weights, and the overlap is at most what is
+    left from t on. Only pairs for which that bound allows the similarity are
+    made; texts that differ from all others in a fifth of their weight make none.
+    """
+
+    def kernel(texts):
+        keys, counts, ptr = shingles(texts, s.words)
+        w = counts * weight.value[counter_of(keys, s.counters)].astype(np.float64)
+        own = (keys & U64((1 << 52) - 1)).view(np.int64)
+        rows = pa.StructArray.from_arrays([pa.array(own), pa.array(w)], names=["shingle", "w"])
+        return [pa.ListArray.from_arrays(pa.array(ptr.astype(np.int32)), rows)]
+
+    kind = pa.list_(pa.struct([("shingle", pa.int64()), ("w", pa.float64())]))
+    each = map_texts(open_, "text", ["node", "root"], [("held", "array<struct<shingle:bigint,w:double>>", kind)], kernel)
+    each = written(each.select("node", "root", F.explode("held").alias("h")).select("node", "root", "h.*"), "shingles")
+    common = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+    order = Window.partitionBy("node").orderBy("df", "shingle").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = each.join(common, "shingle").withColumn("before", F.coalesce(F.sum("w").over(order), F.lit(0.0))).withColumn("total", F.sum("w").over(Window.partitionBy("node")))
+    slack = 1e-9
+    first = ranked.filter((F.col("df") > 1) & (F.col("before") <= (1 - s.similarity + slack) * F.col("total"))).withColumn("left", F.col("total") - F.col("before"))
+    lists = written(first.select("shingle", "node", "root", "total", "left"), "prefixes")
+    size = lists.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("shingle", F.ceil(F.col("n") / s.block_rows).cast("int").alias("salts"))
+    both = lists.join(size, "shingle")
+    one = both.select("shingle", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("total").alias("ta"), F.col("left").alias("la"), F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"))
+    two = both.select("shingle", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("total").alias("tb"), F.col("left").alias("lb"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    least = s.similarity / (1 + s.similarity) - slack
+    on = (one["shingle"] == two["shingle"]) & (one["salt"] == two["salt"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.least("la", "lb") >= least * (F.col("ta") + F.col("tb")))
+    return one.join(two, on).select("a", "b").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each node's component, for nodes with a link (columns a, b).
 
@@ -292,13 +329,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", set
     links = written(verify(star, texts, weight, s).select("a", "b"), "verified")
     roots = written(components(links), "components")
     # Buckets of three and more with several components: the remaining pairs.
-    found = members.filter("n > 2").join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    found = members.filter("n > 2").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = found.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    open_ = found.join(mixed, "key", "left_semi")
-    salts = F.ceil(F.col("n") / s.block_rows).cast("int")
-    one = open_.select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.pmod(F.xxhash64("node"), salts).cast("int").alias("salt"))
-    two = open_.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    rest = one.join(two, ["key", "salt"]).filter("a < b AND ra <> rb").select("a", "b").distinct()
+    open_ = found.join(mixed, "key", "left_semi").select("node", "root").distinct()
+    rest = remaining(open_.join(texts, "node"), weight, s)
     done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = written(rest.join(done, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
