@@ -40,8 +40,9 @@ STEPS = 9
 SPLIT = r"[.!?]+\s+|[\r\n]+"
 
 
-def paragraphs(text: str | Column) -> Column:
-    return F.array_distinct(F.array_remove(F.split(text, SPLIT), ""))
+def paragraphs(text: str) -> Column:
+    """Distinct 64-bit digests of a text's paragraphs."""
+    return F.array_distinct(F.transform(F.array_remove(F.split(text, SPLIT), ""), lambda x: F.xxhash64(x)))
 
 
 def check(digest: Column) -> Column:
@@ -100,8 +101,8 @@ def units(sides: DataFrame) -> DataFrame:
     """bucket, rn, size_0, size_1, which (0 own, 1 edited, 2 next), digest: a row per paragraph."""
     sizes = [power(F.size("a") + F.size(x), PRINTED).alias(f"size_{k}") for k, x in enumerate("bc")]
     three = F.array(*[F.struct(F.lit(k).alias("which"), F.col(x).alias("own")) for k, x in enumerate("abc")])
-    each = sides.select(*KEY, *sizes, F.explode(three).alias("s")).select(*KEY, "size_0", "size_1", F.col("s.which").alias("which"), F.explode("s.own").alias("unit"))
-    return each.select(*KEY, "size_0", "size_1", "which", F.xxhash64("unit").alias("digest"))
+    each = sides.select(*KEY, *sizes, F.explode(three).alias("s")).select(*KEY, "size_0", "size_1", F.col("s.which").alias("which"), F.explode("s.own").alias("digest"))
+    return each
 
 
 def cell(at: Column, n: Column, key: Column, chk: Column, pos: Column = None, neg: Column = None) -> Column:
@@ -167,7 +168,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     both = named.join(first, KEY, "left").join(prints(rows), KEY, "left")
     # Rows whose peeling failed keep their paragraphs for the retries.
     both = both.withColumn("sides", F.when(~ok, F.struct("a", "b", "c"))).withColumn("a", F.size("a").cast("long")).withColumn("ok", ok).drop("b", "c")
-    done = written(both, "sketches")
+    # Joins on (bucket, rn) keep to the exchange by bucket.
+    spark, conf = docs.sparkSession, "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "false")
+    try:
+        done = written(both, "sketches")
+    finally:
+        spark.conf.set(conf, before)
     out, failed = done.filter("ok"), done.filter("NOT ok")
     times = 1
     while not failed.isEmpty():
