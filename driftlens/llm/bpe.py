@@ -34,7 +34,7 @@ SPACE, WHITE, LETTER, NUMBER, OTHER, QUOTE1, QUOTE2 = range(7)
 (S_NONE, S_SPACE, S_LETTER, S_NUMBER, S_OTHER, S_ONE_LEFT, S_TWO_LEFT, S_CLOSED) = range(8)
 
 #: Pieces kept per Python worker; the cache is emptied when it is full.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 250_000
 #: Longer pieces are merged one at a time with a heap, shorter ones together.
 LONG_PIECE = 48
 

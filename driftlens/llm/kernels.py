@@ -16,7 +16,9 @@ import pyarrow as pa
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15)
 #: Code points in a block; longer texts form a block of their own.
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 18
+#: Rows of a batch that are Python strings at a time.
+SLICE_ROWS = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -162,6 +164,14 @@ def blocks(texts: list[str | None], most: int = BLOCK_CHARS) -> Iterator[tuple[i
         yield begin, len(texts)
 
 
+def text_blocks(column: pa.Array) -> Iterator[tuple[int, int, list[str | None]]]:
+    """Ranges of rows and their texts; only a slice of the batch is Python strings at a time."""
+    for at in range(0, len(column), SLICE_ROWS):
+        texts = column.slice(at, SLICE_ROWS).to_pylist()
+        for a, b in blocks(texts):
+            yield at + a, at + b, texts[a:b]
+
+
 def map_texts(df, text_col: str, carried: list[str], fields: list[tuple[str, str, pa.DataType]], kernel: Callable):
     """One row per row of df: the carried columns and what ``kernel(texts)`` returns for them.
 
@@ -177,11 +187,8 @@ def map_texts(df, text_col: str, carried: list[str], fields: list[tuple[str, str
     def run(batches):
         for batch in batches:
             column = batch.column(len(carried))
-            if not batch.num_rows:
-                continue
-            texts = column.to_pylist()
-            for a, b in blocks(texts):
-                made = kernel(texts[a:b])
+            for a, b, texts in text_blocks(column):
+                made = kernel(texts)
                 arrays = [batch.column(i).slice(a, b - a) for i in range(len(carried))]
                 arrays += [x if isinstance(x, pa.Array) else pa.array(x, type=t, from_pandas=False) for x, t in zip(made, types, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernels import Block, blocks, doc_of, is_space, map_texts, mix, ngrams
+from .kernels import SLICE_ROWS, Block, blocks, doc_of, is_space, map_texts, mix, ngrams, text_blocks
 from .shared import drop, written
 
 U64 = np.uint64
@@ -93,11 +93,10 @@ def frequencies(docs: DataFrame, text_col: str, s: Settings) -> np.ndarray:
     def run(batches):
         total, seen = np.zeros(1 << s.counters, np.int64), 0
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in blocks(texts):
-                keys, _, _ = shingles(texts[a:b], s.words)
+            for a, b, texts in text_blocks(batch.column(0)):
+                keys, _, _ = shingles(texts, s.words)
                 total += np.bincount(counter_of(keys, s.counters), minlength=len(total))
-            seen += len(texts)
+                seen += b - a
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at].astype(np.int32)), pa.array(np.r_[seen, total[at]])], names=["counter", "n"])
 
@@ -210,7 +209,8 @@ def verify(pairs: DataFrame, texts: DataFrame, weight, s: Settings) -> DataFrame
 
     def run(batches):
         for batch in batches:
-            sim = similarities(batch.column(2).to_pylist(), batch.column(3).to_pylist(), weight.value, s)
+            parts = [similarities(*(batch.column(k).slice(at, SLICE_ROWS).to_pylist() for k in (2, 3)), weight.value, s) for at in range(0, batch.num_rows, SLICE_ROWS)]
+            sim = np.concatenate([np.zeros(0), *parts])
             ok = pa.array(sim >= s.similarity)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sim)], names=["a", "b", "similarity"]).filter(ok)
 
