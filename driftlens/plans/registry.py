@@ -2,10 +2,361 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import predicates, text, urls
+from ..operators import dedup, diff, routing, sequence, snapshot
+from ..sources import html
+from . import fixtures as fx
+
+C = F.col
+SUBJECT = ["category", "key", "old_key", "old_title", "new_title", "old_url", "new_url"]
+MADE: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        MADE[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def pair(spark, sf_dir):
+    return fx.snapshot(spark, sf_dir, "old"), fx.snapshot(spark, sf_dir, "new")
+
+
+def changes(spark, sf_dir) -> DataFrame:
+    return diff.documents(*pair(spark, sf_dir))
+
+
+def _select(category: str) -> str:
+    return f"WITH {fx.CHANGES_SQL} SELECT category, key, old_title, new_title, old_url, new_url FROM changes WHERE category = '{category}'"
+
+
+@query(f"WITH {fx.CHANGES_SQL} SELECT category, key, old_key, old_title, new_title, old_url, new_url FROM changes")
+def snapshot_diff(spark, sf_dir):
+    return changes(spark, sf_dir).select(*SUBJECT)
+
+
+@query(f"WITH {fx.CHANGES_SQL} SELECT category, count(*) AS n FROM changes GROUP BY 1")
+def snapshot_diff_summary(spark, sf_dir):
+    return dedup.summary(changes(spark, sf_dir)).select("category", "n")
+
+
+@query(f"WITH {fx.CHANGES_SQL} SELECT count(*) AS n FROM changes")
+def change_count(spark, sf_dir):
+    return changes(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {fx.CHANGES_SQL} SELECT key, old_key FROM changes WHERE category = 'documents_moved'")
+def moved_documents(spark, sf_dir):
+    return changes(spark, sf_dir).filter("category = 'documents_moved'").select("key", "old_key")
+
+
+def _one(category):
+    def f(spark, sf_dir):
+        return changes(spark, sf_dir).filter(C("category") == category).select("category", "key", "old_title", "new_title", "old_url", "new_url")
+
+    f.__name__ = category.removeprefix("documents_") + "_documents"
+    return query(_select(category))(f)
+
+
+for _c in ("documents_modified", "documents_renamed", "documents_relinked"):
+    _one(_c)
+
+
+@query(f"WITH {fx.CHANGES_SQL} SELECT category, key FROM changes WHERE category <> 'documents_added'")
+def diff_with_schema_gate(spark, sf_dir):
+    return diff.gate(changes(spark, sf_dir), 1, 2, True).select("category", "key")
+
+
+@query("SELECT sha256(text) AS sha256, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
+def exact_duplicates(spark, sf_dir):
+    d = fx.table(spark, sf_dir, "documents")
+    return d.groupBy(F.sha2("text", 256).alias("sha256")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1")
+
+
+WHITE_SQL = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+NORMAL_SQL = rf"trim(regexp_replace(translate(X, chr(8204) || chr(160), '  '), '{WHITE_SQL}', ' ', 'g'))"
+
+
+@query(f"SELECT doc_id, {NORMAL_SQL.replace('X', 'text')} AS text FROM documents")
+def normalize_text(spark, sf_dir):
+    return fx.table(spark, sf_dir, "documents").select("doc_id", text.normalize(C("text")).alias("text"))
+
+
+@query(rf"SELECT doc_id, CAST(len(list_filter(list_transform(regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: {NORMAL_SQL.replace('X', 'x')}), lambda x: x <> '')) AS INT) AS n FROM documents")
+def line_count_nonblank(spark, sf_dir):
+    return fx.table(spark, sf_dir, "documents").select("doc_id", F.size(text.lines(C("text"))).alias("n"))
+
+
+URL_RE = urls.PARTS.replace("'", "''")
+
+
+@query(f"""SELECT page_id, lower(regexp_extract(url, '{URL_RE}', 1)) AS scheme, lower(regexp_extract(regexp_extract(url, '{URL_RE}', 2), '(?:.*@)?([^:@]*)(?::\\d*)?$', 1)) AS host,
+regexp_extract(url, '{URL_RE}', 3) AS path, lower(regexp_extract(regexp_replace(regexp_extract(url, '{URL_RE}', 3), '/+$', ''), '[^/](\\.[^./]+)$', 1)) AS suffix FROM pages""")
+def url_parts(spark, sf_dir):
+    u = C("url")
+    return fx.table(spark, sf_dir, "pages").select("page_id", urls.scheme(u).alias("scheme"), urls.host(u).alias("host"), urls.path(u).alias("path"), urls.suffix(u).alias("suffix"))
+
+
+@query(f"""SELECT page_id, lower(regexp_extract(url, '{URL_RE}', 1)) || '://' || lower(regexp_extract(url, '{URL_RE}', 2)) || regexp_extract(url, '{URL_RE}', 3)
+|| CASE WHEN regexp_extract(url, '{URL_RE}', 4) <> '' THEN '?' || regexp_extract(url, '{URL_RE}', 4) ELSE '' END AS url FROM pages""")
+def url_canonical(spark, sf_dir):
+    return fx.table(spark, sf_dir, "pages").select("page_id", urls.canonical(F.lit("https://example.test/"), C("url")).alias("url"))
+
+
+@query(f"WITH {fx.PAIR_SQL} SELECT doc_id, url FROM n WHERE contains(lower(section), 'src1') AND contains(lower(title), 'doc') AND url LIKE '%.txt'")
+def document_filter(spark, sf_dir):
+    f = predicates.Filters(("SRC1",), ("doc",), ("txt",))
+    n = fx.snapshot(spark, sf_dir, "new")
+    return n.filter(predicates.matches_fixed(C("section"), C("title"), C("url"), f)).select("doc_id", "url")
+
+
+@query(f"WITH {fx.PAIR_SQL} SELECT doc_id FROM n WHERE split_part(section, ' / ', 1) = 'src3' OR regexp_matches(url, 'documents/moved/src4/') OR url = '{fx.ROOT}src6/en/6.txt'")
+def excluded_documents(spark, sf_dir):
+    ex = predicates.Exclusions(("SRC3",), "/documents/", ("src6/en/6.txt",), ("/documents/moved/src4/",), ("docs.example.test",))
+    return fx.snapshot(spark, sf_dir, "new").filter(predicates.is_excluded(C("section"), C("url"), ex)).select("doc_id")
+
+
+@query("""WITH l AS (SELECT source AS url, CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END AS section, doc_id AS pos FROM documents)
+SELECT url, section, pos FROM l QUALIFY row_number() OVER (PARTITION BY url ORDER BY section = '', pos) = 1""")
+def first_section_per_url(spark, sf_dir):
+    d = fx.table(spark, sf_dir, "documents").select(C("source").alias("url"), F.when(C("doc_id") % 3 == 0, "").otherwise(C("lang")).alias("section"), C("doc_id").alias("pos"))
+    return dedup.prefer_section(d)
+
+
+@query("SELECT source, lang, max(doc_id) AS pos FROM documents GROUP BY 1, 2")
+def last_wins_key(spark, sf_dir):
+    return dedup.last_wins(fx.table(spark, sf_dir, "documents").select("source", "lang", C("doc_id").alias("pos")), ["source", "lang"])
+
+
+@query("""SELECT page_id, url, pos FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS url, generate_subscripts(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1), 1) AS pos FROM pages)
+QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY pos) = 1""")
+def link_dedup(spark, sf_dir):
+    found = fx.table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('<a [^>]*href="([^"]*)"'), 1)).alias("pos", "url"))
+    return dedup.first_wins(found.select("page_id", "url", (C("pos") + 1).cast("long").alias("pos")), ["page_id", "url"])
+
+
+@query()
+def page_links_parsed(spark, sf_dir):
+    return html.page_links(html.parse(fx.table(spark, sf_dir, "pages"), root="body"))
+
+
+@query()
+def page_text_parsed(spark, sf_dir):
+    return html.parse(fx.table(spark, sf_dir, "pages"), root="body").select("page_id", "page_text", F.size("links").alias("n_links"))
+
+
+LINKS_SQL = """l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS href FROM pages),
+o AS (SELECT href AS url, 'p' || max(page_id) AS title FROM l WHERE page_id % 5 <> 1 GROUP BY 1),
+n AS (SELECT href AS url, 'p' || max(page_id) AS title FROM l WHERE page_id % 5 <> 2 GROUP BY 1)"""
+
+
+@query(f"""WITH {LINKS_SQL} SELECT CASE WHEN o.url IS NULL THEN 'links_added' WHEN n.url IS NULL THEN 'links_removed' ELSE 'links_renamed' END AS category,
+coalesce(o.url, n.url) AS url, o.title AS old_title, n.title AS new_title FROM o FULL OUTER JOIN n ON o.url = n.url WHERE o.title IS DISTINCT FROM n.title""")
+def links_diff(spark, sf_dir):
+    p = fx.table(spark, sf_dir, "pages")
+    each = p.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a [^>]*href="([^"]*)"'), 1)).alias("url"))
+    each = each.select("url", F.concat(F.lit("p"), C("page_id").cast("string")).alias("title"), C("page_id").alias("pos"))
+    return diff.links(each.filter("pos % 5 <> 1"), each.filter("pos % 5 <> 2"))
+
+
+@query(f"""WITH {fx.PAIR_SQL}, a AS (SELECT DISTINCT section AS path FROM o WHERE doc_id % 2 = 0 AND section < 'src5'), b AS (SELECT DISTINCT section AS path FROM n WHERE section > 'src1')
+SELECT CASE WHEN a.path IS NULL THEN 'folders_added' ELSE 'folders_removed' END AS category, coalesce(a.path, b.path) AS path FROM a FULL OUTER JOIN b ON a.path = b.path WHERE a.path IS NULL OR b.path IS NULL""")
+def folders_diff(spark, sf_dir):
+    o, n = pair(spark, sf_dir)
+    side = lambda d: d.select(C("section").alias("path"), F.element_at(F.split("section", " / "), -1).alias("title"), "pos")
+    return diff.folders(side(o.filter("doc_id % 2 = 0 AND section < 'src5'")), side(n.filter("section > 'src1'"))).select("category", "path")
+
+
+@query(f"""WITH {fx.PAIR_SQL}, s AS (SELECT DISTINCT section FROM n), e AS (SELECT split_part(section, ' / ', 1) AS path FROM s UNION SELECT section FROM s)
+SELECT path, CASE WHEN contains(path, ' / ') THEN split_part(path, ' / ', 2) ELSE path END AS title, CAST(CASE WHEN contains(path, ' / ') THEN 2 ELSE 1 END AS INT) AS depth FROM e""")
+def folder_ancestors(spark, sf_dir):
+    return snapshot.ancestors(fx.snapshot(spark, sf_dir, "new"))
+
+
+@query(f"WITH {fx.CELLS_SQL} SELECT sheet, cell, detail FROM details")
+def cell_diff(spark, sf_dir):
+    return diff.cell_details(fx.cells(spark, sf_dir, "old"), fx.cells(spark, sf_dir, "new"), []).select("sheet", "cell", "detail")
+
+
+@query(f"""WITH {fx.CELLS_SQL}, r AS (SELECT detail, row_number() OVER (ORDER BY sheet, cell) AS place, count(*) OVER () AS n FROM details)
+SELECT CAST(place AS INT) AS place, detail FROM r WHERE place <= 20 UNION ALL SELECT 21, (n - 20) || ' additional cell change(s) omitted' FROM r WHERE place = 1 AND n > 20""")
+def cell_diff_top20(spark, sf_dir):
+    rows = diff.cell_details(fx.cells(spark, sf_dir, "old"), fx.cells(spark, sf_dir, "new"), ["key"])
+    return dedup.top_details(rows, ["key"], ["sheet", "cell"], 20, "cell change(s)").select("place", "detail")
+
+
+def records(spark, sf_dir, side):
+    lines = fx.record_lines(spark, sf_dir, side).withColumn("r", text.record(C("line"))).filter("r IS NOT NULL")
+    return dedup.most_complete(lines.select("r.*", "pos"))
+
+
+@query(f"WITH {fx.RECORDS_SQL} SELECT code, description, unit, category FROM o")
+def pay_items_dedup(spark, sf_dir):
+    return records(spark, sf_dir, "old").drop("pos")
+
+
+PAY_SQL = f"""WITH {fx.RECORDS_SQL} SELECT CASE WHEN o.code IS NULL THEN 'added' WHEN n.code IS NULL THEN 'removed' ELSE 'updated' END AS kind, coalesce(o.code, n.code) AS code,
+o.unit AS old_unit, n.unit AS new_unit, o.description AS old_description, n.description AS new_description FROM o FULL OUTER JOIN n ON o.code = n.code
+WHERE o.code IS NULL OR n.code IS NULL OR (o.description, o.unit, o.category) IS DISTINCT FROM (n.description, n.unit, n.category)"""
+
+
+def item_changes(spark, sf_dir):
+    both = [records(spark, sf_dir, s).withColumnRenamed("category", "class") for s in ("old", "new")]
+    return diff.keyed(*both, ["code"], ["description", "unit", "class"], ("added", "removed", "updated")).withColumnRenamed("category", "kind")
+
+
+@query(PAY_SQL)
+def pay_item_diff(spark, sf_dir):
+    return item_changes(spark, sf_dir).select("kind", "code", "old_unit", "new_unit", "old_description", "new_description")
+
+
+@query(f"SELECT kind, count(*) AS n, min(code) AS first_code FROM ({PAY_SQL}) GROUP BY 1")
+def pay_items_consolidated(spark, sf_dir):
+    twice = item_changes(spark, sf_dir).withColumn("pos", F.lit(1))
+    both = twice.unionByName(twice.withColumn("pos", F.lit(2)))  # two files that tell of the same items
+    return dedup.last_wins(both.select("kind", "code", "pos"), ["kind", "code"]).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("code").alias("first_code"))
+
+
+@query(f"""WITH {fx.PAIR_SQL}, a AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, -1 AS n FROM o), b AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, 1 AS n FROM n)
+SELECT doc_id, line, CAST(sum(n) AS BIGINT) AS surplus FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2 HAVING sum(n) <> 0""")
+def line_multiset_diff(spark, sf_dir):
+    each = [d.select("doc_id", F.explode(F.split("text", "\n")).alias("line")) for d in pair(spark, sf_dir)]
+    return diff.line_multiset(*each, "doc_id")
+
+
+def modified(spark, sf_dir):
+    o, n = pair(spark, sf_dir)
+    return o.select("key", "doc_id", C("text").alias("old"), C("sha256").alias("s")).join(n.select("key", C("text").alias("new"), "sha256"), "key").filter("s <> sha256")
+
+
+@query()
+def line_seq_diff(spark, sf_dir):
+    m = modified(spark, sf_dir)
+    return m.select("doc_id", sequence.sequence_details(text.lines(C("old")), text.lines(C("new")), "line").alias("details"))
+
+
+@query()
+def word_seq_diff(spark, sf_dir):
+    m = modified(spark, sf_dir)
+    return m.select("doc_id", sequence.word_details(C("old"), C("new")).alias("details"))
+
+
+@query()
+def seq_opcodes(spark, sf_dir):
+    m = modified(spark, sf_dir)
+    return m.select("doc_id", F.explode(sequence.opcodes(text.lines(C("old")), text.lines(C("new")))).alias("e")).select("doc_id", "e.*")
+
+
+def pages_of(column):
+    return F.transform(text.lines(column), lambda x, i: F.struct((i + 1).alias("page"), x.alias("text"), F.sha2(x, 256).alias("text_sha256"), F.lit(None).cast("string").alias("visual_sha256")))
+
+
+@query()
+def page_align(spark, sf_dir):
+    m = modified(spark, sf_dir)
+    return m.select("doc_id", sequence.page_details(pages_of(C("old")), pages_of(C("new"))).alias("details"))
+
+
+@query(f"WITH {fx.PAIR_SQL} SELECT n.doc_id FROM o JOIN n ON o.key = n.key WHERE o.sha256 <> n.sha256 AND o.doc_id % 2 = 0")
+def repackaging_filter(spark, sf_dir):
+    m = modified(spark, sf_dir).withColumn("shown", F.when(C("doc_id") % 2 == 0, C("new")).otherwise(C("old")))
+    return m.filter(~diff.same_rendering(pages_of(C("old")), pages_of(C("shown")))).select("doc_id")
+
+
+@query(f"WITH {fx.PAIR_SQL}, e AS (SELECT url FROM n WHERE doc_id % 17 = 0) SELECT url, sha256, carried FROM (SELECT url, sha256, false AS carried FROM n WHERE doc_id % 17 <> 0 UNION ALL SELECT url, sha256, true FROM o WHERE url IN (SELECT url FROM e))")
+def carry_forward(spark, sf_dir):
+    o, n = pair(spark, sf_dir)
+    cols = ["url", "sha256"]
+    return snapshot.carry_forward(n.filter("doc_id % 17 <> 0").select(*cols), n.filter("doc_id % 17 = 0").select("url"), o.select(*cols))
+
+
+@query(f"WITH {fx.PAIR_SQL} SELECT n.key, CASE WHEN o.key IS NULL THEN false ELSE true END AS reused FROM n LEFT JOIN o ON o.key = n.key AND o.sha256 = n.sha256 AND o.doc_id % 3 <> 0")
+def incremental_reuse(spark, sf_dir):
+    o, n = pair(spark, sf_dir)
+    old = o.withColumn("analysis", F.when(C("doc_id") % 3 != 0, C("title")))
+    used, left = snapshot.split_reuse(n.select("key", "sha256"), old)
+    return used.select("key", F.lit(True).alias("reused")).unionByName(left.select("key", F.lit(False).alias("reused")))
+
+
+@query(f"WITH {fx.PAIR_SQL} SELECT n.doc_id, coalesce(i.url, u.url) AS prev_url, CASE WHEN i.url IS NOT NULL THEN i.title ELSE u.title END AS prev_title FROM n LEFT JOIN o i ON i.identity = n.identity LEFT JOIN o u ON u.url = n.url")
+def prev_lookup(spark, sf_dir):
+    o, n = pair(spark, sf_dir)
+    return snapshot.previous(n.select("doc_id", "identity", "url"), o).select("doc_id", "prev_url", "prev_title")
+
+
+def subject(spark, sf_dir):
+    o, n = pair(spark, sf_dir)
+    sections = n.select("key", "section").unionByName(o.join(n.select("key"), "key", "left_anti").select("key", "section"))
+    return changes(spark, sf_dir).join(sections, "key").withColumn("url", F.coalesce("new_url", "old_url")).withColumn("title", F.coalesce("new_title", "old_title"))
+
+
+ROUTED_SQL = f"""{fx.CHANGES_SQL}, sec AS (SELECT key, section FROM n UNION ALL SELECT key, section FROM o WHERE key NOT IN (SELECT key FROM n)),
+s AS (SELECT changes.category, changes.key, section, coalesce(new_url, old_url) AS url, coalesce(new_title, old_title) AS title FROM changes JOIN sec ON sec.key = changes.key),
+r AS (SELECT 'English' AS name, s.* FROM s WHERE contains(lower(section), '/ en') UNION ALL SELECT 'Text files', s.* FROM s WHERE url LIKE '%.txt'
+      UNION ALL SELECT 'Source five', s.* FROM s WHERE contains(section, 'src5') AND contains(lower(title), 'doc') AND url LIKE '%.txt' UNION ALL SELECT 'Nobody', s.* FROM s)"""
+
+
+@query(f"WITH {ROUTED_SQL} SELECT name, category, key FROM r")
+def routed_changes(spark, sf_dir):
+    return routing.routed(subject(spark, sf_dir), fx.routes(spark)).select("name", "category", "key")
+
+
+@query(f"""WITH {ROUTED_SQL} SELECT 'All monitored changes' AS label, 'root@example.test' AS recipients, count(*) AS n FROM s
+UNION ALL SELECT name, CASE name WHEN 'English' THEN 'a@example.test;b@example.test' WHEN 'Text files' THEN 'b@example.test' ELSE 'c@example.test' END, count(*) FROM r WHERE name <> 'Nobody' GROUP BY 1, 2""")
+def notification_batches(spark, sf_dir):
+    return routing.batches(subject(spark, sf_dir), fx.routes(spark), fx.EVERYONE)
+
+
+@query(f"WITH {_select('documents_modified').removeprefix('WITH ')}")
+def confirmation(spark, sf_dir):
+    """The second look (only modified rows are left) replaces the first."""
+    first = changes(spark, sf_dir)
+    second = first.filter("category = 'documents_modified'")
+    return routing.confirmed(first, second).select("category", "key", "old_title", "new_title", "old_url", "new_url")
+
+
+@query("SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 100")
+def history_top_n(spark, sf_dir):
+    return dedup.newest(fx.table(spark, sf_dir, "events"), 100, "ts", "event_id").select("event_id", "event_type")
+
+
+@query("""WITH m AS (SELECT user_id, max(CASE WHEN event_type <> 'click' THEN event_id END) AS ok FROM events GROUP BY 1)
+SELECT e.user_id, count(CASE WHEN e.event_type = 'click' AND (m.ok IS NULL OR e.event_id > m.ok) THEN 1 END) AS streak FROM events e JOIN m ON e.user_id = m.user_id GROUP BY 1""")
+def consecutive_failures(spark, sf_dir):
+    e = fx.table(spark, sf_dir, "events").withColumn("failed", C("event_type") == "click")
+    return routing.failure_streaks(e, "user_id", "ts", "event_id", "failed")
+
+
+@query("SELECT user_id, epoch(TIMESTAMP '2024-02-03 00:00:00') - floor(epoch(max(ts))) >= 7 * 86400 AS due FROM events GROUP BY 1")
+def heartbeat_due(spark, sf_dir):
+    last = fx.table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("last"))
+    return last.select("user_id", routing.heartbeat_due(F.date_format("last", "yyyy-MM-dd HH:mm:ss"), F.lit("2024-02-03 00:00:00"), 7).alias("due"))
+
+
+@query(f"WITH {fx.PAIR_SQL} SELECT left(string_agg(title || ': timed out', ' | ' ORDER BY doc_id), 3500) AS digest, count(*) AS n FROM n WHERE doc_id % 97 = 0")
+def error_digest(spark, sf_dir):
+    e = fx.snapshot(spark, sf_dir, "new").filter("doc_id % 97 = 0").select("title", F.lit("timed out").alias("error"), "pos")
+    return routing.error_digest(e)
+
+
+@query(f"WITH {fx.PAIR_SQL} SELECT url, title FROM o UNION ALL SELECT url, title FROM n WHERE url NOT IN (SELECT url FROM o)")
+def extra_documents(spark, sf_dir):
+    o, n = pair(spark, sf_dir)
+    cols = ["url", "title", "section"]
+    return snapshot.extra_documents(o.select(*cols), n.select(*cols)).select("url", "title")
+
 
 def queries() -> dict:
-    return {}
+    return dict(MADE)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
