@@ -179,8 +179,9 @@ def map_texts(df, text_col: str, carried: list[str], fields: list[tuple[str, str
     kernel gets a list of texts (None where null) and returns a list of arrays.
     Only ``carried`` and the text reach Python. Rows keep their partitioning.
     """
-    keep = df.select(*[df[c] for c in carried], df[text_col].alias("__text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema.fields if f.name != "__text"] + [f"`{n}` {t}" for n, t, _ in fields])
+    inner = "__text" + "_" * max((len(c) for c in carried), default=0)
+    keep = df.select(*[df[c] for c in carried], df[text_col].alias(inner))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema.fields if f.name != inner] + [f"`{n}` {t}" for n, t, _ in fields])
     names = [*carried, *(n for n, _, _ in fields)]
     types = [t for _, _, t in fields]
 

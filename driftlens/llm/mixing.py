@@ -105,11 +105,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     seed = options.get("seed", SEED)
     rows = plan(docs, id_col, text_col, source_col, **options).filter("size > 0")
     order = F.struct("key", "id", "size", "digest")
-    base = rows.groupBy("source").agg(F.min("copies").alias("base"), F.max("copies").alias("top"), F.max(F.struct("copies", order.alias("at"))).alias("last"))
-    cuts = written(base.select(F.col("source").alias("__source"), "base", "top", F.col("last.at").alias("__cut")), "cuts")
+    base = rows.groupBy("source").agg(F.min("copies").alias("__base"), F.max("copies").alias("__top"), F.max(F.struct("copies", order.alias("at"))).alias("last"))
+    cuts = written(base.select(F.col("source").alias("__source"), "__base", "__top", F.col("last.at").alias("__cut")), "cuts")
     own = F.struct(key_of(id_col, seed).alias("key"), F.col(id_col).alias("id"), size_of(text_col).alias("size"), F.xxhash64(text_col).alias("digest"))
     named = docs.withColumn("__own", own).join(cuts, docs[source_col].eqNullSafe(cuts["__source"]))
-    copies = F.when(F.col("__own.size") == 0, 0).when(F.col("top") == F.col("base"), F.col("top")).when(F.col("__own") <= F.col("__cut"), F.col("top")).otherwise(F.col("base")).cast("int")
+    copies = F.when(F.col("__own.size") == 0, 0).when(F.col("__top") == F.col("__base"), F.col("__top")).when(F.col("__own") <= F.col("__cut"), F.col("__top")).otherwise(F.col("__base")).cast("int")
     named = named.withColumn("__copies", copies).filter("__copies > 0")
     return named.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
