@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 # What counts as white space and as a line end in Unicode text.
 WHITE = r"[\t-\r\x1c-\x20\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+#: As white space, with the zero-width non-joiner.
+SPREAD = WHITE[:-2] + r"\u200c]+"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def normalize(text: Column) -> Column:
     """Zero-width non-joiners and no-break spaces become blanks, white space runs one blank, ends are trimmed."""
-    return F.trim(F.regexp_replace(F.translate(text, "\u200c\u00a0", "  "), WHITE, " "))
+    return F.trim(F.regexp_replace(text, SPREAD, " "))
 
 
 def lines(text: Column) -> Column:
