@@ -121,3 +121,35 @@ def keep_good(docs: DataFrame, text_col: str = "text", limits: Limits = DEFAULT_
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return rules(docs, ["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _sql(limits: Limits = DEFAULT_LIMITS) -> str:
+    """DuckDB SQL for the query's rows: the same n-grams as strings, by windows over each row's words."""
+    blank = r"[\x20\x09-\x0D]"
+    lengths = sorted({5, *limits.coverage})
+    chars = f"length(regexp_replace(X, '{blank}', '', 'g'))"
+    grams = ", ".join(" || ' ' || ".join(["w", *(f"lead(w, {j}) OVER o" for j in range(1, n))]) + f" AS g{n}" for n in lengths)
+    twice = ", ".join(f"g{n} IS NOT NULL AND count(*) OVER (PARTITION BY r, g{n}) > 1 AS h{n}" for n in lengths)
+    inside = ", ".join(f"bool_or(h{n}) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS in{n}" for n in lengths)
+    sums = ", ".join(f"sum(CASE WHEN in{n} THEN length(w) ELSE 0 END) AS cover{n}" for n in lengths)
+    over = [f"coalesce(cover{n}, 0)::DOUBLE / greatest(word_chars, 1) > {most}::DOUBLE" for n, most in limits.coverage.items()]
+    over.append(f"dup_chars::DOUBLE / greatest(word_chars, 1) > {limits.line_coverage}::DOUBLE")
+    over.append(f"n_symbols > {limits.symbols_per_word}::DOUBLE * n_words")
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents),
+l AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS words, list_filter(string_split(t, chr(10)), lambda x: {chars.replace("X", "x")} > 0) AS lines FROM d),
+c AS (SELECT doc_id, r, words, CAST(len(words) AS BIGINT) AS n_words, CAST({chars.replace("X", "t")} AS BIGINT) AS word_chars,
+  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+  {chars.replace("X", "t")} - coalesce(list_sum(list_transform(list_distinct(lines), lambda x: {chars.replace("X", "x")})), 0) AS dup_chars FROM l),
+w AS (SELECT r, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM c),
+g AS (SELECT r, i, w, {grams} FROM w WINDOW o AS (PARTITION BY r ORDER BY i)),
+h AS (SELECT r, i, w, {twice} FROM g),
+m AS (SELECT r, w, {inside} FROM h),
+s AS (SELECT r, count(CASE WHEN in5 THEN 1 END) AS repeat, {sums} FROM m GROUP BY r),
+f AS (SELECT c.*, CAST(coalesce(repeat, 0) AS BIGINT) AS n_repeat_words, {" OR ".join(over)} AS over FROM c LEFT JOIN s ON c.r = s.r),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT over AS kept FROM b
+"""
+
+
+ORACLE_SQL = _sql()

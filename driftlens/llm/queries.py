@@ -11,6 +11,7 @@ from .mixing import ORACLE_SQL as MIXING_SQL
 from .mixing import op7_mixing
 from .near_dup import op3_minhash_near_dup
 from .quality_model import op1_quality_classifier
+from .quality_rules import ORACLE_SQL as RULES_SQL
 from .quality_rules import op5_quality_rules
 from .sharding import op10_sharding
 
@@ -24,4 +25,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": MIXING_SQL}
+    return {"op5_quality_rules": RULES_SQL, "op7_mixing": MIXING_SQL}
