@@ -10,7 +10,8 @@ differences. Likeness is the Jaccard similarity that follows from them.
 
 The printed fingerprint is the sketch with 3 x 8 cells. Pairs are compared in
 sketches sized by their paragraph counts; where peeling fails the pair is
-retried with a sketch 16 times larger and other cells, then again.
+retried with a sketch 16 times larger and other cells, then again; pairs that
+even the largest sketch (3 x 2**20 cells) can't hold are counted from their digests.
 
 Peeling is relational: each step looks at one region only, so that a digest is
 taken from one cell only, and is one grouped aggregation. Rows are dealt once,
@@ -180,9 +181,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     times = 1
     while not failed.isEmpty():
         times *= RETRY
+        if times > LARGEST:
+            out = out.unionByName(counted(failed))
+            break
         sides = failed.select(*KEY, "sides.*").repartition(*KEY)
         again = outcome(peeled(sides, times))
-        tried = written(failed.drop("ok", "pos_0", "neg_0", "pos_1", "neg_1").join(again, KEY, "left").withColumn("ok", F.coalesce("ok", F.lit(True)) | F.lit(times >= LARGEST)), "sketches")
+        tried = written(failed.drop("ok", "pos_0", "neg_0", "pos_1", "neg_1").join(again, KEY, "left").withColumn("ok", F.coalesce("ok", F.lit(True))), "sketches")
         out, failed = out.unionByName(tried.filter("ok")), tried.filter("NOT ok")
     near = []
     for p in (0, 1):
@@ -193,6 +197,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", fp[0].alias("fingerprint"), fp[1].alias("edited_fingerprint"), near[0].alias("near_edited"), near[1].alias("near_next"), F.col("a").alias("n_paragraphs"))
 
 
+def counted(failed: DataFrame) -> DataFrame:
+    """The failed rows with the sizes of their differences, without a sketch."""
+    for p, other in enumerate("bc"):
+        for c, x, y in (("pos", "a", other), ("neg", other, "a")):
+            failed = failed.withColumn(f"{c}_{p}", F.size(F.array_except(f"sides.{x}", f"sides.{y}")).cast("long"))
+    return failed.withColumn("ok", F.lit(True))
+
+
 def outcome(pairs: DataFrame) -> DataFrame:
     """bucket, rn, ok (both pairs), pos_0, neg_0, pos_1, neg_1."""
     counts = [F.max(F.when(F.col("pair") == p, F.col(c))).alias(f"{c}_{p}") for p in (0, 1) for c in ("pos", "neg")]
