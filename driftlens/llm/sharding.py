@@ -53,14 +53,22 @@ def matrix(counts: list[int], shards: int, seed: int = SEED) -> np.ndarray:
 
 
 def _draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """One hypergeometric number; numpy's own form holds below 10**9 rows, beyond it a binomial one is clipped to what is possible."""
+    """One hypergeometric number; beyond 10**9 rows, where numpy's own form ends, by inversion over 12 deviations around the mode."""
     if n >= good + bad:
         return good
-    if good + bad < 10**9:
-        return int(rng.hypergeometric(good, bad, n))
-    mean = n * good / (good + bad)
-    var = mean * (bad / (good + bad)) * (good + bad - n) / (good + bad - 1)
-    return int(min(max(round(rng.normal(mean, var**0.5)), max(0, n - bad)), min(n, good)))
+    return int(rng.hypergeometric(good, bad, n)) if good + bad < 10**9 else _inverted(rng, good, bad, n)
+
+
+def _inverted(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """From ratios of neighbouring probabilities, which lose nothing in large populations; what lies outside has less than 10**-30."""
+    total = good + bad
+    mode = (n + 1) * (good + 1) // (total + 2)
+    reach = 40 + int(12 * (n * (good / total) * (bad / total)) ** 0.5)
+    lo, hi = max(0, n - bad, mode - reach), min(n, good, mode + reach)
+    x = np.arange(lo, hi, dtype=np.float64)
+    log_p = np.r_[0.0, np.cumsum(np.log((good - x) * (n - x) / ((x + 1) * (bad - n + x + 1))))]
+    p = np.cumsum(np.exp(log_p - log_p.max()))
+    return lo + int(min(np.searchsorted(p, rng.random() * p[-1], "right"), len(p) - 1))
 
 
 def assign(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", range_rows: int = 20_000, seed: int = SEED) -> DataFrame:
@@ -97,11 +105,19 @@ def assign(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: s
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes docs with shard and slot, partitioned by shard, sorted by slot within files."""
-    places = assign(docs, shards, id_col, text_col).select(F.col("id").alias("__id"), "text_crc32", "shard", "slot")
-    both = docs.withColumn("__crc", F.crc32(F.col(text_col).cast("binary"))).join(places.dropDuplicates(["__id", "text_crc32"]), F.expr(f"`{id_col}` <=> __id AND __crc <=> text_crc32"))
-    files = max(1, places.sparkSession.sparkContext.defaultParallelism)
-    both.drop("__id", "__crc", "text_crc32").repartitionByRange(files, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Writes docs with shard and slot, partitioned by shard, sorted by slot within files.
+
+    Rows of equal id and text are numbered on both sides, so each takes a slot of its own. Columns of docs named shard or slot are replaced.
+    """
+    key = ["__id", "__crc"]
+    places = assign(docs, shards, id_col, text_col).select(F.col("id").alias("__id"), F.col("text_crc32").alias("__crc"), "shard", "slot")
+    places = places.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy("shard", "slot")))
+    kept = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    named = docs.select(F.struct(*kept).alias("row"), F.col(id_col).alias("__id"), F.crc32(F.col(text_col).cast("binary")).alias("__crc"))
+    named = named.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*key)))
+    n = named.alias("n").join(places.alias("p"), F.expr("n.__id <=> p.__id AND n.__crc <=> p.__crc AND n.__n = p.__n")).select("n.row.*", "p.shard", "p.slot")
+    files = max(1, docs.sparkSession.sparkContext.defaultParallelism)
+    n.repartitionByRange(files, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op10_sharding(spark, sf_dir: str) -> DataFrame:
