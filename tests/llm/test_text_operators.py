@@ -127,6 +127,22 @@ def test_quality_rules(odd, none):
     assert quality_rules.keep_good(none).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_quality_rules_equal_sql(spark, odd):
+    import duckdb
+
+    cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    rng = random.Random(5)
+    texts = ["", *("".join(rng.choice(["aa", "b", "cd\n", "\n", "é😀", "#", "x2"]) + rng.choice([" ", " ", "\r\n", "\v"]) for _ in range(rng.randrange(120))) for _ in range(200))]
+    made = spark.createDataFrame([*enumerate(texts), (900, None)], "doc_id long, text string")
+    tables = [spark.read.parquet(f"{SF}/documents.parquet"), odd.select("doc_id", "text"), made]
+    for docs in tables:
+        c = duckdb.connect()
+        c.register("documents", docs.select("doc_id", "text").toArrow())
+        want = collections.Counter(c.sql(quality_rules.ORACLE_SQL).select(*cols).fetchall())
+        assert want == collections.Counter(map(tuple, quality_rules.rules(docs, ["doc_id"]).select(*cols).collect()))
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_language_held_out(spark, odd, none):
     out = language_id.op9_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out").toPandas()
@@ -301,6 +317,15 @@ def test_fingerprints(spark, odd, none):
     assert fingerprint.fingerprints(spark.createDataFrame([(7, "a. b")], "doc_id long, text string")).first()["near_next"] == 1.0
 
 
+def test_fingerprints_that_no_sketch_holds(spark, monkeypatch):
+    rng = random.Random(12)
+    docs = spark.createDataFrame([(i, ". ".join(prose(rng, 4) for _ in range(i))) for i in range(12)], "doc_id long, text string")
+    want = sorted(fingerprint.fingerprints(docs).collect())
+    monkeypatch.setattr(fingerprint, "STEPS", 0)  # nothing peels
+    monkeypatch.setattr(fingerprint, "LARGEST", 1)
+    assert sorted(fingerprint.fingerprints(docs).collect()) == want
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_mixing(spark, odd, none):
     import duckdb
@@ -370,3 +395,22 @@ def test_sharding(spark, odd, none):
     out = sharding.assign(odd).toPandas()
     assert len(out) == 12 and (out["size"] >= 1).all()
     assert sharding.assign(none).count() == 0
+
+
+def test_draws_from_large_populations():
+    rng = np.random.default_rng(3)
+    good, bad, n = 40, 70, 30
+    p = np.array([math.comb(good, x) * math.comb(bad, n - x) / math.comb(good + bad, n) for x in range(n + 1)])
+    got = np.bincount([sharding._inverted(rng, good, bad, n) for _ in range(20_000)], minlength=n + 1) / 20_000
+    assert np.abs(got - p).max() < 0.015
+    big = np.array([sharding._draw(rng, 10**11, 7 * 10**11, 20_000) for _ in range(2_000)])
+    assert abs(big.mean() - 2500) < 6 and abs(big.var() / 2187.5 - 1) < 0.15
+    assert sharding._draw(rng, 10**9, 5, 10**9 + 2) in range(10**9 - 3, 10**9 + 1) and sharding._inverted(rng, 4, 0, 3) == 3
+
+
+def test_written_shards(spark, odd, tmp_path):
+    sharding.write_shards(odd, f"{tmp_path}/out", 3)
+    out = spark.read.parquet(f"{tmp_path}/out")
+    places = [(r["shard"], r["slot"]) for r in out.select("shard", "slot").collect()]
+    assert sorted(places) == [(s, k) for s in range(3) for k in range(4)]  # repeated rows have a slot each
+    assert set(out.columns) == {*odd.columns, "slot"}
