@@ -36,7 +36,7 @@ def _ranked(rows: DataFrame, digest: str, key: str, name: str) -> DataFrame:
 
 
 def documents(old: DataFrame, new: DataFrame, repackaged: Column | None = None, mute_added: bool = False) -> DataFrame:
-    """category, key, old_key, old_title, new_title, old_url, new_url.
+    """category, key, old_key, old_title, new_title, old_url, new_url, section (the new one, else the old).
 
     ``old`` and ``new`` have key, url, title, section, sha256, pos; the last
     row of a key counts. ``repackaged`` is a condition over the joined columns
@@ -48,13 +48,14 @@ def documents(old: DataFrame, new: DataFrame, repackaged: Column | None = None,
     both = named[0].join(named[1], "key", "full_outer")
     here, there = F.col("in_new").isNotNull(), F.col("in_old").isNotNull()
     alone = both.filter(~(F.coalesce(here, F.lit(False)) & F.coalesce(there, F.lit(False))))
-    gone = alone.filter("in_new IS NULL").select(F.col("old_sha256").alias("sha256"), F.col("key").alias("old_key"), "old_title", "old_url")
-    come = alone.filter("in_old IS NULL").select(F.col("new_sha256").alias("sha256"), F.col("key").alias("new_key"), "new_title", "new_url")
+    gone = alone.filter("in_new IS NULL").select(F.col("old_sha256").alias("sha256"), F.col("key").alias("old_key"), "old_title", "old_url", "old_section")
+    come = alone.filter("in_old IS NULL").select(F.col("new_sha256").alias("sha256"), F.col("key").alias("new_key"), "new_title", "new_url", "new_section")
     a, b = _ranked(gone, "sha256", "old_key", "rank"), _ranked(come, "sha256", "new_key", "rank")
     b = b.withColumnRenamed("sha256", "new_sha256").withColumnRenamed("rank", "new_rank")
     paired = a.join(b, F.expr("sha256 <=> new_sha256 AND `rank` = new_rank"), "full_outer")
+    section = F.when(F.col("new_key").isNotNull(), F.col("new_section")).otherwise(F.col("old_section")).alias("section")
     kind = F.when(F.col("old_key").isNull(), "documents_added").when(F.col("new_key").isNull(), "documents_removed").otherwise("documents_moved")
-    lone = paired.select(kind.alias("category"), F.coalesce("new_key", "old_key").alias("key"), "old_key", "old_title", "new_title", "old_url", "new_url")
+    lone = paired.select(kind.alias("category"), F.coalesce("new_key", "old_key").alias("key"), "old_key", "old_title", "new_title", "old_url", "new_url", section)
     if mute_added:
         lone = lone.filter("category <> 'documents_added'")
     differs = ~F.col("old_sha256").eqNullSafe(F.col("new_sha256"))
@@ -63,7 +64,7 @@ def documents(old: DataFrame, new: DataFrame, repackaged: Column | None = None,
     tests = {"documents_modified": differs, "documents_renamed": ~F.col("old_title").eqNullSafe(F.col("new_title")), "documents_relinked": ~F.col("old_url").eqNullSafe(F.col("new_url"))}
     cats = F.array_compact(F.array(*[F.when(t, F.lit(c)) for c, t in tests.items()]))
     kept = both.filter("in_old AND in_new").withColumn("category", F.explode(cats))
-    return lone.unionByName(kept.select("category", "key", F.col("key").alias("old_key"), "old_title", "new_title", "old_url", "new_url"))
+    return lone.unionByName(kept.select("category", "key", F.col("key").alias("old_key"), "old_title", "new_title", "old_url", "new_url", F.col("new_section").alias("section")))
 
 
 def keyed(old: DataFrame, new: DataFrame, keys: list[str], values: list[str], names: tuple[str | None, str | None, str | None], pos: str = "pos") -> DataFrame:
@@ -80,10 +81,47 @@ def keyed(old: DataFrame, new: DataFrame, keys: list[str], values: list[str], na
 
 
 def links(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Links compared by URL; a renamed link keeps the new section, else the old."""
+    """Links compared by URL."""
     return keyed(old, new, ["url"], ["title"], ("links_added", "links_removed", "links_renamed"))
 
 
+def sections_of(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """key, section: the new snapshot's last section of a key, else the old one's."""
+    both = new.select(key, "section", "pos", F.lit(1).alias("side")).unionByName(old.select(key, "section", "pos", F.lit(0).alias("side")))
+    return both.filter("section IS NOT NULL").groupBy(key).agg(F.max(F.struct("side", "pos", "section")).alias("last")).select(key, F.col("last.section").alias("section"))
+
+
+SUBJECT = ["category", "key", "old_key", "old_title", "new_title", "old_url", "new_url", "section"]
+
+
+def snapshots(old: dict[str, DataFrame], new: dict[str, DataFrame], old_version: int = 3, new_version: int = 3) -> DataFrame:
+    """All changes in one long table (``SUBJECT``, url, title): documents, links, folders and page text.
+
+    A snapshot is a dictionary of tables: documents; links (url, title,
+    section, pos); folders (path, title, pos); page (page_text, one row). A
+    table that either side lacks isn't compared.
+    """
+    none = F.lit(None).cast("string")
+    parts = [documents(old["documents"], new["documents"])]
+    if "links" in old and "links" in new:
+        found = links(old["links"], new["links"]).join(sections_of(old["links"], new["links"], "url"), "url", "left")
+        side = lambda p: F.when(F.col("category") != F.lit({"old": "links_added", "new": "links_removed"}[p]), F.col("url"))
+        parts.append(found.select("category", F.col("url").alias("key"), side("old").alias("old_key"), "old_title", "new_title", side("old").alias("old_url"), side("new").alias("new_url"), "section"))
+    both = "folders" in old and "folders" in new
+    if both:
+        found = folders(old["folders"], new["folders"])
+        parts.append(found.select("category", F.col("path").alias("key"), none.alias("old_key"), "old_title", "new_title", none.alias("old_url"), none.alias("new_url"), F.col("path").alias("section")))
+    if "page" in old and "page" in new:
+        was = old["page"].select(F.col("page_text").alias("was"))
+        found = new["page"].crossJoin(was).filter(~F.col("page_text").eqNullSafe(F.col("was")))  # one row each
+        parts.append(found.select(F.lit("page_text_changed").alias("category"), *[none.alias(c) for c in SUBJECT[1:]]))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    out = gate(out, old_version, new_version, both)
+    return out.withColumn("url", F.coalesce("new_url", "old_url")).withColumn("title", F.coalesce("new_title", "old_title"))
+
+
 def folders(old: DataFrame, new: DataFrame, both_have_them: bool = True) -> DataFrame:
     out = keyed(old, new, ["path"], ["title"], ("folders_added", "folders_removed", None))
     return out if both_have_them else out.limit(0)

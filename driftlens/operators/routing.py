@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import matches
+from ..functions.text import normalize
 
 ALL = "All monitored changes"
 #: Routes are configuration; above this number they are joined without a broadcast.
@@ -46,9 +47,10 @@ def heartbeat_due(last: F.Column, now: F.Column, days: float) -> F.Column:
 
 def error_digest(errors: DataFrame, most: int = 3500) -> DataFrame:
     """One row: all ``title: error`` joined by `` | ``, cut; meant for the errors of one run."""
-    line = F.concat_ws(": ", "title", "error")
+    said = lambda c, none: F.coalesce(normalize(F.col(c)), F.lit(none))
+    line = F.concat_ws(": ", said("title", "Document"), said("error", "Unavailable"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]), " | ")
-    return errors.agg(F.left(joined, F.lit(most)).alias("digest"), F.count(F.lit(1)).alias("n"))
+    return errors.agg(F.when(F.length(joined) > most, F.concat(F.left(joined, F.lit(most - 1)), F.lit("…"))).otherwise(joined).alias("digest"), F.count(F.lit(1)).alias("n"))
 
 
 def confirmed(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -293,9 +293,7 @@ def prev_lookup(spark, sf_dir):
 
 
 def subject(spark, sf_dir):
-    o, n = pair(spark, sf_dir)
-    sections = n.select("key", "section").unionByName(o.join(n.select("key"), "key", "left_anti").select("key", "section"))
-    return changes(spark, sf_dir).join(sections, "key").withColumn("url", F.coalesce("new_url", "old_url")).withColumn("title", F.coalesce("new_title", "old_title"))
+    return changes(spark, sf_dir).withColumn("url", F.coalesce("new_url", "old_url")).withColumn("title", F.coalesce("new_title", "old_title"))
 
 
 ROUTED_SQL = f"""{fx.CHANGES_SQL}, sec AS (SELECT key, section FROM n UNION ALL SELECT key, section FROM o WHERE key NOT IN (SELECT key FROM n)),
@@ -341,7 +339,7 @@ def heartbeat_due(spark, sf_dir):
     return last.select("user_id", routing.heartbeat_due(F.date_format("last", "yyyy-MM-dd HH:mm:ss"), F.lit("2024-02-03 00:00:00"), 7).alias("due"))
 
 
-@query(f"WITH {fx.PAIR_SQL} SELECT left(string_agg(title || ': timed out', ' | ' ORDER BY doc_id), 3500) AS digest, count(*) AS n FROM n WHERE doc_id % 97 = 0")
+@query(f"WITH {fx.PAIR_SQL}, e AS (SELECT string_agg(title || ': timed out', ' | ' ORDER BY doc_id) AS s, count(*) AS n FROM n WHERE doc_id % 97 = 0) SELECT CASE WHEN length(s) > 3500 THEN left(s, 3499) || '…' ELSE s END AS digest, n FROM e")
 def error_digest(spark, sf_dir):
     e = fx.snapshot(spark, sf_dir, "new").filter("doc_id % 97 = 0").select("title", F.lit("timed out").alias("error"), "pos")
     return routing.error_digest(e)

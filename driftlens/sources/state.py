@@ -16,6 +16,11 @@ def _fs(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def has(spark: SparkSession, path: str) -> bool:
+    p, fs = _fs(spark, path)
+    return fs.exists(p)
+
+
 def read_json(spark: SparkSession, path: str, default=MISSING):
     """A small JSON file by Hadoop's file systems; ``default`` if it is missing, an error if it is broken."""
     p, fs = _fs(spark, path)
@@ -56,6 +61,14 @@ class Store:
         version = version or self.current()
         return None if version is None else self.spark.read.parquet(f"{self.root}/{version}/{table}")
 
+    def tables(self) -> set[str]:
+        """Names of the current version's tables."""
+        version = self.current()
+        if version is None:
+            return set()
+        p, fs = _fs(self.spark, f"{self.root}/{version}")
+        return {x.getPath().getName() for x in fs.listStatus(p)}
+
     def write(self, tables: dict[str, DataFrame]) -> str:
         version = f"v{time.time_ns()}-{uuid.uuid4().hex[:8]}"
         for name, df in tables.items():

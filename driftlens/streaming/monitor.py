@@ -8,49 +8,96 @@ to the same function by ``foreachBatch``.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dedup, diff, routing
-from ..sources.state import Store
+from ..sources.state import Lock, Store, has, read_json, write_json
+
+
+Snapshot = DataFrame | dict[str, DataFrame]
+OUTBOX = "label string, recipients string, n bigint, message string, run_id string"
+
+
+def tables_of(snapshot: Snapshot) -> dict[str, DataFrame]:
+    """A snapshot's tables (documents, and if there are links, folders, page, errors)."""
+    return snapshot if isinstance(snapshot, dict) else {"documents": snapshot}
 
 
 @dataclass
 class Monitor:
+    """``owner`` gets failures, document warnings and heartbeats privately; routes and recipients get changes."""
+
     spark: SparkSession
     root: str
     recipients: list[str] = field(default_factory=list)
     routes: DataFrame | None = None
+    owner: str = ""
+    heartbeat_days: float = 0
 
     @property
     def store(self) -> Store:
         return Store(self.spark, f"{self.root}/state")
 
-    def changes(self, documents: DataFrame) -> DataFrame:
-        before = self.store.read("documents")
-        out = diff.documents(before, documents)
-        return out.withColumn("url", F.coalesce("new_url", "old_url")).withColumn("title", F.coalesce("new_title", "old_title")).withColumn("section", F.lit(""))
+    @property
+    def runtime_path(self) -> str:
+        return f"{self.root}/runtime.json"
+
+    def runtime(self) -> dict:
+        return {"consecutive_failures": 0, "last_error": ""} | (read_json(self.spark, self.runtime_path, {}) or {})
+
+    def changes(self, snapshot: Snapshot) -> DataFrame:
+        """Changes against the baseline; without one, everything is new."""
+        new = tables_of(snapshot)
+        names = self.store.tables()
+        old = {k: self.store.read(k) for k in new if k in names}
+        return diff.snapshots({"documents": new["documents"].limit(0)} | old, new)
+
+    def run(self, snapshot: Callable[[], Snapshot], run_id: str, again: Callable[[], Snapshot] | None = None) -> str:
+        """One scheduled run under the lock: check, then the runtime record; a failure is recorded, told to the owner and raised."""
+        began = time.monotonic()
+        with Lock(self.spark, f"{self.root}/lock"):
+            try:
+                found = tables_of(snapshot())
+                outcome, changed = self.check(found, run_id, again)
+                if "errors" in found:
+                    self.warn(found["errors"], run_id)
+                if outcome in ("unchanged", "suppressed"):
+                    self.heartbeat(run_id)
+                count = 0 if changed is None else changed.count()
+            except Exception as e:
+                state = self.runtime()
+                write_json(self.spark, self.runtime_path, state | {"consecutive_failures": state["consecutive_failures"] + 1, "last_error": str(e)})
+                self.log(run_id, "failed")
+                self.tell("Monitor failure", f"The check or its notice failed. Error: {e}", run_id)
+                raise
+            done = {"consecutive_failures": 0, "last_error": "", "last_success_at": now(), "last_change_count": count, "last_duration_seconds": round(time.monotonic() - began, 2)}
+            write_json(self.spark, self.runtime_path, self.runtime() | done | {"last_document_count": self.store.read("documents").count()})
+        return outcome
 
-    def check(self, documents: DataFrame, run_id: str, again: Callable[[], DataFrame] | None = None, dry_run: bool = False) -> tuple[str, DataFrame | None]:
+    def check(self, snapshot: Snapshot, run_id: str, again: Callable[[], Snapshot] | None = None, dry_run: bool = False) -> tuple[str, DataFrame | None]:
         """(outcome, changes): initialised, unchanged, suppressed, changed or dry_run."""
-        if self.store.read("documents") is None and not dry_run:
-            self.store.commit(self.store.write({"documents": documents}))
-            return "initialised", None
-        found = self.changes(documents)
+        tables = {k: v for k, v in tables_of(snapshot).items() if k != "errors"}
         if dry_run:
-            return "dry_run", found
+            return "dry_run", self.changes(tables)
+        if self.store.current() is None:
+            self.store.commit(self.store.write(tables))
+            return "initialised", None
+        found = self.changes(tables)
         if found.isEmpty():
-            self.store.commit(self.store.write({"documents": documents}))
+            self.store.commit(self.store.write(tables))
             return "unchanged", None
         outcome = "changed"
         if again is not None:  # the second look is compared with the same baseline and replaces the first
-            documents = again()
-            found = self.changes(documents)
+            tables = {k: v for k, v in tables_of(again()).items() if k != "errors"}
+            found = self.changes(tables)
             outcome = "suppressed" if found.isEmpty() else "changed"
-        version = self.store.write({"documents": documents, "changes": found})
+        version = self.store.write(tables | {"changes": found})
         if outcome == "changed":
             found = self.store.read("changes", version)
             self.send(found, run_id)
@@ -63,10 +110,34 @@ class Monitor:
         if not self.recipients and routes.isEmpty():
             raise ValueError("changes but no recipients")
         out = routing.batches(found, routes, self.recipients)
-        out.withColumn("run_id", F.lit(run_id)).write.mode("append").parquet(f"{self.root}/outbox")
+        self.post(out.withColumn("message", F.lit(None).cast("string")), run_id)
+
+    def post(self, rows: DataFrame, run_id: str) -> None:
+        rows.withColumn("run_id", F.lit(run_id)).select("label", "recipients", "n", "message", "run_id").write.mode("append").parquet(f"{self.root}/outbox")
+
+    def tell(self, label: str, message: str, run_id: str, n: int = 1) -> None:
+        """A private row for the owner, if there is one."""
+        if self.owner:
+            self.post(self.spark.range(1).select(F.lit(label).alias("label"), F.lit(self.owner).alias("recipients"), F.lit(n).cast("bigint").alias("n"), F.lit(message).alias("message")), run_id)
+
+    def warn(self, errors: DataFrame, run_id: str) -> None:
+        """Documents that could not be read (title, error, pos); their earlier rows are carried by ``carry_forward``."""
+        told = routing.error_digest(errors).first()
+        if told["n"]:
+            self.tell("Document warning", f"The check continued without {told['n']} document(s). {told['digest']}", run_id, told["n"])
+
+    def heartbeat(self, run_id: str) -> None:
+        """Tells the owner after ``heartbeat_days`` without changes that checks run; the first run only starts the clock."""
+        last = self.runtime().get("last_heartbeat_at")
+        due = routing.heartbeat_due(F.lit(last), F.lit(now()), self.heartbeat_days)
+        if not self.spark.range(1).select(due.alias("due")).first()["due"]:
+            return
+        if last is not None:
+            self.tell("Heartbeat", "Checks run; nothing has changed.", run_id)
+        write_json(self.spark, self.runtime_path, self.runtime() | {"last_heartbeat_at": now()})
 
     def outbox(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/outbox").dropDuplicates(["run_id", "label", "recipients"])
+        return self.spark.read.schema(OUTBOX).parquet(f"{self.root}/outbox").dropDuplicates(["run_id", "label", "recipients"])
 
     def log(self, run_id: str, kind: str) -> None:
         row = self.spark.range(1).select(F.current_timestamp().alias("event_ts"), F.lit(run_id).alias("seq"), F.lit(kind).alias("kind"))
@@ -76,8 +147,14 @@ class Monitor:
         return dedup.newest(self.spark.read.parquet(f"{self.root}/history"), most)
 
     def status(self) -> DataFrame:
-        docs, hist = self.store.read("documents"), self.history(1)
-        return hist.select("event_ts", "kind").crossJoin(docs.agg(F.count(F.lit(1)).alias("documents")))  # one row each
+        """One row: documents of the baseline, the newest event if there is one, and the runtime record."""
+        state = self.runtime()
+        docs = self.store.read("documents")
+        n = docs.count() if docs is not None else 0
+        log = self.history(1).collect() if has(self.spark, f"{self.root}/history") else []
+        event = (log[0]["event_ts"], log[0]["kind"]) if log else (None, None)
+        row = (*event, n, state["consecutive_failures"], state["last_error"], state.get("last_success_at"), state.get("last_heartbeat_at"))
+        return self.spark.createDataFrame([row], "event_ts timestamp, kind string, documents bigint, consecutive_failures int, last_error string, last_success_at string, last_heartbeat_at string")
 
     def stream(self, snapshots: DataFrame, checkpoint: str, by: str = "snapshot_id"):
         """Checks every snapshot of a stream of document rows, those of a batch in ascending order."""
@@ -91,14 +168,16 @@ class Monitor:
         return snapshots.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def now() -> str:
+    return datetime.now(UTC).isoformat(timespec="seconds")
+
+
 def empty_routes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "name string, recipients array<string>, sections array<string>, titles array<string>, extensions array<string>, include_page_text boolean")
 
 
 def retry(operation: Callable, attempts: int = 3, delay: float = 5.0, sleep: Callable | None = None):
     """Calls again after delay, 2 x delay, ... for sinks on the driver; executors have task retries."""
-    import time
-
     for k in range(1, attempts + 1):
         try:
             return operation()

@@ -104,6 +104,47 @@ def test_state_and_monitor(spark, tmp_path):
     assert Store(spark, f"file://{tmp_path}/m/state").read("documents").count() == 2
 
 
+def test_all_tables_of_a_snapshot(spark):
+    link, folder = "url string, title string, section string, pos int", "path string, title string, pos int"
+    side = lambda d, ls, fs, text: {"documents": d, "links": spark.createDataFrame(ls, link), "folders": spark.createDataFrame(fs, folder), "page": spark.createDataFrame([(text,)], "page_text string")}
+    old = side(docs(spark, ("a", None, "A", "1")), [("l1", "x", "S", 0), ("l2", "y", "T", 1)], [("f", "f", 0)], "t")
+    new = side(docs(spark, ("a", None, "A", "2")), [("l1", "z", None, 0), ("l3", "y", "U", 1)], [("g", "g", 0)], "u")
+    got = sorted((r["category"], r["key"], r["section"]) for r in diff.snapshots(old, new).collect() if r["key"])
+    assert got == [("documents_modified", "a", "S"), ("folders_added", "g", "g"), ("folders_removed", "f", "f"), ("links_added", "l3", "U"), ("links_removed", "l2", "T"), ("links_renamed", "l1", "S")]
+    assert diff.snapshots(old, new).filter("category = 'page_text_changed'").count() == 1
+    assert diff.snapshots(old, old).count() == 0
+    assert {r["category"] for r in diff.snapshots(old, new, 1, 3).collect()} == {"documents_modified"}
+    assert {r["category"] for r in diff.snapshots({"documents": old["documents"]}, new).collect()} == {"documents_modified"}
+
+
+def test_runs_failures_warnings_heartbeat(spark, tmp_path):
+    routes = spark.createDataFrame([("s", ["s@x.test"], ["S"], [], [], False), ("t", ["t@x.test"], ["T"], [], [], False)], "name string, recipients array<string>, sections array<string>, titles array<string>, extensions array<string>, include_page_text boolean")
+    m = Monitor(spark, f"file://{tmp_path}/m", [], routes, "owner@x.test", 7)
+    old, new = docs(spark, ("a", None, "A", "1")), docs(spark, ("a", None, "A", "2"))
+    assert m.status().first()["documents"] == 0 and m.check(old, "d", dry_run=True)[1].count() == 1
+    assert m.run(lambda: old, "r0") == "initialised"
+    with pytest.raises(OSError):
+        m.run(lambda: (_ for _ in ()).throw(OSError("no page")), "r1")
+    assert m.status().first()["consecutive_failures"] == 1 and m.status().first()["last_error"] == "no page"
+    assert m.run(lambda: old, "r2") == "unchanged"  # starts the clock
+    state = m.runtime()
+    assert state["consecutive_failures"] == 0 and state["last_document_count"] == 1
+    write_json(spark, m.runtime_path, state | {"last_heartbeat_at": "2020-01-01T00:00:00+00:00"})
+    errors = spark.createDataFrame([("B", "timed  out", 0)], "title string, error string, pos int")
+    assert m.run(lambda: {"documents": old, "errors": errors}, "r3") == "unchanged"
+    assert m.run(lambda: new, "r4") == "changed"
+    assert sorted((r["run_id"], r["label"], r["recipients"]) for r in m.outbox().collect()) == [
+        ("r1", "Monitor failure", "owner@x.test"), ("r3", "Document warning", "owner@x.test"), ("r3", "Heartbeat", "owner@x.test"), ("r4", "s", "s@x.test"),
+    ]
+    assert m.status().first()["kind"] == "changed"
+
+
+def test_error_digest_is_cut(spark):
+    rows = [("x" * 2000, "e  e", 0), (None, None, 1), ("y" * 2000, "f", 2)]
+    r = routing.error_digest(spark.createDataFrame(rows, "title string, error string, pos int")).first()
+    assert len(r["digest"]) == 3500 and r["digest"].endswith("y…") and " e e | Document: Unavailable | y" in r["digest"] and r["n"] == 3
+
+
 def test_stream_of_snapshots(spark, tmp_path):
     for i, rows in enumerate([[("a", None, "A", "1")], [("a", None, "A", "2")]]):
         docs(spark, *rows).withColumn("snapshot_id", F.lit(i)).write.mode("append").parquet(f"{tmp_path}/in")
