@@ -57,6 +57,11 @@ def split_reuse(rows: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFram
     return both.filter("k IS NOT NULL").select(*rows.columns, F.col("reused").alias("analysis")), both.filter("k IS NULL").select(*rows.columns)
 
 
+def stale_previews(folders: DataFrame, documents: DataFrame) -> DataFrame:
+    """Preview folders (name) that are named by a digest which no current document has; other names are left alone."""
+    return folders.filter(F.col("name").rlike("^[0-9a-f]{64}$")).join(documents.select(F.col("sha256").alias("name")), "name", "left_anti")
+
+
 def ancestors(sections: DataFrame, column: str = "section") -> DataFrame:
     """path, title, depth: every section and all that stand above it."""
     parts = F.split(column, " / ")

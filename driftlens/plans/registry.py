@@ -265,6 +265,24 @@ def page_align(spark, sf_dir):
     return m.select("doc_id", sequence.page_details(pages_of(C("old")), pages_of(C("new"))).alias("details"))
 
 
+@query()
+def analysis_details(spark, sf_dir):
+    """Line, paragraph and page analyses of modified documents, and some whose kind has changed."""
+    kinds = F.array(*[F.lit(k) for k in ("lines", "paragraphs", "pdf_pages", "unsupported")])
+    units = lambda c: F.transform(text.lines(C(c)), lambda x, i: F.struct(i.alias("pos"), x.alias("text")))
+    side = lambda c, shift: F.struct(F.element_at(kinds, ((C("doc_id") + shift) % 4 + 1).cast("int")).alias("kind"), units(c).alias("units"), F.lit(None).cast("string").alias("reason"))
+    m = modified(spark, sf_dir)
+    return m.select("doc_id", sequence.analysis_details(side("old", 0), side("new", F.when(C("doc_id") % 11 == 0, 1).otherwise(0))).alias("details"))
+
+
+@query("""WITH f AS (SELECT DISTINCT sha256(text) AS name FROM documents UNION ALL SELECT 'other')
+SELECT name FROM f WHERE name <> 'other' AND name NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL)""")
+def stale_previews(spark, sf_dir):
+    d = fx.table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    names = d.select(C("sha256").alias("name")).distinct().unionByName(spark.range(1).select(F.lit("other").alias("name")))
+    return snapshot.stale_previews(names, d.filter("doc_id % 3 = 0"))
+
+
 @query(f"WITH {fx.PAIR_SQL} SELECT n.doc_id FROM o JOIN n ON o.key = n.key WHERE o.sha256 <> n.sha256 AND o.doc_id % 2 = 0")
 def repackaging_filter(spark, sf_dir):
     m = modified(spark, sf_dir).withColumn("shown", F.when(C("doc_id") % 2 == 0, C("new")).otherwise(C("old")))

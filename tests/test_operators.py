@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from driftlens.operators import dedup, diff, routing, snapshot
+from driftlens.operators import dedup, diff, routing, sequence, snapshot
 from driftlens.sources.state import Lock, Store, read_json, write_json
 from driftlens.streaming.monitor import Monitor, retry
 
@@ -139,6 +139,27 @@ def test_runs_failures_warnings_heartbeat(spark, tmp_path):
     assert m.status().first()["kind"] == "changed"
 
 
+def test_details_by_kind(spark):
+    unit = lambda *texts: [(i, None, None, t) for i, t in enumerate(texts)]
+    cells = lambda **kw: [(i, "S", k, v) for i, (k, v) in enumerate(kw.items())]
+    pairs = [
+        (("lines", unit("a", "b"), None), ("lines", unit("a"), None)),
+        (("paragraphs", unit("a"), None), ("lines", unit("a"), None)),
+        (("excel_cells", cells(A10="1", A2="2", B1="5"), None), ("excel_cells", cells(A10="3", A2="2", C1="4"), None)),
+        (("pdf_pages", unit("x y", "z"), None), ("pdf_pages", unit("x w", "z"), None)),
+        (("unsupported", [], None), ("unsupported", [], "broken")),
+        (None, None),
+    ]
+    kind = "struct<kind:string,units:array<struct<pos:int,sheet:string,cell:string,text:string>>,reason:string>"
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], f"i int, a {kind}, b {kind}")
+    got = [r["d"] for r in df.select("i", sequence.analysis_details(F.col("a"), F.col("b")).alias("d")).orderBy("i").collect()]
+    assert got[0] == ["Old line(s) 2 removed — Removed: b"]
+    assert got[1] == ["The document format or detailed-analysis method changed"]
+    assert got[2] == ["S!A10 changed: 1 → 3", "S!B1 removed: 5", "S!C1 added: 4"]
+    assert got[3] == ['Page 1 changed — Text excerpts: "x y" → "x w"']
+    assert got[4] == ["broken"] and got[5] == ["Detailed internal comparison is unavailable for this file type"]
+
+
 def test_error_digest_is_cut(spark):
     rows = [("x" * 2000, "e  e", 0), (None, None, 1), ("y" * 2000, "f", 2)]
     r = routing.error_digest(spark.createDataFrame(rows, "title string, error string, pos int")).first()
