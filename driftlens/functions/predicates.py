@@ -67,3 +67,8 @@ def matches(section: Column, title: Column, url: Column, sections: Column, title
 def matches_fixed(section: Column, title: Column, url: Column, f: Filters) -> Column:
     arrays = [F.array(*[F.lit(x) for x in v]).cast("array<string>") for v in (f.sections, f.titles, f.extensions)]
     return matches(section, title, url, *arrays)
+
+
+def link_matches(section: Column, title: Column, f: Filters) -> Column:
+    """Filters as they hold for page links: sections and titles only, whatever extensions are asked for."""
+    return matches_fixed(section, title, F.lit(""), Filters(f.sections, f.titles))

@@ -51,7 +51,14 @@ def record(line: Column) -> Column:
 
 
 def valid_email(address: Column) -> Column:
-    return address.rlike(r"^[^\s;@]+@[^\s;@]+\.[^\s;@]+$")
+    """One ``@``, a dot after it, no white space (of Unicode) and no semicolon; nothing may follow, not even a line end."""
+    part = "[^" + WHITE[1:-2] + ";@]+"
+    return address.rlike(rf"\A{part}@{part}\.{part}\z")
+
+
+def preview_id(path: Column, prefix: str = "preview-") -> Column:
+    """A stable content id of an image path, the same as ``report.image_id``."""
+    return F.concat(F.lit(prefix), F.left(F.sha2(path, 256), F.lit(20)))
 
 
 def escape_html(text: Column) -> Column:

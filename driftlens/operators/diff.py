@@ -154,3 +154,20 @@ def gate(changes: DataFrame, old_version: int, new_version: int, folders_in_both
     if not folders_in_both:
         muted += ["folders_added", "folders_removed"]
     return changes.filter(~F.col("category").isin(*muted)) if muted else changes
+
+
+def pixel_cells(old: DataFrame, new: DataFrame, cell: int = 16) -> DataFrame:
+    """image, cx, cy, n, left, top, right, bottom: where the pixels of two images (image, y, row) differ, by cell.
+
+    Images whose sizes differ, or that one side lacks, have no cells. Cells are
+    aggregated before the shuffle, so a large image doesn't gather in one task.
+    """
+    both = old.select("image", "y", F.col("row").alias("a")).join(new.select("image", "y", F.col("row").alias("b")), ["image", "y"], "full_outer")
+    even = F.col("a").isNotNull() & F.col("b").isNotNull() & (F.size("a") == F.size("b"))
+    uneven = both.filter(~even).select("image").distinct()
+    differs = F.zip_with("a", "b", lambda p, q: ~p.eqNullSafe(q))
+    each = both.join(uneven, "image", "left_anti").select("image", "y", F.posexplode(differs).alias("x", "differs")).filter("differs")
+    at = [F.floor(F.col(c) / cell).cast("int").alias(f"c{c}") for c in "xy"]
+    return each.groupBy("image", *at).agg(
+        F.count(F.lit(1)).alias("n"), F.min("x").alias("left"), F.min("y").alias("top"), F.max("x").alias("right"), F.max("y").alias("bottom")
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.predicates import matches
+from ..functions.predicates import Filters, matches, matches_fixed
 from ..functions.text import normalize
 
 ALL = "All monitored changes"
@@ -21,6 +21,12 @@ def routed(changes: DataFrame, routes: DataFrame) -> DataFrame:
     return changes.join(small, (page & F.col("include_page_text")) | (~page & hit))
 
 
+def filtered(changes: DataFrame, filters: Filters, include_page_text: bool = False) -> DataFrame:
+    """The changes whose subject matches; the page text's only if asked for."""
+    page = F.col("category") == "page_text_changed"
+    return changes.filter((page & F.lit(include_page_text)) | (~page & matches_fixed(F.col("section"), F.col("title"), F.col("url"), filters)))
+
+
 def batches(changes: DataFrame, routes: DataFrame, everyone: list[str]) -> DataFrame:
     """label, recipients, n: global recipients get all; a route's other recipients get what it matches."""
     known = F.array(*[F.lit(x) for x in everyone]).cast("array<string>")

@@ -370,6 +370,161 @@ def extra_documents(spark, sf_dir):
     return snapshot.extra_documents(o.select(*cols), n.select(*cols)).select("url", "title")
 
 
+ADDRESS = "'C' || c_custkey || CASE c_custkey % 5 WHEN 0 THEN '@example.test' WHEN 1 THEN '@example' WHEN 2 THEN ' x@example.test' WHEN 3 THEN '@example.test' || chr(10) ELSE ';a@b.test' END"
+
+
+@query(rf"SELECT c_custkey, regexp_full_match({ADDRESS}, '[^\s;@]+@[^\s;@]+\.[^\s;@]+') AS valid FROM customer")
+def email_valid(spark, sf_dir):
+    return fx.table(spark, sf_dir, "customer").select("c_custkey", text.valid_email(F.expr(ADDRESS)).alias("valid"))
+
+
+@query("SELECT doc_id, left(text, 300) || CASE WHEN length(text) > 300 THEN '…' ELSE '' END AS shown FROM documents")
+def text_cut(spark, sf_dir):
+    return fx.table(spark, sf_dir, "documents").select("doc_id", text.cut(C("text"), 300, "…").alias("shown"))
+
+
+@query("SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;') AS html FROM documents")
+def html_escaped(spark, sf_dir):
+    return fx.table(spark, sf_dir, "documents").select("doc_id", text.escape_html(C("text")).alias("html"))
+
+
+@query("SELECT doc_id, replace(translate(lower(text), 'ς', 'σ'), 'ß', 'ss') AS folded FROM documents")
+def case_folded(spark, sf_dir):
+    return fx.table(spark, sf_dir, "documents").select("doc_id", text.fold(C("text")).alias("folded"))
+
+
+@query("SELECT doc_id, url_encode(left(text, 200)) AS quoted, left(text, 200) AS again FROM documents")
+def percent_encoding(spark, sf_dir):
+    d = fx.table(spark, sf_dir, "documents").select("doc_id", urls.quote(F.left("text", F.lit(200)), "").alias("quoted"))
+    return d.withColumn("again", urls.unquote(C("quoted")))
+
+
+@query(f"SELECT page_id, regexp_extract(regexp_replace(regexp_extract(url, '{URL_RE}', 3), '/+$', ''), '[^/]*$') AS name FROM pages")
+def url_file_names(spark, sf_dir):
+    return fx.table(spark, sf_dir, "pages").select("page_id", urls.file_name(C("url")).alias("name"))
+
+
+@query(f"WITH {fx.PAIR_SQL} SELECT doc_id FROM n WHERE doc_id % 4 <> 3")
+def monitored_documents(spark, sf_dir):
+    """Documents of an allowed host: by folder, or by suffix outside of it."""
+    k = C("doc_id") % 4
+    link = F.when(k == 1, F.replace("url", F.lit("/documents/"), F.lit("/other/"))).when(k == 2, F.concat(F.regexp_replace("url", r"\.txt$", ""), F.lit("?v=2"))).when(k == 3, F.replace("url", F.lit("docs."), F.lit("www."))).otherwise(C("url"))
+    return fx.snapshot(spark, sf_dir, "new").filter(predicates.is_document(link, ("docs.example.test",))).select("doc_id")
+
+
+@query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '.pdf' WHEN 1 THEN '.docx' WHEN 2 THEN '.dat' WHEN 3 THEN '.csv' ELSE '.php' END AS suffix FROM documents")
+def suffix_inferred(spark, sf_dir):
+    """By the URL, the file name of the disposition, the content type; else the URL's own suffix."""
+    k = C("doc_id") % 5
+    link = F.concat(F.lit("https://docs.example.test/get/"), C("doc_id").cast("string"), F.when(k == 0, ".PDF").otherwise(".php"))
+    kind = F.when(k == 1, "application/vnd.openxmlformats-officedocument.wordprocessingml.document").when(k == 3, "Text/CSV").when(k != 4, "application/pdf")
+    given = F.when(k == 2, 'attachment; filename="A b.DAT"')
+    return fx.table(spark, sf_dir, "documents").select("doc_id", urls.infer_suffix(link, kind, given).alias("suffix"))
+
+
+SHEET_PAGE = "'WORKING NUMBER ' || chr(10) || ' ' || CASE p_partkey % 3 WHEN 0 THEN upper(left(p_type, 3)) || '-' || p_partkey WHEN 1 THEN lower(p_type) || '-1' ELSE 'AB-' || p_partkey || ' x' END || chr(10) || p_name"
+
+
+@query(rf"SELECT p_partkey, regexp_extract({SHEET_PAGE}, 'WORKING NUMBER\s*\n\s*([A-Z]{{1,6}}-[A-Z0-9]+)(?:\n|$)', 1) AS sheet FROM part")
+def sheet_labels(spark, sf_dir):
+    return fx.table(spark, sf_dir, "part").select("p_partkey", text.sheet_label(F.expr(SHEET_PAGE)).alias("sheet"))
+
+
+@query("SELECT l_orderkey, CASE WHEN max(l_linenumber) = min(l_linenumber) THEN CAST(min(l_linenumber) AS VARCHAR) ELSE min(l_linenumber) || '–' || max(l_linenumber) END AS label FROM lineitem GROUP BY 1")
+def range_labels(spark, sf_dir):
+    spans = fx.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_linenumber").alias("a"), F.max("l_linenumber").alias("b"))
+    return spans.select("l_orderkey", text.range_label(C("a"), C("b")).alias("label"))
+
+
+@query("SELECT 'preview-' || left(sha256(url), 20) AS id, min(page_id) AS first_page FROM pages GROUP BY url")
+def preview_ids(spark, sf_dir):
+    p = fx.table(spark, sf_dir, "pages").select(C("url").alias("path"), "page_id")
+    return dedup.first_wins(p, ["path"], "page_id").select(text.preview_id(C("path")).alias("id"), C("page_id").alias("first_page"))
+
+
+@query("SELECT p_partkey, trim(p_name) AS section, CAST(2 - p_partkey % 2 AS INT) AS n, '.' || lower(p_type) AS extension FROM part")
+def filters_normalized(spark, sf_dir):
+    raw = F.array(F.concat(F.lit("  "), "p_name", F.lit("\t")), F.when(C("p_partkey") % 2 == 0, C("p_brand")).otherwise(" "))
+    s, _, e = predicates.normal_filters(raw, F.array().cast("array<string>"), F.array(F.lit(" "), F.concat(F.lit(".."), "p_type")))
+    return fx.table(spark, sf_dir, "part").select("p_partkey", F.get(s, F.lit(0)).alias("section"), F.size(s).alias("n"), F.get(e, F.lit(0)).alias("extension"))
+
+
+@query(f"WITH {ROUTED_SQL} SELECT category, key FROM s WHERE contains(lower(section), 'src1') AND url LIKE '%.txt'")
+def changes_filtered(spark, sf_dir):
+    page = spark.createDataFrame([("page_text_changed", "page")], "category string, key string")
+    every = subject(spark, sf_dir).unionByName(page, allowMissingColumns=True)
+    return routing.filtered(every, predicates.Filters(("SRC1",), (), ("TXT",))).select("category", "key")
+
+
+@query(f"WITH {fx.PAIR_SQL} SELECT url FROM n WHERE contains(lower(section), 'src2') AND contains(lower(title), 'doc 1')")
+def page_links_filtered(spark, sf_dir):
+    """Extensions don't hold for page links."""
+    f = predicates.Filters(("Src2",), ("DOC 1",), ("pdf",))
+    return fx.snapshot(spark, sf_dir, "new").filter(predicates.link_matches(C("section"), C("title"), f)).select("url")
+
+
+LABEL_ROWS = ", ".join(f"({i}, '{k}', '{v}')" for i, (k, v) in enumerate(dedup.LABELS))
+
+
+@query(f"""WITH {fx.CHANGES_SQL}, t(place, category, label) AS (VALUES {LABEL_ROWS})
+SELECT t.place, t.category, count(*) || ' ' || t.label AS line FROM changes JOIN t ON t.category = changes.category GROUP BY t.place, t.category, t.label""")
+def summary_lines(spark, sf_dir):
+    return dedup.summary(changes(spark, sf_dir)).select("place", "category", "line")
+
+
+TREE_SQL = "r AS (SELECT source AS grid, doc_id AS pos, CAST((doc_id * 7) % 4 AS INT) AS level, lang || doc_id AS name FROM documents)"
+LEVEL_SQL = ", ".join(
+    f"""CASE WHEN level >= {n} AND max(CASE WHEN level = {n} THEN pos END) OVER w > coalesce(max(CASE WHEN level < {n} THEN pos END) OVER w, -1)
+THEN arg_max(name, pos) FILTER (WHERE level = {n}) OVER w END""" for n in range(4)
+)
+
+
+@query(f"WITH {TREE_SQL} SELECT grid, pos, array_to_string(list_filter([{LEVEL_SQL}], lambda x: x IS NOT NULL), ' / ') AS path FROM r WINDOW w AS (PARTITION BY grid ORDER BY pos ROWS UNBOUNDED PRECEDING)")
+def tree_paths(spark, sf_dir):
+    d = fx.table(spark, sf_dir, "documents")
+    rows = d.select(C("source").alias("grid"), C("doc_id").alias("pos"), (C("doc_id") * 7 % 4).cast("int").alias("level"), F.concat("lang", C("doc_id").cast("string")).alias("name"))
+    return snapshot.flatten_tree(rows, levels=4).select("grid", "pos", "path")
+
+
+@query(f"""WITH {fx.PAIR_SQL}, r AS (SELECT DISTINCT split_part(section, ' / ', 1) AS source FROM n),
+h AS (SELECT source, count(DISTINCT n.url) AS c, min(n.url) AS url FROM r LEFT JOIN n ON split_part(n.section, ' / ', 1) = source AND contains(n.url, '/documents/' || source || '/en/10') GROUP BY 1)
+SELECT 'Rule ' || source AS title, CASE WHEN c = 1 THEN url END AS url, CASE WHEN c <> 1 THEN 'expected one matching link, found ' || c END AS error FROM h""")
+def dynamic_links(spark, sf_dir):
+    n = fx.snapshot(spark, sf_dir, "new").select(F.element_at(F.split("section", " / "), 1).alias("source_url"), "url", urls.host(C("url")).alias("host"), urls.path(C("url")).alias("path"))
+    rules = n.select("source_url").distinct().select(F.concat(F.lit("Rule "), "source_url").alias("title"), "source_url", F.lit("DOCS.example.test").alias("match_host"), F.concat(F.lit("/Documents/"), "source_url", F.lit("/EN/10")).alias("match_path"))
+    found, errors = snapshot.dynamic_documents(rules, n)
+    return found.select("title", "url", F.lit(None).cast("string").alias("error")).unionByName(errors.select("title", F.lit(None).cast("string").alias("url"), "error"))
+
+
+@query("SELECT user_id, event_id, CAST(row_number() OVER w AS INT) AS rank FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) QUALIFY row_number() OVER w <= 3")
+def history_retained(spark, sf_dir):
+    e = fx.table(spark, sf_dir, "events").select("user_id", "event_id", C("ts").alias("event_ts"), C("event_id").alias("seq"))
+    return routing.retained(e, "user_id", 3).select("user_id", "event_id", "rank")
+
+
+def images(spark, sf_dir):
+    """image, y, old and new row of 64 gray values; some pixels differ."""
+    e = fx.table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 64").alias("image"), (C("vec_id") % 64).cast("int").alias("y"), "vec_id")
+    old = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda x: ((C("vec_id") * 7 + x * 3) % 256).cast("int"))
+    new = F.transform(old, lambda v, x: F.when(((C("y") * 64 + x) % 577 == 5) | (C("y").between(9, 18) & x.between(40, 44)), 255 - v).otherwise(v))
+    return e.select("image", "y", old.alias("old"), new.alias("new"))
+
+
+@query("""WITH p AS (SELECT vec_id // 64 AS image, CAST(vec_id % 64 AS INT) AS y, CAST(unnest(range(64)) AS INT) AS x FROM embeddings)
+SELECT image, x // 16 AS cx, y // 16 AS cy, count(*) AS n, min(x) AS "left", min(y) AS top, max(x) AS "right", max(y) AS bottom FROM p
+WHERE (y * 64 + x) % 577 = 5 OR (y BETWEEN 9 AND 18 AND x BETWEEN 40 AND 44) GROUP BY 1, 2, 3""")
+def difference_cells(spark, sf_dir):
+    both = images(spark, sf_dir)
+    return diff.pixel_cells(*[both.select("image", "y", C(side).alias("row")) for side in ("old", "new")])
+
+
+@query()
+def difference_boxes(spark, sf_dir):
+    rows = F.array_sort(F.collect_list(F.struct("y", "old", "new")))
+    whole = images(spark, sf_dir).groupBy("image").agg(rows.alias("rows"))
+    return whole.select("image", F.explode(sequence.difference_boxes(C("rows.old"), C("rows.new"))).alias("box")).select("image", "box.*")
+
+
 def queries() -> dict:
     return dict(MADE)
 

@@ -185,3 +185,53 @@ def test_retry():
         return "ok"
 
     assert retry(fails, 3, 5, waits.append) == "ok" and waits == [5, 10]
+
+
+def test_addresses_hold_nothing_else(spark):
+    from driftlens.functions import text
+    from driftlens.plans import report
+
+    given = ["a@b.c", "a@b.c\n", "a@b", "a b@c.d", "a\u00a0b@c.d", "a@b.c;d@e.f", "a@@b.c", "", None]
+    d = spark.createDataFrame([(i, x) for i, x in enumerate(given)], "i int, x string")
+    got = {r["i"]: r["ok"] for r in d.select("i", text.valid_email(F.col("x")).alias("ok")).collect()}
+    assert got == {0: True, **dict.fromkeys(range(1, 8), False), 8: None}
+    assert d.limit(1).select(text.preview_id(F.lit("p/é.png"))).first()[0] == report.image_id("p/é.png")
+
+
+def test_page_links_ignore_extensions(spark):
+    from driftlens.functions import predicates
+
+    d = spark.createDataFrame([(1, "Forms / A", "One"), (2, "Forms", None), (3, None, "One"), (4, "Other", "One")], "i int, section string, title string")
+    kept = lambda f: sorted(r["i"] for r in d.filter(predicates.link_matches(F.col("section"), F.col("title"), f)).collect())
+    assert kept(predicates.Filters(("FORMS",), (), ("pdf",))) == [1, 2]
+    assert kept(predicates.Filters(("forms",), ("one",), ("pdf",))) == [1]
+    assert kept(predicates.Filters((), (), ("pdf",))) == [1, 2, 3, 4]
+
+
+def test_filtered_changes_and_page_text(spark):
+    from driftlens.functions.predicates import Filters
+    from driftlens.operators import routing
+
+    d = spark.createDataFrame([("page_text_changed", None, None, None), ("documents_added", "Forms", "One", "https://x.test/a.PDF"), ("documents_added", "Other", "One", None)], "category string, section string, title string, url string")
+    f = Filters(("forms",), (), (".pdf",))
+    assert [r["section"] for r in routing.filtered(d, f).collect()] == ["Forms"]
+    assert routing.filtered(d, f, include_page_text=True).count() == 2
+    assert routing.filtered(d, Filters()).count() == 2
+
+
+def test_pixels(spark):
+    from driftlens.operators import diff, sequence
+
+    blank = [[0] * 40 for _ in range(20)]
+    hit = [list(r) for r in blank]
+    hit[3][5] = hit[3][17] = hit[19][39] = 9
+    rows = lambda image, pixels: [(image, y, r) for y, r in enumerate(pixels)]
+    frame = lambda r: spark.createDataFrame(r, "image int, y int, row array<int>")
+    old = frame(rows(1, blank) + rows(2, blank) + rows(3, blank) + rows(4, blank))
+    new = frame(rows(1, hit) + rows(2, blank[:19]) + rows(3, [r[:39] for r in hit]))
+    got = sorted(tuple(r) for r in diff.pixel_cells(old, new).collect())
+    assert got == [(1, 0, 0, 1, 5, 3, 5, 3), (1, 1, 0, 1, 17, 3, 17, 3), (1, 2, 1, 1, 39, 19, 39, 19)]
+    both = spark.createDataFrame([(1, blank, hit), (2, blank, hit[:19]), (3, None, None), (4, blank, blank)], "i int, a array<array<int>>, b array<array<int>>")
+    boxes = {r["i"]: [tuple(x) for x in r["boxes"]] for r in both.select("i", sequence.difference_boxes(F.col("a"), F.col("b")).alias("boxes")).collect()}
+    # The third pixel's cell touches the second's at a corner: one region.
+    assert boxes == {1: [(2, 0, 39, 19)], 2: [], 3: [], 4: []}
