@@ -72,3 +72,9 @@ def matches_fixed(section: Column, title: Column, url: Column, f: Filters) -> Co
 def link_matches(section: Column, title: Column, f: Filters) -> Column:
     """Filters as they hold for page links: sections and titles only, whatever extensions are asked for."""
     return matches_fixed(section, title, F.lit(""), Filters(f.sections, f.titles))
+
+
+def is_record_document(title: Column, url: Column, prefix: str = "sqs-daily-", folder: str = "/payitems/") -> Column:
+    """Files of record lines, told by the start of the title or by the decoded path; nulls count as empty."""
+    own = text.fold(urls.unquote(urls.path(F.coalesce(url, F.lit("")))))
+    return text.fold(F.coalesce(title, F.lit(""))).startswith(prefix) | F.contains(own, F.lit(folder + prefix))

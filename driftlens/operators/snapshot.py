@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .dedup import prefer_section
+from .sequence import page_pairs
 
 ROW = ["identity", "url", "title", "section", "sha256"]
 
@@ -62,6 +63,21 @@ def stale_previews(folders: DataFrame, documents: DataFrame) -> DataFrame:
     return folders.filter(F.col("name").rlike("^[0-9a-f]{64}$")).join(documents.select(F.col("sha256").alias("name")), "name", "left_anti")
 
 
+def preview_pairs(documents: DataFrame, key: str, old, new, present: DataFrame) -> DataFrame:
+    """key, place, old_page, new_page, old_path, new_path, note: the changed pages of each document and their previews.
+
+    ``old`` and ``new`` are arrays of page structs (with preview_path), ``present``
+    the listing of existing files (path); a path that isn't in it becomes empty.
+    """
+    listed = present.select("path").distinct()
+    pairs = documents.select(key, F.posexplode(page_pairs(old, new)).alias("place", "p")).select(key, "place", "p.*")
+    for side in ("old", "new"):
+        held = listed.select(F.col("path").alias(f"{side}_path"), F.lit(True).alias(f"{side}_held"))
+        pairs = pairs.join(held, f"{side}_path", "left").withColumn(f"{side}_path", F.when(F.col(f"{side}_held"), F.col(f"{side}_path")).otherwise(""))
+    note = F.when((F.col("old_path") == "") | (F.col("new_path") == ""), "Highlights require both page previews.")
+    return pairs.select(key, "place", "old_page", "new_page", "old_path", "new_path", note.alias("note"))
+
+
 def ancestors(sections: DataFrame, column: str = "section") -> DataFrame:
     """path, title, depth: every section and all that stand above it."""
     parts = F.split(column, " / ")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates, text, urls
 from ..operators import dedup, diff, routing, sequence, snapshot
-from ..sources import html
+from ..sources import files, html
 from . import fixtures as fx
 
 C = F.col
@@ -525,6 +525,40 @@ def difference_boxes(spark, sf_dir):
     return whole.select("image", F.explode(sequence.difference_boxes(C("rows.old"), C("rows.new"))).alias("box")).select("image", "box.*")
 
 
+RECORD_TITLE = "CASE doc_id % 4 WHEN 0 THEN 'SQS-Daily-' || doc_id WHEN 1 THEN 'My sqs-daily-1' ELSE 'Doc ' || doc_id END"
+RECORD_URL = "'https://docs.example.test/' || CASE doc_id % 3 WHEN 0 THEN 'PayItems/SQS%2Ddaily-' WHEN 1 THEN 'sqs-daily-' ELSE 'payitems/x-' END || doc_id || '.txt'"
+
+
+@query(f"""WITH r AS (SELECT doc_id, {RECORD_TITLE} AS title, {RECORD_URL} AS url FROM documents)
+SELECT doc_id FROM r WHERE starts_with(lower(title), 'sqs-daily-') OR contains(lower(url_decode(regexp_extract(url, '{URL_RE}', 3))), '/payitems/sqs-daily-')""")
+def record_documents(spark, sf_dir):
+    d = fx.table(spark, sf_dir, "documents").select("doc_id", F.expr(RECORD_TITLE).alias("title"), F.expr(RECORD_URL).alias("url"))
+    return d.filter(predicates.is_record_document(C("title"), C("url"))).select("doc_id")
+
+
+@query(r"""WITH r AS (SELECT page_id, rtrim(regexp_replace(url, '[?#].*$', ''), '/') || CASE page_id % 3 WHEN 0 THEN '.PDF?x=1' WHEN 1 THEN '.docx' ELSE '.html' END AS url,
+CASE page_id % 4 WHEN 0 THEN 'text/html' WHEN 1 THEN 'Application/XHTML+xml' WHEN 2 THEN 'application/pdf' END AS content_type FROM pages)
+SELECT page_id, 'expected a ' || CASE page_id % 3 WHEN 0 THEN '.pdf' ELSE '.docx' END || ' file, got ' || content_type AS error FROM r WHERE page_id % 3 < 2 AND page_id % 4 < 2""")
+def refused_downloads(spark, sf_dir):
+    k = C("page_id")
+    base = F.regexp_replace(F.regexp_replace("url", r"[?#].*$", ""), "/+$", "")
+    r = fx.table(spark, sf_dir, "pages").select(
+        "page_id", F.concat(base, F.when(k % 3 == 0, ".PDF?x=1").when(k % 3 == 1, ".docx").otherwise(".html")).alias("url"),
+        F.when(k % 4 == 0, "text/html").when(k % 4 == 1, "Application/XHTML+xml").when(k % 4 == 2, "application/pdf").alias("content_type"),
+    )
+    return files.refused(r).select("page_id", "error")
+
+
+@query()
+def page_previews(spark, sf_dir):
+    """Pairs of changed pages; previews of every third page are missing."""
+    m = modified(spark, sf_dir)
+    side = lambda c: F.transform(pages_of(C(c)), lambda p: p.withField("preview_path", F.concat(C("key"), F.lit(f"/{c}/"), p["page"].cast("string"))))
+    rows = m.select("key", side("old").alias("a"), side("new").alias("b"))
+    paths = rows.select(F.explode(F.concat("a.preview_path", "b.preview_path")).alias("path"))
+    return snapshot.preview_pairs(rows, "key", C("a"), C("b"), paths.filter(~C("path").rlike("/[0-9]*[369]$")))
+
+
 def queries() -> dict:
     return dict(MADE)
 

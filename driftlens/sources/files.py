@@ -11,6 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import urls
+
+# Content types of pages.
+PAGE_TYPES = ("text/html", "application/xhtml+xml")
 UNIT = pa.list_(pa.struct([("pos", pa.int32()), ("sheet", pa.string()), ("cell", pa.string()), ("text", pa.string())]))
 
 
@@ -113,3 +117,11 @@ def analyses(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *arrays], names=[*kept, "kind", "units", "reason"])
 
     return rows.select(*kept, "content").mapInArrow(run, f"{schema}, kind string, units array<struct<pos:int,sheet:string,cell:string,text:string>>, reason string")
+
+
+def refused(rows: DataFrame) -> DataFrame:
+    """Rows (url, content_type) whose URL names a document but that came as a page, with ``error``; take the others with ``left_anti``."""
+    own = urls.suffix(F.col("url"))
+    page = F.lower(F.coalesce("content_type", F.lit(""))).isin(*PAGE_TYPES)
+    said = F.concat(F.lit("expected a "), own, F.lit(" file, got "), F.col("content_type"))
+    return rows.filter(own.isin(*urls.DOCUMENT_SUFFIXES) & page).withColumn("error", said)

@@ -235,3 +235,26 @@ def test_pixels(spark):
     boxes = {r["i"]: [tuple(x) for x in r["boxes"]] for r in both.select("i", sequence.difference_boxes(F.col("a"), F.col("b")).alias("boxes")).collect()}
     # The third pixel's cell touches the second's at a corner: one region.
     assert boxes == {1: [(2, 0, 39, 19)], 2: [], 3: [], 4: []}
+
+
+def test_refused_downloads(spark):
+    from driftlens.sources import files
+
+    d = spark.createDataFrame([("https://x.test/a.PDF?b=1", "Text/HTML"), ("https://x.test/a.pdf", None), ("https://x.test/a.html", "text/html"), (None, "text/html")], "url string, content_type string")
+    assert [r["error"] for r in files.refused(d).collect()] == ["expected a .pdf file, got Text/HTML"]
+
+
+def test_record_documents(spark):
+    from driftlens.functions import predicates
+
+    d = spark.createDataFrame([(1, "SQS-daily-1", None), (2, None, "https://x.test/PayItems/sqs%2Ddaily-7.txt"), (3, "x sqs-daily-", "https://x.test/sqs-daily-7"), (4, None, None)], "i int, title string, url string")
+    assert [r["i"] for r in d.filter(predicates.is_record_document(F.col("title"), F.col("url"))).collect()] == [1, 2]
+
+
+def test_preview_pairs(spark):
+    page = "array<struct<page:int,text_sha256:string,visual_sha256:string,preview_path:string>>"
+    old, new = [(1, "a", "v1", "o/1"), (2, "b", "v2", "o/2")], [(1, "a", "v1", "n/1"), (2, "b", "v9", "n/2"), (3, "c", None, "n/3")]
+    d = spark.createDataFrame([("k", old, new), ("same", old, old), ("none", None, None)], f"key string, a {page}, b {page}")
+    listing = spark.createDataFrame([("o/2",), ("n/2",), ("n/2",)], "path string")
+    got = sorted(tuple(r) for r in snapshot.preview_pairs(d, "key", F.col("a"), F.col("b"), listing).collect())
+    assert got == [("k", 0, 2, 2, "o/2", "n/2", None), ("k", 1, None, 3, "", "", "Highlights require both page previews.")]
