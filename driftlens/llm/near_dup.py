@@ -1,4 +1,4 @@
-"""Near-duplicate classes (operator 3): improved consistent weighted sampling, bands, weighted Jaccard.
+"""Near-duplicate classes (operator 3): consistent weighted sampling, bands, weighted Jaccard.
 
 A text is the multiset of its five-word shingles with TF-IDF weights. Two
 texts are linked when their weighted Jaccard similarity is 0.8 or more;
@@ -8,10 +8,12 @@ classes are the connected components of the links. The steps:
    2**18 hashed counters (a feature-hashed frequency, at most the mean load of
    a counter too high); a task sends sums only. Shingles in under a tenth of
    the documents weigh 1, commoner ones ln(N / df) / ln(10);
-2. signatures: each shingle draws one improved consistent weighted sample in
-   one of 128 bins (one-permutation form: a text's shingles share the bins, so
-   a text costs one draw a shingle); empty bins borrow from bins that a hash of
-   the bin names (densification), so agreement of a bin estimates the similarity;
+2. signatures: weighted MinHash in 128 bins. The elements are a text's shingles
+   with their occurrence numbers, so counts weigh as in the similarity; each has
+   a stream of random points in the bins at its weight as rate, and a bin keeps
+   the element of its earliest point. A bin agrees with the probability of the
+   weighted similarity; a text costs about a point a word, and a short one the
+   some 700 points that fill all bins;
 3. 25 bands of 5 bins make buckets: a pair at 0.8 shares one with probability
    0.99995. In each bucket all members are compared with its most central text
    (the one with most bucket mates over all bands), not with each other;
@@ -44,6 +46,8 @@ from .kernels import SLICE_ROWS, Block, blocks, doc_of, is_space, map_texts, mix
 from .shared import drop, written
 
 U64 = np.uint64
+#: Points of a signature step that are made at a time.
+POINTS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -113,59 +117,50 @@ def frequencies(docs: DataFrame, text_col: str, s: Settings) -> np.ndarray:
     return weight
 
 
-def samples(keys: np.ndarray, counts: np.ndarray, weight: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One improved consistent weighted sample for each shingle: its bin, ln a, and the identity of (shingle, t)."""
-    own = keys & U64((1 << 52) - 1)
-    log_s = np.log(counts * weight[counter_of(keys, s.counters)])
-    h = mix(own + U64(0x5851F42D4C957F2D))
-    bins = ((h >> U64(40)) * U64(s.bins) >> U64(24)).astype(np.int64)
-
-    def uniform(k: int) -> np.ndarray:
-        return ((mix(h + U64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53
-
-    r = -np.log(uniform(1) * uniform(2))  # Gamma(2, 1)
-    c = -np.log(uniform(3) * uniform(4))
-    beta = uniform(5)
-    t = np.floor(log_s / r + beta)
-    log_a = np.log(c) - r * (t - beta + 1)
-    return bins, log_a, mix(own + (t.astype(np.int64).view(U64) + U64(1)) * U64(0xD6E8FEB86659FD93))
+def points(elements: np.ndarray, rate: np.ndarray, first: int, number: int, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Bins and waiting times (matrices elements x number) of points first, first + 1, ... of each element's stream."""
+    nth = np.arange(first + 1, first + number + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)
+    h = mix(elements[:, None] + nth)
+    wait = -np.log(((h >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53) / rate[:, None]
+    return ((mix(h + U64(0x5851F42D4C957F2D)) >> U64(40)) * U64(s.bins) >> U64(24)).astype(np.int64), wait
 
 
 def signature(keys: np.ndarray, counts: np.ndarray, ptr: np.ndarray, weight: np.ndarray, s: Settings) -> np.ndarray:
-    """Matrix texts x bins; rows of texts without shingles are 0."""
+    """Matrix texts x bins; rows of texts without shingles are 0.
+
+    Each (shingle, occurrence number) has a stream of points at the shingle's
+    weight as rate, each point in a random bin; a bin's sample is the element
+    of its earliest point. So two texts agree in a bin with a probability equal
+    to their weighted Jaccard similarity, whatever their counts and weights.
+    Points are made in doubling numbers for the elements whose next point can
+    still come before the latest of their text's samples.
+    """
     n = len(ptr) - 1
-    out, full = np.zeros((n, s.bins), U64), np.zeros((n, s.bins), bool)
-    if not len(keys):
-        return out
-    doc = (keys >> U64(52)).astype(np.int64)
-    bins, log_a, what = samples(keys, counts, weight, s)
-    raw = log_a.astype(np.float32).view(np.uint32)
-    ordered = np.where(raw >> 31, ~raw, raw | np.uint32(1 << 31)).astype(U64)  # float order as integer order
-    cell = doc * s.bins + bins
-    order = np.argsort((cell.astype(U64) << U64(32)) | ordered, kind="stable")
-    cell = cell[order]
-    first = np.r_[True, cell[1:] != cell[:-1]]
-    out.ravel()[cell[first]] = what[order[first]]
-    full.ravel()[cell[first]] = True
-    lacking = np.flatnonzero(~full.all(1) & full.any(1))
-    if len(lacking):
-        o, f = out[lacking], full[lacking]
-        got = f.copy()
-        all_bins = np.arange(s.bins, dtype=U64)
-        for k in range(1, 40 * s.bins):
-            source = (mix(all_bins * U64(0x2545F4914F6CDD1D) + U64(k)) % U64(s.bins)).astype(np.intp)
-            take = ~got & f[:, source]
-            if take.any():
-                i, j = np.nonzero(take)
-                o[i, j] = o[i, source[j]]
-                got |= take
-            if k % 16 == 0:
-                left = ~got.all(1)
-                if not left.any():
-                    break
-        i, j = np.nonzero(~got)
-        o[i, j] = o[i, f[i].argmax(1)]
-        out[lacking] = o
+    out, best = np.zeros((n, s.bins), U64), np.full((n, s.bins), np.inf)
+    which = np.repeat(np.arange(len(keys)), counts)
+    nth = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
+    own = mix((keys[which] & U64((1 << 52) - 1)) + nth.astype(U64) * U64(0xD6E8FEB86659FD93))
+    doc = (keys[which] >> U64(52)).astype(np.int64)
+    rate = weight[counter_of(keys, s.counters)].astype(np.float64)[which]
+    at, made, number = np.zeros(len(which)), 0, 1
+    while len(own):
+        most = max(1, POINTS // number)
+        for k in range(0, len(own), most):
+            part = slice(k, k + most)
+            bins, wait = points(own[part], rate[part], made, number, s)
+            wait[:, 0] += at[part]
+            when = np.cumsum(wait, axis=1)
+            at[part] = when[:, -1]
+            cell = (doc[part, None] * s.bins + bins).ravel()
+            when = when.ravel()
+            sooner = np.flatnonzero(when < best.ravel()[cell])
+            sooner = sooner[np.argsort(-when[sooner], kind="stable")]  # the earliest is assigned last
+            best.ravel()[cell[sooner]] = when[sooner]
+            out.ravel()[cell[sooner]] = own[part][sooner // number]
+        going = at < best.max(1)[doc]
+        own, doc, rate, at = own[going], doc[going], rate[going], at[going]
+        made += number
+        number = made
     return out
 
 

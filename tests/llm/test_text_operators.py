@@ -250,6 +250,32 @@ def test_near_dup_classes(spark, odd, none):
     assert near_dup.classes(none).count() == 0 and near_dup.keep_one(none).count() == 0
 
 
+def test_near_dup_classes_of_repeated_lines(spark):
+    """Counts weigh in the candidate search as they do in the similarity."""
+    rng = random.Random(13)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    rows = []
+    for g in range(24):
+        again = [word() for _ in range(10)] * 200 if g % 2 else [word()] * 2000
+        rows += [(2 * g + k, " ".join(again + [word() for _ in range(60 if g < 12 else 300)])) for k in (0, 1)]  # 0.94; below 0.8
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_classes(rows)
+    assert got == want and len(set(want.values())) == 36
+
+
+def test_sampling_follows_counts_and_weights():
+    s = near_dup.Settings()
+    rng = random.Random(14)
+    w = np.where(np.random.default_rng(14).random(1 << s.counters) < 0.5, s.least_weight, 1).astype(np.float32)
+    agree, sim = [], []
+    for k in range(60):
+        texts = [" ".join(["line of six words in it"] * 3 * k + [str(rng.randrange(10**9)) for _ in range(20)]) for _ in range(2)]
+        sig = near_dup.signature(*near_dup.shingles(texts, 5), w, s)
+        agree.append((sig[0] == sig[1]).mean())
+        sim.append(near_dup.similarities(texts[:1], texts[1:], w, s)[0])
+    assert np.abs(np.array(agree) - sim).max() < 0.2 and abs(np.mean(agree) - np.mean(sim)) < 0.02
+
+
 def test_remaining_pairs_are_exact(spark):
     """The prefix filter finds every pair above the threshold among texts that are all apart."""
     rng = random.Random(8)
