@@ -399,6 +399,13 @@ def percent_encoding(spark, sf_dir):
     return d.withColumn("again", urls.unquote(C("quoted")))
 
 
+@query("SELECT doc_id, url_encode(text) AS quoted, text AS again FROM documents")
+def percent_encoding_whole(spark, sf_dir):
+    """Whole texts; percent_encoding takes the first 200 characters, as its SQL does."""
+    d = fx.table(spark, sf_dir, "documents").select("doc_id", urls.quote(C("text"), "").alias("quoted"))
+    return d.withColumn("again", urls.unquote(C("quoted")))
+
+
 @query(f"SELECT page_id, regexp_extract(regexp_replace(regexp_extract(url, '{URL_RE}', 3), '/+$', ''), '[^/]*$') AS name FROM pages")
 def url_file_names(spark, sf_dir):
     return fx.table(spark, sf_dir, "pages").select("page_id", urls.file_name(C("url")).alias("name"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from driftlens.config import Config, Route
 from driftlens.functions import predicates, text, urls
 from driftlens.operators import sequence
+from driftlens.plans import registry
 from driftlens.sources import files
 from driftlens.sources.html import PageReader
 
@@ -138,3 +139,10 @@ def test_config():
         c.add_recipient("nobody")
     with pytest.raises(ValueError):
         Config.of({"page_url": "ftp://x"})
+
+
+def test_percent_encoding_of_whole_texts(spark, tmp_path):
+    texts = ["a" * 200 + " é😀%&/+~*", "x y" * 20_000, "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["quoted"], r["again"]) for r in registry.queries()["percent_encoding_whole"](spark, str(tmp_path)).collect()}
+    assert got == {i: (t if t is None else quote(t, safe=""), t) for i, t in enumerate(texts)}
