@@ -42,7 +42,7 @@ SPLIT = r"[.!?]+\s+|[\r\n]+"
 
 
 def paragraphs(text: str) -> Column:
-    """Distinct 64-bit digests of a text's paragraphs."""
+    """Distinct 64-bit digests of a text's paragraphs; one without line or sentence ends is a single piece."""
     return F.array_distinct(F.transform(F.array_remove(F.split(text, SPLIT), ""), lambda x: F.xxhash64(x)))
 
 
