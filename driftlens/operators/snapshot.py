@@ -86,11 +86,15 @@ def ancestors(sections: DataFrame, column: str = "section") -> DataFrame:
     return each.select("path", F.element_at(own, -1).alias("title"), F.size(own).alias("depth"))
 
 
-def flatten_tree(rows: DataFrame, order: str = "pos", levels: int = 16) -> DataFrame:
+def flatten_tree(rows: DataFrame, order: str = "pos", levels: int | None = None) -> DataFrame:
     """Paths of an indented listing (grid, pos, level, name): each level's last name, unless a higher level came since.
 
-    One ordered window a grid; per level it keeps one value, so the cost is rows x levels.
+    One ordered window a grid; per level it keeps one value, so the cost is rows x levels. Without ``levels`` they
+    go down to the deepest one of the rows.
     """
+    if levels is None:
+        deepest = rows.agg(F.max("level")).first()[0]
+        levels = 1 if deepest is None else max(1, deepest + 1)
     so_far = Window.partitionBy("grid").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     names = []
     for n in range(levels):

@@ -1,4 +1,4 @@
-"""Reports: HTML from a small, bounded set of rows."""
+"""Reports: HTML from a small set of rows."""
 
 from __future__ import annotations
 
@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame
 from ..operators import dedup
 
 
-def change_report(changes: DataFrame, title: str, most: int = 1000) -> str:
-    """Summary lines with counts over all changes, then at most ``most`` of them."""
+def change_report(changes: DataFrame, title: str, most: int | None = None) -> str:
+    """Summary lines with counts over all changes, then all of them; or the first ``most`` and a line that counts the others."""
     lines = [r["line"] for r in dedup.summary(changes).orderBy("place").collect()]
-    rows = changes.orderBy("category", "key").limit(most).collect()
+    ordered = changes.orderBy("category", "key")
+    rows = ordered.collect() if most is None else ordered.limit(most).collect()
+    more = 0 if most is None else changes.count() - len(rows)
     body = "".join(f"<tr><td>{escape(r['category'])}</td><td>{escape(r['new_title'] or r['old_title'] or '')}</td><td>{escape(r['key'] or '')}</td></tr>" for r in rows)
-    return f"<h1>{escape(title)}</h1><ul>{''.join(f'<li>{escape(x)}</li>' for x in lines)}</ul><table>{body}</table>"
+    rest = f"<p>{more} additional changes omitted</p>" if more else ""
+    return f"<h1>{escape(title)}</h1><ul>{''.join(f'<li>{escape(x)}</li>' for x in lines)}</ul><table>{body}</table>{rest}"
 
 
 def status_report(title: str, message: str) -> str:

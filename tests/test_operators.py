@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftlens.operators import dedup, diff, routing, sequence, snapshot
+from driftlens.plans import report
 from driftlens.sources.state import Lock, Store, read_json, write_json
 from driftlens.streaming.monitor import Monitor, retry
 
@@ -258,3 +259,15 @@ def test_preview_pairs(spark):
     listing = spark.createDataFrame([("o/2",), ("n/2",), ("n/2",)], "path string")
     got = sorted(tuple(r) for r in snapshot.preview_pairs(d, "key", F.col("a"), F.col("b"), listing).collect())
     assert got == [("k", 0, 2, 2, "o/2", "n/2", None), ("k", 1, None, 3, "", "", "Highlights require both page previews.")]
+
+
+def test_trees_and_reports_are_whole(spark):
+    tree = spark.createDataFrame([(1, i, i, f"n{i}") for i in range(20)], "grid int, pos int, level int, name string")
+    paths = [r["path"] for r in snapshot.flatten_tree(tree).orderBy("pos").collect()]
+    assert paths == [" / ".join(f"n{j}" for j in range(i + 1)) for i in range(20)]
+    assert snapshot.flatten_tree(tree.limit(0)).count() == 0
+    changes = diff.documents(docs(spark), docs(spark, *((f"k{i}", None, f"T{i}", str(i)) for i in range(1100))))
+    page = report.change_report(changes, "all")
+    assert page.count("<tr>") == 1100 and "omitted" not in page
+    page = report.change_report(changes, "some", 1000)
+    assert page.count("<tr>") == 1000 and "<p>100 additional changes omitted</p>" in page
