@@ -8,11 +8,15 @@ begins there. Pieces are slices of the UTF-8 bytes; each distinct piece is
 merged once by rank and kept in a bounded cache. Pieces that the cache misses
 are merged together, one array row for each.
 
+Each piece's byte offset is retained with the number of its first id. Decoding
+puts every piece's bytes at its offset, so any byte span of a text can be
+decoded from the ids of the pieces that it touches (``decode_span``).
+
 Defined results: a null text counts as empty; an empty text has no ids and no
-pieces; every row of the input has one row in the output, repeated rows and
-ties included; only the named columns are read, so extra columns of any name
-are ignored. Nothing is shuffled. An id outside the vocabulary decodes to
-nothing.
+pieces; very long texts are encoded whole; every row of the input has one row
+in the output, repeated rows and ties included; an empty table gives no rows;
+only the named columns are read, so extra columns of any name are ignored.
+Nothing is shuffled. An id outside the vocabulary decodes to nothing.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -157,6 +162,9 @@ class Vocabulary:
         for b, r in self.ranks.items():
             self.bytes_of[r] = b
         self.text_of = [str(i) for i in range(size)]
+        self.flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.size_of = np.array([*map(len, self.bytes_of), 0], np.int64)
+        self.at_of = np.r_[0, np.cumsum(self.size_of)][:-1]
         byte = np.zeros(256, np.int64)
         for i in range(256):
             byte[i] = self.ranks[bytes([i])]
@@ -308,12 +316,20 @@ class Vocabulary:
             got = [made[p] if g is None else g for p, g in zip(pieces, got, strict=True)]
         return got
 
-    def decode(self, ids: list[int]) -> bytes:
-        table, n = self.bytes_of, len(self.bytes_of)
-        try:
-            return b"".join(map(table.__getitem__, ids))
-        except IndexError:
-            return b"".join(table[i] for i in ids if 0 <= i < n)
+    def decode(self, ids: np.ndarray, first: np.ndarray, offsets: np.ndarray) -> bytes:
+        """Bytes of ids: piece i has the ids from first[i] on, and its bytes stand at offsets[i] (counted from offsets[0])."""
+        n = len(self.bytes_of)
+        known = (ids >= 0) & (ids < n)
+        own = np.where(known, ids, n)  # an unknown id is empty
+        size = self.size_of[own]
+        upto = np.r_[0, np.cumsum(size)]
+        # Where each id's bytes go: at its piece's offset, after the ids of the piece before it.
+        piece = np.searchsorted(first, np.arange(len(ids)), "right") - 1
+        to = offsets[piece] - offsets[0] + upto[:-1] - upto[first][piece] if len(ids) else upto[:0]
+        out = np.zeros(int((to + size).max(initial=0)), np.uint8)
+        step = np.arange(upto[-1]) - np.repeat(upto[:-1], size)
+        out[np.repeat(to, size) + step] = self.flat[np.repeat(self.at_of[own], size) + step]
+        return out.tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -322,7 +338,7 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def encode_block(texts: list[str | None], vocab: Vocabulary):
-    """For each text: its bytes, its ids (int32 array) and the byte offsets of its pieces."""
+    """For each text: its bytes, its ids (int32 array), and of its pieces the byte offsets and the numbers of their first ids."""
     block = Block(texts)
     starts = piece_starts(block)
     c = block.cps
@@ -337,57 +353,79 @@ def encode_block(texts: list[str | None], vocab: Vocabulary):
     cuts = begin.tolist()
     pieces = list(map(raw.__getitem__, map(slice, cuts, [*cuts[1:], len(raw)])))
     got = vocab.ids(pieces)
-    ptr = block.ptr(starts).tolist()
+    number = np.zeros(len(got) + 1, np.int64)
+    np.cumsum(np.fromiter(map(len, got), np.int64, len(got)) // 4, out=number[1:])
+    ids = np.frombuffer(b"".join(got), np.int32)
+    ptr = block.ptr(starts)
     edge = at[block.offs]
     for i in range(block.n):
         a, b = ptr[i], ptr[i + 1]
-        yield raw[edge[i] : edge[i + 1]], np.frombuffer(b"".join(got[a:b]), np.int32), begin[a:b] - edge[i]
+        yield raw[edge[i] : edge[i + 1]], ids[number[a] : number[b]], begin[a:b] - edge[i], number[a:b] - number[a]
 
 
 def encode(docs: DataFrame, path: str, id_cols: list[str], text_col: str = "text", digests: bool = False) -> DataFrame:
-    """Per row: id_cols, ids array<int>, piece_offsets array<int> (byte offsets at which pieces begin), n_tokens.
+    """Per row: id_cols, ids array<int>, piece_offsets and piece_ids array<int>, n_tokens.
 
-    With ``digests`` the arrays are replaced by SHA-256 digests of the joined
-    decimal ids and of the bytes that decoding them gives.
+    A piece's offset is the byte at which it begins, its piece_ids entry the
+    number of its first id. With ``digests`` the arrays are replaced by SHA-256
+    digests of the joined decimal ids and of the bytes that decoding them at
+    their pieces' offsets gives, n_pieces, and whether these are the text's bytes.
     """
 
     def arrays(texts):
-        vocab = vocabulary(path)
-        ids, offs, n = [], [], []
-        for _, own, at in encode_block(texts, vocab):
+        ids, offs, first, n = [], [], [], []
+        for _, own, at, begin in encode_block(texts, vocabulary(path)):
             ids.append(own)
             offs.append(at.astype(np.int32))
+            first.append(begin.astype(np.int32))
             n.append(len(own))
-        return [pa.array(ids, pa.list_(pa.int32())), pa.array(offs, pa.list_(pa.int32())), n]
+        return [pa.array(x, pa.list_(pa.int32())) for x in (ids, offs, first)] + [n]
 
     def hashed(texts):
         vocab = vocabulary(path)
-        n, sha_ids, sha_text, whole = [], [], [], []
-        for raw, own, _ in encode_block(texts, vocab):
-            ids = own.tolist()
-            back = vocab.decode(ids)
-            n.append(len(ids))
-            sha_ids.append(hashlib.sha256(",".join(map(vocab.text_of.__getitem__, ids)).encode()).hexdigest())
+        n, sha_ids, sha_text, pieces, whole = [], [], [], [], []
+        for raw, own, at, begin in encode_block(texts, vocab):
+            back = vocab.decode(own, begin, at)
+            n.append(len(own))
+            sha_ids.append(hashlib.sha256(",".join(map(vocab.text_of.__getitem__, own.tolist())).encode()).hexdigest())
             sha_text.append(hashlib.sha256(back).hexdigest())
+            pieces.append(len(at))
             whole.append(back == raw)
-        return [n, sha_ids, sha_text, whole]
+        return [n, sha_ids, sha_text, pieces, whole]
 
     if digests:
-        fields = [("n_tokens", "bigint", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string()), ("round_trip", "boolean", pa.bool_())]
+        fields = [("n_tokens", "bigint", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string()), ("n_pieces", "bigint", pa.int64()), ("round_trip", "boolean", pa.bool_())]
         return map_texts(docs, text_col, id_cols, fields, hashed)
-    fields = [("ids", "array<int>", pa.list_(pa.int32())), ("piece_offsets", "array<int>", pa.list_(pa.int32())), ("n_tokens", "bigint", pa.int64())]
-    return map_texts(docs, text_col, id_cols, fields, arrays)
+    fields = [(name, "array<int>", pa.list_(pa.int32())) for name in ("ids", "piece_offsets", "piece_ids")]
+    return map_texts(docs, text_col, id_cols, [*fields, ("n_tokens", "bigint", pa.int64())], arrays)
+
 
+def decode(tokens: DataFrame, path: str, ids_col: str = "ids", offsets_col: str = "piece_offsets", first_col: str = "piece_ids", out: str = "text") -> DataFrame:
+    """Adds the text of what ``encode`` returned; invalid UTF-8 becomes U+FFFD; a null array gives null."""
+    return decode_span(tokens, path, None, None, ids_col, offsets_col, first_col, out)
 
-def decode(tokens: DataFrame, path: str, ids_col: str = "ids", out: str = "text") -> DataFrame:
-    """Adds the text of an array of ids; invalid UTF-8 becomes U+FFFD; a null array gives null."""
+
+def decode_span(tokens: DataFrame, path: str, begin: int | None, end: int | None, ids_col: str = "ids", offsets_col: str = "piece_offsets", first_col: str = "piece_ids", out: str = "text") -> DataFrame:
+    """Adds the text of the bytes from ``begin`` up to ``end``; only the pieces that they touch are decoded."""
 
     @F.pandas_udf("string")
-    def back(ids):
-        vocab = vocabulary(path)
-        return ids.map(lambda x: None if x is None else vocab.decode(list(x)).decode("utf-8", "replace"))
+    def back(ids, offsets, first):
+        vocab, made = vocabulary(path), []
+        for own, at, nth in zip(ids, offsets, first, strict=True):
+            if own is None or at is None or nth is None or not len(at):
+                made.append(None if own is None or at is None or nth is None else "")
+                continue
+            a = 0 if begin is None else max(0, int(np.searchsorted(at, begin, "right")) - 1)
+            b = len(at) if end is None else max(a, int(np.searchsorted(at, end, "left")))
+            if a == b:
+                made.append("")
+                continue
+            some = np.asarray(own)[nth[a] : (nth[b] if b < len(nth) else None)]
+            data = vocab.decode(some, np.asarray(nth[a:b], np.int64) - nth[a], np.asarray(at[a:b], np.int64))
+            made.append(data[max(0, (begin or 0) - at[a]) : None if end is None else end - at[a]].decode("utf-8", "replace"))
+        return pd.Series(made, dtype=object)
 
-    return tokens.withColumn(out, back(F.col(ids_col)))
+    return tokens.withColumn(out, back(F.col(ids_col), F.col(offsets_col), F.col(first_col)))
 
 
 def op2_byte_bpe(spark, sf_dir: str, path: str | None = None) -> DataFrame:

@@ -8,28 +8,36 @@ over the automaton's states finds the cheapest repair; equal costs are decided
 by the order of ``ACTIONS`` and then of ``ROLES``, from the last turn backwards.
 
 A turn is a 4 x 4 matrix in the (min, +) semiring, so a conversation is a
-matrix product and can be cut: blocks of ``block_turns`` turn numbers become
-one matrix each, the matrices of a conversation give each block's entry and
-exit state, and every block then traces its own turns. No task holds a long
+matrix product and can be cut. One of more than ``block_turns`` rows is dealt
+by ranges of its order, its rows are numbered by prefix counts, and blocks of
+``block_turns`` numbers become one matrix each. The products of the blocks
+before give a block the costs with which it begins; from them each block finds,
+for each state in which it may end, the state from which it comes by the one
+tie rule, and these steps back are followed over the blocks from the last one.
+So results don't depend on ``block_turns``, and no task holds a long
 conversation; one row a block is the most that meets.
 
 The result has one row per given turn: its new role, action, cost and the
 rendered piece; pieces joined in turn order are the rendered conversation.
 
 Defined results: roles are compared lower-cased and trimmed, and a null or
-unknown role is relabelled at the usual cost; a null text is empty; turns are
-ordered by number (nulls last), then role, then text digest; repeated rows are
-turns of their own; null conv_ids are one conversation; extra columns are
-ignored; an empty table gives no rows.
+unknown role is relabelled at the usual cost; a null text is empty; a very long
+text is rendered whole; turns are ordered by number (nulls last), then role
+(nulls first), then text digest; repeated rows are turns of their own and
+interchangeable; null conv_ids are one conversation; extra columns of any name
+are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
 # States and costs.
 ROLES = ("start", "system", "user", "assistant")
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -81,13 +89,16 @@ ENDS = [[USER, ASSISTANT], [USER, ASSISTANT], [ASSISTANT], []]
 END_COST = np.array([COST_INSERT * len(x) for x in ENDS], np.int64)
 
 
-def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.minimum((a[:, :, None] + b[None, :, :]).min(1), INF)
+#: Actions, and the inserted roles, as arrays [given role][state before][role after].
+WAYS = np.array([[[w[1] for w in row] for row in table] for table in STEPS], np.int64)
+INSERTED = np.array([[[len(w[2]) for w in row] for row in table] for table in STEPS], np.int64)
+#: Cost, action and state before in one number, so that its minimum follows the tie rule.
+KEYED = (COSTS * 8 + WAYS) * 4 + np.arange(4)[None, :, None]
 
 
-def block_matrix(roles: list[int]) -> np.ndarray:
+def block_matrix(roles: np.ndarray) -> np.ndarray:
     """(min, +) product of the turns' matrices, as a tree of pairs."""
-    m = COSTS[np.array(roles, np.int64)]
+    m = COSTS[roles]
     while len(m) > 1:
         odd = m[-1:] if len(m) % 2 else m[:0]
         left, right = m[: len(m) - len(m) % 2 : 2], m[1::2]
@@ -95,31 +106,40 @@ def block_matrix(roles: list[int]) -> np.ndarray:
     return m[0]
 
 
-def trace(roles: list[int], entry: int, leave: int | None) -> list[tuple[int, int, int, int, list[int]]]:
-    """For each turn (state before, role after, cost, action, inserted); ``leave`` is the given last state, or None for a free end."""
-    cost = [INF] * 4
-    cost[entry] = 0
-    back = []
-    for r in roles:
-        table = STEPS[r]
-        new, ways = [INF] * 4, [0] * 4
-        for q in (1, 2, 3):
-            best = (INF, 99, 9)
-            for s in range(4):
-                w = table[s][q]
-                if cost[s] < INF and w[0] < INF and (x := (cost[s] + w[0], w[1], s)) < best:
-                    best = x
-            new[q], ways[q] = min(best[0], INF), best[2] if best[0] < INF else 0
-        back.append(ways)
-        cost = new
-    q = leave if leave is not None else min(range(4), key=lambda s: (cost[s] + int(END_COST[s]), s))
-    out = []
-    for r, ways in zip(reversed(roles), reversed(back), strict=True):
-        s = ways[q]
-        c, action, path = STEPS[r][s][q]
-        out.append((s, q, c, action, path))
-        q = s
-    return out[::-1]
+def forward(roles: np.ndarray, ptr: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For conversations laid end to end, begun with the costs ``begin`` of the states: the state before each turn for
+    each state after it (turns x 4), and the costs at the ends. All conversations advance together, a turn a step."""
+    size = np.diff(ptr)
+    order = np.argsort(-size, kind="stable")
+    back, cost = np.zeros((len(roles), 4), np.int8), begin.astype(np.int64).copy()
+    for k in range(int(size.max(initial=0))):
+        on = order[: np.searchsorted(-size[order], -k, "left")]
+        at = ptr[on] + k
+        # INF is large enough to stay one after an addition; the low digits hold action and state.
+        ways = KEYED[roles[at]] + cost[on][:, :, None] * 32
+        best = ways.min(1)
+        best[:, START] = INF * 32
+        back[at] = best % 4
+        cost[on] = np.minimum(best // 32, INF)
+    return back, cost
+
+
+def backward(back: np.ndarray, ptr: np.ndarray, leave: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """States before and after each turn, for the states in which the conversations end."""
+    size = np.diff(ptr)
+    order = np.argsort(-size, kind="stable")
+    before, after, q = np.zeros(len(back), np.int64), np.zeros(len(back), np.int64), leave.astype(np.int64).copy()
+    for k in range(int(size.max(initial=0))):
+        on = order[: np.searchsorted(-size[order], -k, "left")]
+        at = ptr[on + 1] - 1 - k
+        after[at] = q[on]
+        q[on] = before[at] = back[at, q[on]]
+    return before, after
+
+
+def last_state(cost: np.ndarray) -> np.ndarray:
+    """The cheapest state to end in, the first on a tie."""
+    return np.minimum(cost + END_COST, INF).argmin(-1)
 
 
 def code(role: F.Column) -> F.Column:
@@ -137,104 +157,159 @@ def markup(role: int) -> str:
 CLOSE = "<|end|>\n"
 
 
-def piece(turn: tuple[int, int, int, int, list[int]], text: str, last: bool) -> str:
-    s, q, _, action, path = turn
-    if "merge" in ACTIONS[action]:
-        out = "\n" + text
-    else:
-        out = CLOSE * (s != START) + "".join(markup(p) + CLOSE for p in path) + markup(q) + text
-    if last:
-        out += CLOSE + "".join(markup(p) + CLOSE for p in ENDS[q])
-    return out
+def lead(given: int, s: int, q: int) -> str:
+    """What stands before a turn's text."""
+    _, action, path = STEPS[given][s][q]
+    if action == len(ACTIONS):
+        return ""
+    return "\n" if "merge" in ACTIONS[action] else CLOSE * (s != START) + "".join(markup(p) + CLOSE for p in path) + markup(q)
+
+
+LEADS = pa.array([lead(g, s, q) for g in range(4) for s in range(4) for q in range(4)])
+TAILS = pa.array([CLOSE + "".join(markup(p) + CLOSE for p in path) for path in ENDS] + [""])
+START_COST = np.array([0, INF, INF, INF], np.int64)
+
+
+def starts_of(table: pa.Table, names: list[str]) -> np.ndarray:
+    """Where runs of equal values in these columns begin, and the number of rows."""
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for name in names:
+        c = table.column(name).combine_chunks()
+        codes = c.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.r_[np.flatnonzero(new), table.num_rows]
+
+
+def runs_of(batches, names: list[str], made):
+    """Calls made(table) on tables that hold whole runs of equal values in the named columns."""
+    held: list[pa.RecordBatch] = []  # rows of the last run, which the next batch may continue
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cut = int(starts_of(pa.Table.from_batches([batch]), names)[-2])
+        if cut == 0 and held:
+            pair = pa.Table.from_batches([held[-1].slice(held[-1].num_rows - 1), batch.slice(0, 1)])
+            if len(starts_of(pair, names)) == 2:
+                held.append(batch)
+                continue
+        table = pa.Table.from_batches([*held, batch.slice(0, cut)])
+        if table.num_rows:
+            yield from made(table).to_batches()
+        held = [batch.slice(cut)]
+    if held:
+        yield from made(pa.Table.from_batches(held)).to_batches()
+
+
+def spelled(table: pa.Table, before: np.ndarray, after: np.ndarray, last: np.ndarray) -> pa.Table:
+    """The result's rows; ``last`` marks turns that end a conversation."""
+    given = table.column("code").to_numpy()
+    prefix = LEADS.take(pa.array((given * 4 + before) * 4 + after))
+    suffix = TAILS.take(pa.array(np.where(last, after, len(TAILS) - 1)))
+    text = pc.binary_join_element_wise(prefix, table.column("text").combine_chunks(), suffix, "")
+    cost = COSTS[given, before, after] + np.where(last, END_COST[after], 0)
+    action = pa.array([*ACTIONS, None], pa.string()).take(pa.array(WAYS[given, before, after]))
+    columns = {
+        "conv": table.column("conv"), "turn": table.column("turn"), "role": table.column("role"), "new_role": pa.array(ROLES).take(pa.array(after)), "action": action,
+        "inserted": pa.array(INSERTED[given, before, after].astype(np.int32)), "cost": pa.array(cost), "rendered": text,
+    }
+    return pa.table(columns)
+
+
+ORDER = ["conv", "none", "turn", "role", "digest"]
+
+
+def long_blocks(rows: DataFrame, block_turns: int) -> DataFrame:
+    """The rows of long conversations with block, and of each block start (costs of the states) and leave (last state)."""
+    conv = f"conv {rows.schema['conv'].dataType.simpleString()}"
+    kept = written(rows, "long").withColumn("salt", F.monotonically_increasing_id())  # parts equal rows; the scan is the same each time
+    dealt = kept.repartitionByRange(*ORDER, "salt").sortWithinPartitions(*ORDER, "salt").withColumn("at", F.monotonically_increasing_id())
+    placed = written(dealt.withColumn("range", F.shiftright("at", 33)), "ordered")
+    spans = placed.groupBy("conv", "range").agg(F.min("at").alias("lo"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("conv").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("begin", F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("lo")).select(F.col("conv").alias("c"), F.col("range").alias("r"), "begin")
+    placed = placed.join(spans, F.expr("conv <=> c AND `range` = r")).withColumn("block", F.expr(f"(at + begin) div {block_turns}"))
+    placed = written(placed.select("conv", "turn", "role", "code", "text", "block", "at"), "blocks")
+    narrow = placed.select("conv", "block", "at", "code")
+
+    def products(pdf):
+        return pdf.iloc[:1][["conv", "block"]].assign(m=[block_matrix(pdf.sort_values("at").code.to_numpy()).ravel().tolist()])
+
+    def begins(pdf):
+        pdf, cost, out = pdf.sort_values("block"), START_COST, []
+        for m in pdf.m:
+            out.append(cost.tolist())
+            cost = np.minimum((cost[:, None] + np.array(m, np.int64).reshape(4, 4)).min(0), INF)
+        return pdf[["conv", "block"]].assign(start=out, end=int(last_state(cost)))
+
+    matrices = narrow.groupBy("conv", "block").applyInPandas(products, f"{conv}, block bigint, m array<bigint>")
+    starts = written(matrices.groupBy("conv").applyInPandas(begins, f"{conv}, block bigint, start array<bigint>, end int"), "starts")
+    other = starts.select(F.col("conv").alias("c"), F.col("block").alias("b"), "start", "end")
+
+    def steps_back(pdf):
+        pdf = pdf.sort_values("at")
+        roles, ptr = pdf.code.to_numpy(), np.array([0, len(pdf)])
+        back, _ = forward(roles, ptr, np.array([list(pdf.start.iloc[0])]))
+        q = np.arange(4)
+        for row in back[::-1]:
+            q = row[q]
+        return pdf.iloc[:1][["conv", "block", "start", "end"]].assign(entry=[q.tolist()])
+
+    def leaves(pdf):
+        pdf, out = pdf.sort_values("block"), []
+        q = int(pdf.end.iloc[0])
+        for entry in reversed(pdf.entry.tolist()):
+            out.append(q)
+            q = int(entry[q])
+        return pdf[["conv", "block", "start"]].assign(leave=out[::-1], final=[*[False] * (len(pdf) - 1), True])
+
+    with_start = narrow.join(other, F.expr("conv <=> c AND block = b")).select("conv", "block", "at", "code", "start", "end")
+    back = with_start.groupBy("conv", "block").applyInPandas(steps_back, f"{conv}, block bigint, start array<bigint>, end int, entry array<int>")
+    found = written(back.groupBy("conv").applyInPandas(leaves, f"{conv}, block bigint, start array<bigint>, leave int, final boolean"), "leaves")
+    found = found.select(F.col("conv").alias("c"), F.col("block").alias("b"), "start", "leave", "final")
+    return placed.join(found, F.expr("conv <=> c AND block = b")).drop("c", "b")
+
+
+#: Long conversations up to this number are told to all tasks; above it, rows are joined with them.
+BROADCAST_ROWS = 100_000
+RESULT = "turn bigint, role string, new_role string, action string, inserted int, cost bigint, rendered string"
 
 
 def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", block_turns: int = 1024) -> DataFrame:
     """Per given turn: conv, turn, role, new_role, action, inserted (before it), cost (with the end's), rendered."""
-    turn = F.col(turn_col).cast("long")
-    rows = turns.select(
-        F.col(conv_col).alias("conv"), turn.alias("turn"), F.col(role_col).cast("string").alias("role"), code(F.col(role_col).cast("string")).alias("code"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.floor(turn / block_turns), F.lit((1 << 62))).cast("long").alias("block"),
-    ).withColumn("digest", F.xxhash64("text"))
-    conv_type = rows.schema["conv"].dataType.simpleString()
-    span = rows.groupBy("conv").agg(F.min("block").alias("lo"), F.max("block").alias("hi"))
-    long_ = span.filter("lo <> hi").select(F.col("conv").alias("c"), "lo", "hi")
-    order = ["turn", "role", "digest"]
-
-    def blocks_of(pdf):
-        pdf = pdf.assign(none=pdf.turn.isna()).sort_values(["none", *order], na_position="first", kind="stable")
-        return pdf.iloc[:1][["conv", "block"]].assign(m=[block_matrix(pdf.code.tolist()).ravel().tolist()])
-
-    parts = rows.select("conv", "block", "code", *order).join(long_.select("c"), F.expr("conv <=> c"), "left_semi")
-    matrices = parts.groupBy("conv", "block").applyInPandas(blocks_of, f"conv {conv_type}, block bigint, m array<bigint>")
-
-    def states_of(pdf):
-        pdf = pdf.sort_values("block").reset_index(drop=True)
-        forward, cost = [], np.full(4, INF)
-        cost[START] = 0
-        ms = [np.array(m, np.int64).reshape(4, 4) for m in pdf.m]
-        for m in ms:
-            forward.append(cost)
-            cost = np.minimum((cost[:, None] + m).min(0), INF)
-        q = int((np.minimum(cost + END_COST, INF)).argmin())
-        entry, leave = [], []
-        for before, m in zip(reversed(forward), reversed(ms), strict=True):
-            s = int(np.minimum(before + m[:, q], INF).argmin())
-            entry.append(s)
-            leave.append(q)
-            q = s
-        return pdf[["conv", "block"]].assign(entry=entry[::-1], leave=leave[::-1], final=[i == len(ms) - 1 for i in range(len(ms))])
-
-    states = matrices.groupBy("conv").applyInPandas(states_of, f"conv {conv_type}, block bigint, entry int, leave int, final boolean")
-    states = states.select(F.col("conv").alias("c"), F.col("block").alias("b"), "entry", "leave", "final")
-    with_states = rows.join(states, F.expr("conv <=> c AND block = b"), "left").select("conv", "block", "turn", "role", "code", "text", "digest", "entry", "leave", "final")
-    sorted_rows = with_states.repartition("conv", "block").sortWithinPartitions("conv", "block", F.col("turn").asc_nulls_last(), "role", "digest")
-
-    def run(batches):
-        held: list[pa.RecordBatch] = []  # the rows of the last (conv, block), which the next batch may continue
-
-        def made(table: pa.Table) -> pa.RecordBatch:
-            conv, block, codes = (table.column(k).to_pylist() for k in ("conv", "block", "code"))
-            texts, entry, leave, final = (table.column(k).to_pylist() for k in ("text", "entry", "leave", "final"))
-            new, actions, inserted, cost, rendered = [], [], [], [], []
-            a, n = 0, len(conv)
-            while a < n:
-                b = a + 1
-                while b < n and conv[b] == conv[a] and block[b] == block[a]:
-                    b += 1
-                whole = entry[a] is None
-                done = trace(codes[a:b], START if whole else entry[a], None if whole else leave[a])
-                for i, t in enumerate(done):
-                    last = i == b - a - 1 and (whole or final[a])
-                    new.append(ROLES[t[1]])
-                    actions.append(ACTIONS[t[3]])
-                    inserted.append(len(t[4]))
-                    cost.append(t[2] + (int(END_COST[t[1]]) if last else 0))
-                    rendered.append(piece(t, texts[a + i], last))
-                a = b
-            cols = [table.column("conv").combine_chunks(), table.column("turn").combine_chunks(), table.column("role").combine_chunks(), pa.array(new, pa.string()), pa.array(actions, pa.string()), pa.array(inserted, pa.int32()), pa.array(cost, pa.int64()), pa.array(rendered, pa.string())]
-            return pa.RecordBatch.from_arrays(cols, names=["conv", "turn", "role", "new_role", "action", "inserted", "cost", "rendered"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            conv, block = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            a = batch.num_rows - 1
-            while a > 0 and conv[a - 1] == conv[-1] and block[a - 1] == block[-1]:
-                a -= 1
-            if held and a == 0:
-                before = held[-1]
-                if before.column(0)[-1].as_py() == conv[0] and before.column(1)[-1].as_py() == block[0]:
-                    held.append(batch)
-                    continue
-            held.append(batch.slice(0, a))
-            table = pa.Table.from_batches(held)
-            if table.num_rows:
-                yield made(table)
-            held = [batch.slice(a)]
-        if held:
-            yield made(pa.Table.from_batches(held))
-
-    return sorted_rows.mapInArrow(run, f"conv {conv_type}, turn bigint, role string, new_role string, action string, inserted int, cost bigint, rendered string")
+    role = F.col(role_col).cast("string")
+    rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), role.alias("role"), code(role).alias("code"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.withColumn("digest", F.xxhash64("text")).withColumn("none", F.col("turn").isNull())
+    result = f"conv {rows.schema['conv'].dataType.simpleString()}, {RESULT}"
+    long_ = written(rows.groupBy("conv").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block_turns).select(F.col("conv").alias("c")), "convs")
+    many = long_.count()
+    told = F.broadcast(long_) if many <= BROADCAST_ROWS else long_
+    short = rows.join(told, F.expr("conv <=> c"), "left_anti") if many else rows
+
+    def whole(table):
+        ptr = starts_of(table, ["conv"])
+        back, cost = forward(table.column("code").to_numpy(), ptr, np.tile(START_COST, (len(ptr) - 1, 1)))
+        last = np.zeros(table.num_rows, bool)
+        last[ptr[1:] - 1] = True
+        return spelled(table, *backward(back, ptr, last_state(cost)), last)
+
+    sorted_rows = short.repartition("conv").sortWithinPartitions(*ORDER).select("conv", "turn", "role", "code", "text")
+    out = sorted_rows.mapInArrow(lambda batches: runs_of(batches, ["conv"], whole), result)
+    if not many:
+        return out
+
+    def part(table):
+        ptr = starts_of(table, ["conv", "block"])
+        begin = np.array(table.column("start").take(pa.array(ptr[:-1])).to_pylist(), np.int64)
+        back, _ = forward(table.column("code").to_numpy(), ptr, begin)
+        leave = table.column("leave").to_numpy()[ptr[:-1]]
+        last = np.zeros(table.num_rows, bool)
+        last[ptr[1:] - 1] = table.column("final").to_numpy(zero_copy_only=False)[ptr[1:] - 1]
+        return spelled(table, *backward(back, ptr, leave), last)
+
+    blocks = long_blocks(rows.join(told, F.expr("conv <=> c"), "left_semi"), block_turns)
+    blocks = blocks.repartition("conv", "block").sortWithinPartitions("conv", "block", "at").drop("at")
+    return out.unionByName(blocks.mapInArrow(lambda batches: runs_of(batches, ["conv", "block"], part), result))
 
 
 def render(turns: DataFrame, conv_col: str = "conv_id", **options) -> DataFrame:

@@ -7,17 +7,19 @@ the hits are counted for each language, each count is corrected for that
 language's false-positive rate, and the largest corrected share decides.
 
 Learning: from about ``Settings.docs_per_language`` texts a language (those
-whose id hashes low enough, texts of up to ``Settings.most_chars`` characters;
-this bound is the only sample). An n-gram enters the filter of a
-language if enough of its texts have it, relative to the language where it is
-most frequent. Languages are the distinct non-null ``lang`` values; more than
-64 use several mask words.
+whose id hashes low enough, whatever their lengths; this bound is the only
+sample). An n-gram enters the filter of a language if enough of its texts have
+it (all texts of a language that has fewer), relative to the language where it
+is most frequent; masks are put together on the executors, a row a slot.
+Languages are the distinct non-null ``lang`` values; more than 64 use several
+mask words, more than ``Settings.most_languages`` are an error.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter;
 a text with letters but without any known n-gram gets the language with most
 sampled texts, ties by name, with score 0; equal shares: first by name. With
-nothing to learn from, every text is ``und``. Repeated rows each get a row;
-extra columns are ignored. Scoring doesn't shuffle.
+nothing to learn from, every text is ``und``. Very long texts are learned from
+and scored whole. Repeated rows each get a row; an empty table gives no rows;
+extra columns of any name are ignored. Scoring doesn't shuffle.
 """
 
 from __future__ import annotations
@@ -27,11 +29,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import Block, map_texts, mix
+from .shared import drop, written
 
 U64 = np.uint64
 
@@ -39,7 +41,7 @@ U64 = np.uint64
 @dataclass(frozen=True)
 class Settings:
     docs_per_language: int = 1000  # bound of the learning sample (expected number; the hash decides)
-    most_chars: int = 20_000  # longer texts aren't learned from
+    most_languages: int = 4096  # the table has a mask word for 64 languages
     lengths: tuple[int, ...] = (3, 4)
     least_docs: int = 3
     least_share: float = 0.15  # of the share of texts in the language where the n-gram is most frequent
@@ -118,16 +120,25 @@ class Model:
     settings: Settings
 
 
+def languages_of(texts: DataFrame, s: Settings) -> dict[str, int]:
+    """Number of texts of each language; more languages than the table may have are an error."""
+    rows = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(s.most_languages + 1).collect()
+    if len(rows) > s.most_languages:
+        raise ValueError(f"more than {s.most_languages} languages; raise Settings.most_languages")
+    return {r["lang"]: r["n"] for r in rows}
+
+
 def fit(docs: DataFrame, learn: F.Column | None = None, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", settings: Settings = Settings()) -> Model:
     """Learns from the rows where ``learn`` holds and the language isn't null."""
+    spark = docs.sparkSession
     some = docs if learn is None else docs.filter(learn)
-    able = some.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= settings.most_chars))
     # Texts whose id hashes below the fraction that leaves docs_per_language of them: no ranking, no shuffle of texts.
-    size = {r["lang"]: r["n"] for r in able.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
-    cut = docs.sparkSession.createDataFrame([(x, min(1.0, settings.docs_per_language / n)) for x, n in size.items()], "lang string, part double")
-    cut = F.broadcast(cut) if len(size) <= 10_000 else cut
     part = F.shiftrightunsigned(F.xxhash64(F.lit(5), F.col(id_col).cast("string")), 11) * F.lit(2.0**-53)
-    first = able.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), part.alias("at")).join(cut, "lang").filter("at < part").select("lang", "text")
+    able = some.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), part.alias("at"))
+    number = languages_of(able, settings)
+    rows = [(x, min(1.0, settings.docs_per_language / n), min(settings.least_docs, n)) for x, n in number.items()]
+    cut = F.broadcast(spark.createDataFrame(rows, "lang string, part double, least int"))  # at most most_languages rows
+    first = able.join(cut, "lang").filter("at < part").select("lang", "least", "text")
 
     def distinct(texts):
         h, doc, _ = grams(texts, settings.lengths)
@@ -142,32 +153,28 @@ def fit(docs: DataFrame, learn: F.Column | None = None, text_col: str = "text",
         null = np.insert(np.zeros(len(h), bool), at[:-1], True)
         return [pa.ListArray.from_arrays(pa.array((at + np.arange(len(texts) + 1)).astype(np.int32)), pa.array(values, mask=null))]
 
-    found = map_texts(first, "text", ["lang"], [("grams", "array<bigint>", pa.list_(pa.int64()))], distinct)
+    found = map_texts(first, "text", ["lang", "least"], [("grams", "array<bigint>", pa.list_(pa.int64()))], distinct)
     counts = (
-        found.select("lang", F.explode("grams").alias("gram"))
-        .groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
-        .filter((F.col("n") >= settings.least_docs) | F.col("gram").isNull())
+        found.select("lang", "least", F.explode("grams").alias("gram"))
+        .groupBy("lang", "least", "gram").agg(F.count(F.lit(1)).alias("n"))
+        .filter((F.col("n") >= F.col("least")) | F.col("gram").isNull())
     )
-    found = counts.toArrow()  # n-grams of a bounded sample; with nulls, pandas would make floats of them
-    none = pc.is_null(found["gram"])
-    size = {r["lang"]: r["n"] for r in found.filter(none).to_pylist()}
-    own = found.filter(pc.invert(none)).to_pandas()
+    counts = written(counts, "grams")
+    size = {r["lang"]: r["n"] for r in counts.filter("gram IS NULL").select("lang", "n").collect()}  # a row a language
     languages = sorted(size)
-    words = max(1, -(-len(languages) // 64))
-    table = np.zeros((words, 1 << settings.bits), U64)
-    if len(own):
-        number = own["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy()
-        share = own["n"].to_numpy() / np.array([size[x] for x in languages], float)[number]
-        gram = own["gram"].to_numpy()
-        order = np.argsort(gram, kind="stable")
-        gram, share, number = gram[order], share[order], number[order]
-        begin = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
-        most = np.repeat(np.maximum.reduceat(share, begin), np.diff(np.r_[begin, len(gram)]))
-        good = share >= settings.least_share * most
-        for x, y in zip(*(s for s in [gram[good].view(U64), number[good]]), strict=True):
-            bit = U64(1) << U64(int(y) % 64)
-            for s in slots(np.array([x]), settings.bits):
-                table[int(y) // 64, s] |= bit
+    table = np.zeros((max(1, -(-len(languages) // 64)), 1 << settings.bits), U64)
+    if languages:
+        known = F.broadcast(spark.createDataFrame([(x, i, size[x]) for i, x in enumerate(languages)], "lang string, number int, texts bigint"))
+        share = counts.filter("gram IS NOT NULL").join(known, "lang").select("gram", "number", (F.col("n") / F.col("texts")).alias("share"))
+        best = share.groupBy("gram").agg(F.max("share").alias("most"), F.collect_list(F.struct("number", "share")).alias("each"))  # languages at most
+        good = best.select("gram", F.explode(F.filter("each", lambda x: x["share"] >= settings.least_share * F.col("most"))).alias("x")).select("gram", "x.number")
+        low = F.lit((1 << settings.bits) - 1)
+        both = F.array(F.col("gram").bitwiseAND(low), F.shiftrightunsigned("gram", 32).bitwiseAND(low))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("number") % 64)
+        masks = good.select(F.expr("number div 64").alias("word"), F.explode(both).alias("slot"), bit.alias("bit")).groupBy("word", "slot").agg(F.bit_or("bit").alias("mask"))
+        made = masks.toArrow()  # at most a row for each entry of the table
+        table[made["word"].to_numpy(), made["slot"].to_numpy()] = made["mask"].to_numpy().view(U64)
+    drop(counts)
     rate = np.array([(((table[i // 64] >> U64(i % 64)) & U64(1)).mean()) ** 2 for i in range(len(languages))])
     fallback = min(languages, key=lambda x: (-size[x], x)) if languages else "und"
     return Model(languages, fallback, table, rate, settings)

@@ -4,10 +4,14 @@ A text is the multiset of its five-word shingles with TF-IDF weights. Two
 texts are linked when their weighted Jaccard similarity is 0.8 or more;
 classes are the connected components of the links. The steps:
 
-1. document frequencies: every text's distinct shingles are counted in
-   2**18 hashed counters (a feature-hashed frequency, at most the mean load of
-   a counter too high); a task sends sums only. Shingles in under a tenth of
-   the documents weigh 1, commoner ones ln(N / df) / ln(10);
+1. document frequencies: every text's distinct shingles are counted in two
+   rows of 2**18 hashed counters; a shingle's frequency is the smaller of its
+   two, less what the other shingles add to a counter (the mean load and two
+   deviations), at least 1. A task sends sums only, and the tasks are bounded by
+   the cluster's cores. A shingle weighs its smoothed inverse frequency,
+   1 + ln((1 + N) / (1 + df)) / ln(1 + N), scaled so that the rarest weigh 1: a
+   shingle of every document weighs half as much. The scale depends on N only
+   through the share df / N, so a pair's similarity doesn't drift as N grows;
 2. signatures: weighted MinHash in 128 bins. The elements are a text's shingles
    with their occurrence numbers, so counts weigh as in the similarity; each has
    a stream of random points in the bins at its weight as rate, and a bin keeps
@@ -25,12 +29,13 @@ classes are the connected components of the links. The steps:
    group of loosely similar texts doesn't make all its pairs.
 
 Equal texts are one node throughout (128-bit digest), so copies never make
-pairs. Nothing is collected on the driver but the counters above a tenth of
-the documents (a bounded number). Defined results: a null text is a class of
-its own; texts without words (empty ones) are joined with equal texts only; a
-text of one to four words has one shingle, all its words; ``class_id`` is the
+pairs. Nothing is collected on the driver but the counters (a fixed number).
+Defined results: a null text is a class of its own; texts without words (empty
+ones) are joined with equal texts only; a text of one to four words has one
+shingle, all its words; very long texts are shingled whole; ``class_id`` is the
 smallest doc_id of the class (null only if all are null); repeated rows each
-get a row; extra columns are ignored; an empty table gives an empty result.
+get a row; ties of doc_id go to the smallest digest; extra columns of any name
+are ignored (``keep_one`` returns them); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -57,10 +62,8 @@ class Settings:
     bins: int = 128
     bands: int = 25
     rows: int = 5
-    counters: int = 18  # bits
-    common: float = 0.1  # share of the documents from which a shingle's weight falls
-    least_weight: float = 0.02
-    block_rows: int = 256  # salted blocks of step 5
+    counters: int = 18  # bits of each of the two rows
+    block_rows: int = 256  # members of a hot shingle or of a hot central text that meet in a salted part
 
 
 def shingles(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,34 +90,60 @@ def shingles(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarra
     return keys, counts, np.searchsorted(keys, np.arange(block.n + 1, dtype=U64) << U64(52))
 
 
-def counter_of(keys: np.ndarray, bits: int) -> np.ndarray:
-    return (keys & U64((1 << bits) - 1)).astype(np.intp)
+#: Rows of a table that is broadcast at most; larger ones are joined by Spark's choice.
+BROADCAST_ROWS = 100_000
+
+
+def checked(df: DataFrame) -> DataFrame:
+    """The written table with a broadcast hint if it is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def counters_of(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A shingle's counter in each of the two rows (the second row follows the first)."""
+    mask = U64((1 << bits) - 1)
+    return (keys & mask).astype(np.intp), ((keys >> U64(bits)) & mask).astype(np.intp) + (1 << bits)
+
+
+def weights_of(keys: np.ndarray, table: np.ndarray, s: Settings) -> np.ndarray:
+    """Weights of shingles: the smaller frequency of the two rows counts."""
+    one, two = counters_of(keys, s.counters)
+    return np.maximum(table[one], table[two])
+
+
+def inverse_frequency(df: np.ndarray, n: int) -> np.ndarray:
+    """Smoothed inverse document frequency, from 1/2 (every document) to 1 (no other document)."""
+    if n < 2:
+        return np.ones(len(df))
+    idf = lambda x: 1 + np.log((1 + n) / (1 + x)) / np.log(1 + n)
+    return idf(np.clip(df, 1, n)) / idf(1)
 
 
 def frequencies(docs: DataFrame, text_col: str, s: Settings) -> np.ndarray:
-    """Weight of each counter's shingles (float32, 2**counters entries)."""
+    """Weight of each counter's shingles (float32, two rows of 2**counters entries)."""
+    spark = docs.sparkSession
 
     def run(batches):
-        total, seen = np.zeros(1 << s.counters, np.int64), 0
+        total, seen = np.zeros(2 << s.counters, np.int64), 0
         for batch in batches:
             for a, b, texts in text_blocks(batch.column(0)):
                 keys, _, _ = shingles(texts, s.words)
-                total += np.bincount(counter_of(keys, s.counters), minlength=len(total))
+                for at in counters_of(keys, s.counters):
+                    total += np.bincount(at, minlength=len(total))
                 seen += b - a
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at].astype(np.int32)), pa.array(np.r_[seen, total[at]])], names=["counter", "n"])
 
-    sums = docs.select(F.col(text_col)).mapInArrow(run, "counter int, n bigint").groupBy("counter").agg(F.sum("n").alias("n"))
-    sums = written(sums, "frequencies")
-    row = sums.filter("counter = -1").agg(F.sum("n")).first()
-    n = int(row[0] or 0)
-    weight = np.ones(1 << s.counters, np.float32)
-    if n:
-        # At most (mean shingles of a text) / common counters can be so high.
-        for r in sums.filter((F.col("counter") >= 0) & (F.col("n") > s.common * n)).collect():
-            weight[r["counter"]] = max(s.least_weight, np.log(n / min(n, r["n"])) / np.log(1 / s.common))
-    drop(sums)
-    return weight
+    # A task sends all its counters, so their number follows the cluster, not the input.
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sums = docs.select(F.col(text_col)).coalesce(tasks).mapInArrow(run, "counter int, n bigint").groupBy("counter").agg(F.sum("n").alias("n"))
+    made = sums.toArrow()  # two rows of counters and one row more
+    at, number = made["counter"].to_numpy(), made["n"].to_numpy()
+    n = int(number[at == -1].sum())
+    total = np.zeros(2 << s.counters, np.int64)
+    total[at[at >= 0]] = number[at >= 0]
+    load = total.sum() / len(total)
+    return inverse_frequency(total - load - 2 * np.sqrt(load), n).astype(np.float32)
 
 
 def points(elements: np.ndarray, rate: np.ndarray, first: int, number: int, s: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +170,7 @@ def signature(keys: np.ndarray, counts: np.ndarray, ptr: np.ndarray, weight: np.
     nth = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
     own = mix((keys[which] & U64((1 << 52) - 1)) + nth.astype(U64) * U64(0xD6E8FEB86659FD93))
     doc = (keys[which] >> U64(52)).astype(np.int64)
-    rate = weight[counter_of(keys, s.counters)].astype(np.float64)[which]
+    rate = weights_of(keys, weight, s).astype(np.float64)[which]
     at, made, number = np.zeros(len(which)), 0, 1
     while len(own):
         most = max(1, POINTS // number)
@@ -184,7 +213,7 @@ def similarities(left: list[str | None], right: list[str | None], weight: np.nda
     for at, end in blocks(both):
         sides = [shingles(x[at:end], s.words) for x in (left, right)]
         keys = [k for k, _, _ in sides]
-        w = [c * weight[counter_of(k, s.counters)].astype(np.float64) for k, c, _ in sides]
+        w = [c * weights_of(k, weight, s).astype(np.float64) for k, c, _ in sides]
         total = [np.bincount((k >> U64(52)).astype(np.int64), weights=x, minlength=end - at) for k, x in zip(keys, w, strict=True)]
         place = np.searchsorted(keys[1], keys[0])
         place = np.minimum(place, max(0, len(keys[1]) - 1))
@@ -199,8 +228,14 @@ def similarities(left: list[str | None], right: list[str | None], weight: np.nda
 def verify(pairs: DataFrame, texts: DataFrame, weight, s: Settings) -> DataFrame:
     """The pairs (a, b) of nodes whose texts (node, text) are similar enough, with their similarity."""
     ta = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    tb = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    with_texts = pairs.select("a", "b").join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
+    # A text with many partners is copied to several parts, so that no task gets all its pairs.
+    hot = written(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / s.block_rows).cast("int").alias("salts")).filter("salts > 1"), "hot")
+    hot = checked(hot)
+    salts = F.coalesce("salts", F.lit(1))
+    tb = texts.select(F.col("node").alias("b"), F.col("text").alias("tb")).join(hot, "b", "left")
+    tb = tb.select("b", "tb", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    dealt = pairs.select("a", "b").join(hot, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), salts).cast("int").alias("salt"))
+    with_texts = dealt.join(ta, "a").join(tb, ["b", "salt"]).select("a", "b", "ta", "tb")
 
     def run(batches):
         for batch in batches:
@@ -213,34 +248,39 @@ def verify(pairs: DataFrame, texts: DataFrame, weight, s: Settings) -> DataFrame
 
 
 def remaining(open_: DataFrame, weight, s: Settings) -> DataFrame:
-    """All pairs (a < b) of different components among (node, root, text) that can be similar enough.
-
-    An exact filter in place of all pairs: a text's shingles are ordered from
-    the rarest among these texts on. Let t be the first shingle that two texts
-    share; neither text's weight before t is shared, so t lies within the
-    first (1 - similarity) of both weights, and the overlap is at most what is
-    left from t on. Only pairs for which that bound allows the similarity are
-    made; texts that differ from all others in a fifth of their weight make none.
+    """The pairs (a < b) of different components among (node, root, text) that can be similar enough.
+
+    An exact filter in place of all pairs: a text's shingles are ordered by
+    falling weight (the rarest first), then by hash. Let t be the first shingle
+    that two texts share; neither text's weight before t is shared, so t lies
+    within the first (1 - similarity) of both weights, and the overlap is at
+    most what is left from t on. Only pairs for which that bound allows the
+    similarity are made; texts that differ from all others in a fifth of their
+    weight make none. Only that first part of a text leaves Python.
     """
+    slack = 1e-6
 
     def kernel(texts):
         keys, counts, ptr = shingles(texts, s.words)
-        w = counts * weight.value[counter_of(keys, s.counters)].astype(np.float64)
-        own = (keys & U64((1 << 52) - 1)).view(np.int64)
-        rows = pa.StructArray.from_arrays([pa.array(own), pa.array(w)], names=["shingle", "w"])
-        return [pa.ListArray.from_arrays(pa.array(ptr.astype(np.int32)), rows)]
-
-    kind = pa.list_(pa.struct([("shingle", pa.int64()), ("w", pa.float64())]))
-    each = map_texts(open_, "text", ["node", "root"], [("held", "array<struct<shingle:bigint,w:double>>", kind)], kernel)
-    each = written(each.select("node", "root", F.explode("held").alias("h")).select("node", "root", "h.*"), "shingles")
-    common = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
-    order = Window.partitionBy("node").orderBy("df", "shingle").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = each.join(common, "shingle").withColumn("before", F.coalesce(F.sum("w").over(order), F.lit(0.0))).withColumn("total", F.sum("w").over(Window.partitionBy("node")))
-    slack = 1e-9
-    first = ranked.filter((F.col("df") > 1) & (F.col("before") <= (1 - s.similarity + slack) * F.col("total"))).withColumn("left", F.col("total") - F.col("before"))
-    lists = written(first.select("shingle", "node", "root", "total", "left"), "prefixes")
-    size = lists.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("shingle", F.ceil(F.col("n") / s.block_rows).cast("int").alias("salts"))
-    both = lists.join(size, "shingle")
+        own = keys & U64((1 << 52) - 1)
+        doc = doc_of(ptr)
+        each = weights_of(keys, weight.value, s).astype(np.float64)
+        order = np.lexsort((own, -each, doc))
+        own, w = own[order], (counts * each)[order]
+        upto = np.r_[0.0, np.cumsum(w)]
+        begin, total = upto[ptr[:-1]][doc], (upto[ptr[1:]] - upto[ptr[:-1]])[doc]
+        before = upto[:-1] - begin
+        first = before <= (1 - s.similarity + slack) * total
+        cut = np.r_[0, np.cumsum(first)][ptr]
+        fields = [own.view(np.int64)[first], total[first], (total - before)[first]]
+        rows = pa.StructArray.from_arrays([pa.array(f) for f in fields], names=["shingle", "total", "left"])
+        return [pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), rows)]
+
+    kind = pa.list_(pa.struct([("shingle", pa.int64()), ("total", pa.float64()), ("left", pa.float64())]))
+    each = map_texts(open_, "text", ["node", "root"], [("held", "array<struct<shingle:bigint,total:double,left:double>>", kind)], kernel)
+    lists = written(each.select("node", "root", F.explode("held").alias("h")).select("node", "root", "h.*"), "prefixes")
+    hot = written(lists.groupBy("shingle").agg(F.ceil(F.count(F.lit(1)) / s.block_rows).cast("int").alias("salts")).filter("salts > 1"), "hot")
+    both = lists.join(checked(hot), "shingle", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
     one = both.select("shingle", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("total").alias("ta"), F.col("left").alias("la"), F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"))
     two = both.select("shingle", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("total").alias("tb"), F.col("left").alias("lb"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     least = s.similarity / (1 + s.similarity) - slack
@@ -290,10 +330,11 @@ def digest(text_col: str = "text") -> F.Column:
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """One row per row of docs: id, node (digest of the text, null for a null text), class_id, class_texts, is_first.
+    """One row per row of docs: id, node (digest of the text, null for a null text), class_id, class_texts, links, is_first.
 
-    class_texts is the number of different texts in the class; is_first marks
-    the row or rows with the class's smallest (doc_id, node).
+    class_texts is the number of different texts in the class, links the number
+    of other texts that were verified as similar to this one; is_first marks the
+    row or rows with the class's smallest (doc_id, node).
     """
     s, spark = settings, docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -333,35 +374,42 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", set
     if not rest.isEmpty():
         more = written(verify(rest, texts, weight, s).select("a", "b"), "verified")
         if not more.isEmpty():
-            roots = written(components(links.unionByName(more)), "components")
-        drop(more)
-    for old in (star, members, texts, links, rest):
+            links = links.unionByName(more)
+            roots = written(components(links), "components")
+    ends = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    degree = written(ends.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links")), "degrees")
+    for old in (star, members, texts, rest):
         drop(old)
     # Classes: the smallest (id, node) stands for the class.
     known = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"))
-    known = known.join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
+    known = known.join(roots, "node", "left").join(degree, "node", "left").select("node", "rep", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
     heads = known.groupBy("root").agg(F.count(F.lit(1)).alias("class_texts"), F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node")).alias("head"))
-    of = written(known.join(heads, "root").select("node", F.col("head.rep").alias("class_id"), "class_texts", (F.col("node") == F.col("head.node")).alias("heads")), "classes")
+    of = written(known.join(heads, "root").select("node", "links", F.col("head.rep").alias("class_id"), "class_texts", (F.col("node") == F.col("head.node")).alias("heads")), "classes")
     out = rows.select("id", "node").join(of, "node", "left")
     return out.select(
         F.col("id").alias(id_col), "node", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("class_texts", F.lit(1)).alias("class_texts"), F.when(F.col("node").isNull(), True).otherwise(F.col("heads") & F.col("id").eqNullSafe(F.col("class_id"))).alias("is_first"),
+        F.coalesce("class_texts", F.lit(1)).alias("class_texts"), F.coalesce("links", F.lit(0)).alias("links"), F.when(F.col("node").isNull(), True).otherwise(F.col("heads") & F.col("id").eqNullSafe(F.col("class_id"))).alias("is_first"),
     )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """The rows of docs with one row of each class: that of the smallest doc_id (of its smallest digest on a tie). Rows with a null text all stay."""
-    found = classes(docs, id_col, text_col, settings)
-    gone = written(found.filter("NOT is_first").select(F.col(id_col).alias("__id"), F.col("node").alias("__node")).distinct(), "copies")
-    named = docs.withColumn("__digest", digest(text_col))
-    kept = named.join(gone, F.expr(f"`{id_col}` <=> __id AND __digest = __node"), "left_anti")
-    twice = found.filter("is_first AND node IS NOT NULL").groupBy(id_col, "node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    if not twice.isEmpty():  # the same row several times
-        absent = kept.filter(F.col("__digest").isNull())
-        kept = kept.filter(F.col("__digest").isNotNull()).dropDuplicates([id_col, "__digest"]).unionByName(absent)
-    return kept.drop("__digest")
+    """The rows of docs with one row of each class: that of the smallest doc_id (of its smallest digest on a tie).
+
+    Rows with a null text all stay. Of rows with equal id and text the one whose columns have the smallest digest stays.
+    """
+    found = classes(docs, id_col, text_col, settings).select(F.col(id_col).alias("id"), "node", "is_first")
+    gone = written(found.filter("NOT is_first").select(F.col("id").alias("gone_id"), F.col("node").alias("gone_node")).distinct(), "copies")
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), digest(text_col).alias("node"))  # names can't clash
+    kept = packed.join(gone, F.expr("id <=> gone_id AND node = gone_node"), "left_anti")
+    twice = found.filter("is_first AND node IS NOT NULL").groupBy("id", "node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("id").alias("twice_id"), F.col("node").alias("twice_node"))
+    twice = written(twice, "repeated")
+    if not twice.isEmpty():
+        here = F.expr("id <=> twice_id AND node = twice_node")
+        one = kept.join(twice, here, "left_semi").groupBy("id", "node").agg(F.min_by("row", F.md5(F.to_json("row"))).alias("row"))
+        kept = kept.join(twice, here, "left_anti").select("row").unionByName(one.select("row"))
+    return kept.select("row.*")
 
 
 def op3_minhash_near_dup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return classes(docs).select("doc_id", "class_id", "class_texts", "is_first")
+    return classes(docs).select("doc_id", "class_id", "class_texts", "links", "is_first")

@@ -7,27 +7,33 @@ sqrt(count / all counts), so that every feature vector has length 1. Weights
 are learned by follow-the-regularised-leader updates, one text at a time, and
 a score is the logistic of a sparse dot product.
 
-Learning uses at most ``Settings.most_rows`` labelled texts, those with the
-smallest hash of their id, of up to ``Settings.most_chars`` characters (the
-only bound); features are made on the executors and the updates run on the
-driver. Scoring reads every whole text and doesn't shuffle.
+Learning uses at most ``Settings.most_rows`` labelled rows, those with the
+smallest hash of their id, whatever their texts' lengths (the only bound);
+features are made on the executors and written to the shared folder, and the
+updates run on the driver, which holds one slice of the feature rows at a time
+if all of them are large. Scoring reads every whole text and doesn't shuffle.
 
 Defined results: null and empty texts have no features and score the logistic
-of the bias alone; with no labelled text at all every score is 0.5; texts with
-several label rows count once for each; repeated rows each get a row; extra
-columns are ignored. ``predicted`` is 1 from a score of 0.7.
+of the bias alone; with no labelled text at all every score is 0.5; very long
+texts are learned from and scored whole; texts with several label rows count
+once for each; equal labelled rows tie and each counts; repeated rows each get
+a row; an empty table gives no rows; extra columns of any name are ignored.
+``predicted`` is 1 from a score of 0.7.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .kernels import Block, doc_of, is_space, map_texts, mix, ngrams
+from .shared import drop, written
 
 U64 = np.uint64
 
@@ -36,7 +42,6 @@ U64 = np.uint64
 class Settings:
     bits: int = 18
     most_rows: int = 4000
-    most_chars: int = 20_000
     epochs: int = 4
     alpha: float = 0.6
     beta: float = 1.0
@@ -115,32 +120,53 @@ class Ftrl:
         self.n[at] += g * g
 
 
+#: Bytes of feature rows that the driver holds; beyond, each epoch reads them again, slice by slice.
+HELD_BYTES = 64 << 20
+
+
+def epoch(rows: DataFrame, whole: list | None) -> Iterator:
+    """The feature rows in order of their place: held ones, or slices read one after the other."""
+    if whole is not None:
+        yield from whole
+        return
+    last = rows.agg(F.max("place")).first()[0]
+    for at in range(0, last + 1, 64):  # at most most_rows / 64 slices
+        yield from sorted(rows.filter(F.col("place").between(at, at + 63)).collect(), key=lambda r: r["place"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn: F.Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", settings: Settings = Settings()) -> Model:
     """Learns from labelled rows where ``learn`` (over the labels' columns) holds."""
     own = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     if learn is not None:
         own = own.filter(learn)
-    # Labelled texts that may be learned from, then the first by hash: bounded by most_rows.
-    short = docs.filter(F.coalesce(F.length(text_col), F.lit(0)) <= settings.most_chars).select(F.col(id_col).alias("__id"))
-    few = own.join(short, F.col(id_col) == F.col("__id"), "left_semi").select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).withColumn("__key", F.xxhash64(F.lit(11), "__id", "__y")).orderBy("__key", "__id", "__y").limit(settings.most_rows)
-    picked = few.collect()  # at most most_rows triples
+    own = own.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # The first labelled rows by hash, as narrow rows; equal ones are counted, so the driver gets most_rows rows at most.
+    key = F.xxhash64(F.lit(11), "id", "y")
+    few = own.join(texts.select("id", F.xxhash64("text").alias("digest")), "id").select("id", "y", "digest", key.alias("key")).orderBy("key", "id", "y", "digest").limit(settings.most_rows)
+    picked = few.groupBy("key", "id", "y", "digest").agg(F.count(F.lit(1)).alias("times")).collect()
     model = Ftrl(settings)
     if picked:
         spark = docs.sparkSession
-        chosen = F.broadcast(spark.createDataFrame([(r[0], r[1], r[2]) for r in picked], few.schema))
-        texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).filter(F.coalesce(F.length("__t"), F.lit(0)) <= settings.most_chars).join(chosen, "__id")
+        picked = sorted((r["key"], r["id"], r["y"], r["digest"], r["times"]) for r in picked)
+        chosen = spark.createDataFrame([(i, *p[1:]) for i, p in enumerate(picked)], T.StructType([T.StructField("place", T.IntegerType()), *few.select("id", "y", "digest").schema.fields, T.StructField("times", T.LongType())]))
+        found = texts.withColumn("digest", F.xxhash64("text")).join(F.broadcast(chosen), ["id", "digest"])  # most_rows rows
+        found = found.groupBy("place", "y", "times").agg(F.first("text").alias("text"))  # copies of a chosen row are one
 
         def kernel(some):
             bucket, value, at = features(some, settings)
             cut = lambda a: [a[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
             return [cut(bucket), cut(value)]
 
-        rows = map_texts(texts, "__t", ["__id", "__y", "__key"], [("bucket", "binary", pa.binary()), ("value", "binary", pa.binary())], kernel).collect()
-        rows.sort(key=lambda r: (r["__key"], r["__id"], r["__y"], bytes(r["bucket"])))
-        rows = rows[: settings.most_rows]
+        rows = map_texts(found, "text", ["place", "y", "times"], [("bucket", "binary", pa.binary()), ("value", "binary", pa.binary())], kernel)
+        rows = written(rows, "features")
+        small = rows.agg(F.sum(F.octet_length("bucket") + F.octet_length("value"))).first()[0] <= HELD_BYTES
+        whole = sorted(rows.collect(), key=lambda r: r["place"]) if small else None
         for _ in range(settings.epochs):
-            for r in rows:
-                model.update(np.frombuffer(r["bucket"], np.int32), np.frombuffer(r["value"], np.float32), float(r["__y"]))
+            for r in epoch(rows, whole):
+                for _ in range(r["times"]):
+                    model.update(np.frombuffer(r["bucket"], np.int32), np.frombuffer(r["value"], np.float32), float(r["y"]))
+        drop(rows)
     w = model.weights(np.arange(len(model.z)))
     return Model(w[:-1].astype(np.float32), float(w[-1]) * 0.3, settings)
 
