@@ -3,12 +3,16 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that its
 predecessor kept. ``run`` writes each stage's rows as Parquet in the shared
 folder and rereads them for the next. ``ORACLE_SQL`` is None: SQL doesn't
-express language ID, near-dedup or BPE; tests compare the stages with
-brute-force versions.
-
-Defined results: null texts and texts without a letter go at the first stage;
-empty tables stay empty; extra columns pass through all stages but the last,
-which returns doc_id, source, copy-wise one row a taken document, and its ids.
+express language ID, near-dedup or BPE; ``tests/llm/test_pipeline.py`` compares
+every stage's rows with brute force (n-grams as strings, SQL of the quality
+rules and of mixing, all pairs, tiktoken).
+
+Defined results: null and empty texts, those without a letter and those of no
+learned language go at the first stage; very long texts are read whole; of
+equal texts, repeated rows and ties the smallest doc_id stays, of fully equal
+rows one; empty tables stay empty; extra columns of any name pass through all
+stages but the last, which returns doc_id, source, one row a taken copy, and
+its ids' digests.
 """
 
 from __future__ import annotations
