@@ -229,8 +229,7 @@ def verify(pairs: DataFrame, texts: DataFrame, weight, s: Settings) -> DataFrame
     """The pairs (a, b) of nodes whose texts (node, text) are similar enough, with their similarity."""
     ta = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     # A text with many partners is copied to several parts, so that no task gets all its pairs.
-    hot = written(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / s.block_rows).cast("int").alias("salts")).filter("salts > 1"), "hot")
-    hot = checked(hot)
+    hot = checked(written(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / s.block_rows).cast("int").alias("salts")).filter("salts > 1"), "hot"))
     salts = F.coalesce("salts", F.lit(1))
     tb = texts.select(F.col("node").alias("b"), F.col("text").alias("tb")).join(hot, "b", "left")
     tb = tb.select("b", "tb", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
@@ -247,40 +246,42 @@ def verify(pairs: DataFrame, texts: DataFrame, weight, s: Settings) -> DataFrame
     return with_texts.mapInArrow(run, "a string, b string, similarity double")
 
 
+def with_counts(rows: DataFrame, counts: DataFrame, key: str, s: Settings) -> DataFrame:
+    """rows with the columns of counts (key, n, ...) where there are any; keys of many rows don't meet in one task."""
+    hot = checked(written(counts.filter(F.col("n") > s.block_rows), "hot"))
+    rest = rows.join(hot.select(key), key, "left_anti").join(counts.filter(F.col("n") <= s.block_rows), key, "left")
+    return rows.join(hot, key).unionByName(rest)
+
+
 def remaining(open_: DataFrame, weight, s: Settings) -> DataFrame:
     """The pairs (a < b) of different components among (node, root, text) that can be similar enough.
 
-    An exact filter in place of all pairs: a text's shingles are ordered by
-    falling weight (the rarest first), then by hash. Let t be the first shingle
-    that two texts share; neither text's weight before t is shared, so t lies
-    within the first (1 - similarity) of both weights, and the overlap is at
-    most what is left from t on. Only pairs for which that bound allows the
-    similarity are made; texts that differ from all others in a fifth of their
-    weight make none. Only that first part of a text leaves Python.
+    An exact filter in place of all pairs: a text's shingles are ordered from
+    the rarest among these texts on. Let t be the first shingle that two texts
+    share; neither text's weight before t is shared, so t lies within the
+    first (1 - similarity) of both weights, and the overlap is at most what is
+    left from t on. Only pairs for which that bound allows the similarity are
+    made; texts that differ from all others in a fifth of their weight make none.
     """
-    slack = 1e-6
 
     def kernel(texts):
         keys, counts, ptr = shingles(texts, s.words)
-        own = keys & U64((1 << 52) - 1)
-        doc = doc_of(ptr)
-        each = weights_of(keys, weight.value, s).astype(np.float64)
-        order = np.lexsort((own, -each, doc))
-        own, w = own[order], (counts * each)[order]
-        upto = np.r_[0.0, np.cumsum(w)]
-        begin, total = upto[ptr[:-1]][doc], (upto[ptr[1:]] - upto[ptr[:-1]])[doc]
-        before = upto[:-1] - begin
-        first = before <= (1 - s.similarity + slack) * total
-        cut = np.r_[0, np.cumsum(first)][ptr]
-        fields = [own.view(np.int64)[first], total[first], (total - before)[first]]
-        rows = pa.StructArray.from_arrays([pa.array(f) for f in fields], names=["shingle", "total", "left"])
-        return [pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), rows)]
-
-    kind = pa.list_(pa.struct([("shingle", pa.int64()), ("total", pa.float64()), ("left", pa.float64())]))
-    each = map_texts(open_, "text", ["node", "root"], [("held", "array<struct<shingle:bigint,total:double,left:double>>", kind)], kernel)
-    lists = written(each.select("node", "root", F.explode("held").alias("h")).select("node", "root", "h.*"), "prefixes")
-    hot = written(lists.groupBy("shingle").agg(F.ceil(F.count(F.lit(1)) / s.block_rows).cast("int").alias("salts")).filter("salts > 1"), "hot")
-    both = lists.join(checked(hot), "shingle", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+        w = counts * weights_of(keys, weight.value, s).astype(np.float64)
+        own = (keys & U64((1 << 52) - 1)).view(np.int64)
+        rows = pa.StructArray.from_arrays([pa.array(own), pa.array(w)], names=["shingle", "w"])
+        return [pa.ListArray.from_arrays(pa.array(ptr.astype(np.int32)), rows)]
+
+    kind = pa.list_(pa.struct([("shingle", pa.int64()), ("w", pa.float64())]))
+    each = map_texts(open_, "text", ["node", "root"], [("held", "array<struct<shingle:bigint,w:double>>", kind)], kernel)
+    each = written(each.select("node", "root", F.explode("held").alias("h")).select("node", "root", "h.*"), "shingles")
+    common = written(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "common")
+    order = Window.partitionBy("node").orderBy("n", "shingle").rowsBetween(Window.unboundedPreceding, -1)  # shingles of one text only have a null n
+    ranked = with_counts(each, common, "shingle", s).withColumn("before", F.coalesce(F.sum("w").over(order), F.lit(0.0))).withColumn("total", F.sum("w").over(Window.partitionBy("node")))
+    slack = 1e-9
+    first = ranked.filter((F.col("n") > 1) & (F.col("before") <= (1 - s.similarity + slack) * F.col("total"))).withColumn("left", F.col("total") - F.col("before"))
+    lists = written(first.select("shingle", "node", "root", "total", "left"), "prefixes")
+    mixed = written(lists.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("shingle", "n"), "mixed")
+    both = with_counts(lists, mixed, "shingle", s).filter("n IS NOT NULL").withColumn("salts", F.ceil(F.col("n") / s.block_rows).cast("int"))
     one = both.select("shingle", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("total").alias("ta"), F.col("left").alias("la"), F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"))
     two = both.select("shingle", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("total").alias("tb"), F.col("left").alias("lb"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     least = s.similarity / (1 + s.similarity) - slack
