@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 WHITE = r"[\t-\r\x1c-\x20\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 #: As white space, with the zero-width non-joiner.
 SPREAD = WHITE[:-2] + r"\u200c]+"
+# Where a page tells its sheet.
+SHEET = r"WORKING NUMBER\s*\n\s*([A-Z]{1,6}-[A-Z0-9]+)(?:\n|$)"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
@@ -22,9 +26,21 @@ def lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, LINE_END), normalize), lambda x: x != "")
 
 
+@lru_cache(maxsize=1)
+def folding() -> tuple[str, str, dict[str, str]]:
+    """Unicode's full case folding: characters that fold to one character, what they fold to, and those that fold to several."""
+    pairs = [(c, c.casefold()) for c in map(chr, (*range(0xD800), *range(0xE000, 0x110000))) if c.casefold() != c]
+    return "".join(a for a, b in pairs if len(b) == 1), "".join(b for _, b in pairs if len(b) == 1), {a: b for a, b in pairs if len(b) > 1}
+
+
 def fold(text: Column) -> Column:
-    """Case folding; sharp s is folded to ss, a word-final sigma like any other."""
-    return F.replace(F.translate(F.lower(F.upper(text)), "\u03c2", "\u03c3"), F.lit("\u00df"), F.lit("ss"))
+    """Unicode's full case folding."""
+    one, to, several = folding()
+    out = F.translate(text, one, to)
+    long_ = out
+    for a, b in several.items():
+        long_ = F.replace(long_, F.lit(a), F.lit(b))
+    return F.when(out.rlike("[" + "".join(several) + "]"), long_).otherwise(out)
 
 
 def cut(text: Column, most: int, mark: str = "") -> Column:
@@ -38,7 +54,7 @@ def range_label(first: Column, last: Column) -> Column:
 
 
 def sheet_label(page_text: Column) -> Column:
-    return F.regexp_extract(page_text, r"WORKING NUMBER\s*\n\s*([A-Z]{1,6}-[A-Z0-9]+)(?:\n|$)", 1)
+    return F.regexp_extract(page_text, SHEET, 1)
 
 
 def record(line: Column) -> Column:

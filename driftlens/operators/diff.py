@@ -1,11 +1,13 @@
 """Differences of two snapshots: documents, links, folders, cells and records, as a long table of changes.
 
-One full outer join on the key gives added, removed, modified, renamed and
-relinked rows; categories aren't exclusive, so each is a branch of one pass
-(an exploded array), not a scan of its own. Moves pair removed with added
-rows of equal digest by rank within the digest. A digest that very many rows
-share (empty files) is the one place where a key can be hot: ranks are taken
-with a prefix count over key ranges, so such a digest isn't one task's.
+One full outer join on the key, written as a narrow table, gives added,
+removed, modified, renamed and relinked rows: each snapshot is read once.
+Categories aren't exclusive, so a row that both snapshots have becomes a row
+for each category by an exploded array. Moves pair removed with added rows of
+equal digest by rank within the digest: both sides are ranked in one pass and
+met by (digest, rank). A digest that very many rows share (empty files) is the
+one place where a key can be hot: ranks are taken with a prefix count over key
+ranges, so such a digest isn't one task's.
 """
 
 from __future__ import annotations
@@ -13,7 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.predicates import Exclusions, is_excluded
+from ..sources.tables import kept
 from .dedup import last_wins
+from .sequence import cell_text
 
 DOCUMENT = ["url", "title", "section", "sha256"]
 
@@ -24,47 +29,52 @@ def same_rendering(old_pages: Column, new_pages: Column) -> Column:
     return F.coalesce(sign(old_pages) == sign(new_pages), F.lit(False))
 
 
-def _ranked(rows: DataFrame, digest: str, key: str, name: str) -> DataFrame:
-    """Adds the rank within the digest by (sub-range, key); the key's hash gives one of 256 sub-ranges. Digests may be null."""
+def _ranked(rows: DataFrame, by: list[str], key: str) -> DataFrame:
+    """Adds the rank within ``by`` in the order of (sub-range, key); the key's hash gives one of 256 sub-ranges. ``by`` may be null."""
     cut = rows.withColumn("range", F.substring(F.md5(F.col(key)), 1, 2))
-    counts = cut.groupBy(digest, "range").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy(digest).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("begin", F.coalesce(F.sum("n").over(before), F.lit(0))).select(F.col(digest).alias("d"), F.col("range").alias("r"), "begin")
-    inside = Window.partitionBy(digest, "range").orderBy(key)
-    out = cut.withColumn("own", F.row_number().over(inside)).join(counts, F.expr(f"`{digest}` <=> d AND `range` = r"))
-    return out.withColumn(name, F.col("begin") + F.col("own")).drop("d", "r", "begin", "own", "range")
+    counts = cut.groupBy(*by, "range").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    named = {c: f"{c}_" for c in [*by, "range"]}
+    counts = counts.withColumn("begin", F.coalesce(F.sum("n").over(before), F.lit(0))).select(*[F.col(c).alias(n) for c, n in named.items()], "begin")
+    inside = Window.partitionBy(*by, "range").orderBy(key)
+    out = cut.withColumn("own", F.row_number().over(inside)).join(counts, F.expr(" AND ".join(f"`{c}` <=> `{n}`" for c, n in named.items())))
+    return out.withColumn("rank", F.col("begin") + F.col("own")).drop(*named.values(), "begin", "own", "range")
 
 
-def documents(old: DataFrame, new: DataFrame, repackaged: Column | None = None, mute_added: bool = False) -> DataFrame:
+def documents(old: DataFrame, new: DataFrame, repackaged: Column | None = None, mute_added: bool = False, exclusions: Exclusions | None = None) -> DataFrame:
     """category, key, old_key, old_title, new_title, old_url, new_url, section (the new one, else the old).
 
     ``old`` and ``new`` have key, url, title, section, sha256, pos; the last
     row of a key counts. ``repackaged`` is a condition over the joined columns
     (prefix old_ and new_) under which a new digest is no modification.
-    ``mute_added`` is the gate of a schema upgrade.
+    ``mute_added`` is the gate of a schema upgrade. Excluded documents are left
+    out of both snapshots, so that a new exclusion isn't told as a removal.
     """
+    if exclusions is not None:
+        old, new = (d.filter(~is_excluded(F.col("section"), F.col("url"), exclusions)) for d in (old, new))
     sides = [last_wins(d.select("key", *DOCUMENT, *[c for c in d.columns if c == "pages"], "pos"), ["key"]) for d in (old, new)]
     named = [s.select("key", *[F.col(c).alias(f"{p}_{c}") for c in s.columns if c != "key"], F.lit(True).alias(f"in_{p}")) for s, p in zip(sides, ("old", "new"), strict=True)]
-    both = named[0].join(named[1], "key", "full_outer")
-    here, there = F.col("in_new").isNotNull(), F.col("in_old").isNotNull()
-    alone = both.filter(~(F.coalesce(here, F.lit(False)) & F.coalesce(there, F.lit(False))))
-    gone = alone.filter("in_new IS NULL").select(F.col("old_sha256").alias("sha256"), F.col("key").alias("old_key"), "old_title", "old_url", "old_section")
-    come = alone.filter("in_old IS NULL").select(F.col("new_sha256").alias("sha256"), F.col("key").alias("new_key"), "new_title", "new_url", "new_section")
-    a, b = _ranked(gone, "sha256", "old_key", "rank"), _ranked(come, "sha256", "new_key", "rank")
-    b = b.withColumnRenamed("sha256", "new_sha256").withColumnRenamed("rank", "new_rank")
-    paired = a.join(b, F.expr("sha256 <=> new_sha256 AND `rank` = new_rank"), "full_outer")
-    section = F.when(F.col("new_key").isNotNull(), F.col("new_section")).otherwise(F.col("old_section")).alias("section")
-    kind = F.when(F.col("old_key").isNull(), "documents_added").when(F.col("new_key").isNull(), "documents_removed").otherwise("documents_moved")
-    lone = paired.select(kind.alias("category"), F.coalesce("new_key", "old_key").alias("key"), "old_key", "old_title", "new_title", "old_url", "new_url", section)
-    if mute_added:
-        lone = lone.filter("category <> 'documents_added'")
     differs = ~F.col("old_sha256").eqNullSafe(F.col("new_sha256"))
     if repackaged is not None:
         differs &= ~repackaged
-    tests = {"documents_modified": differs, "documents_renamed": ~F.col("old_title").eqNullSafe(F.col("new_title")), "documents_relinked": ~F.col("old_url").eqNullSafe(F.col("new_url"))}
+    narrow = [f"{p}_{c}" for p in ("old", "new") for c in DOCUMENT]
+    both = kept(named[0].join(named[1], "key", "full_outer").select("key", "in_old", "in_new", *narrow, F.coalesce(differs, F.lit(False)).alias("differs")), "documents")
+    # Rows of one side only: ranked on both sides at once, then met by digest and rank.
+    side = F.when(F.col("in_old").isNull(), "new").otherwise("old")
+    alone = both.filter("in_old IS NULL OR in_new IS NULL").select("key", side.alias("side"), *[F.coalesce(f"old_{c}", f"new_{c}").alias(c) for c in DOCUMENT])
+    of = lambda p, c, name: F.max(F.when(F.col("side") == p, F.col(c))).alias(name)
+    met = _ranked(alone, ["side", "sha256"], "key").groupBy("sha256", "rank").agg(
+        *[of(p, c, f"{p}_{c}") for p in ("old", "new") for c in ("key", "title", "url", "section")]
+    )
+    kind = F.when(F.col("old_key").isNull(), "documents_added").when(F.col("new_key").isNull(), "documents_removed").otherwise("documents_moved")
+    section = F.when(F.col("new_key").isNotNull(), F.col("new_section")).otherwise(F.col("old_section"))
+    lone = met.select(kind.alias("category"), F.coalesce("new_key", "old_key").alias("key"), "old_key", "old_title", "new_title", "old_url", "new_url", section.alias("section"))
+    if mute_added:
+        lone = lone.filter("category <> 'documents_added'")
+    tests = {"documents_modified": F.col("differs"), "documents_renamed": ~F.col("old_title").eqNullSafe(F.col("new_title")), "documents_relinked": ~F.col("old_url").eqNullSafe(F.col("new_url"))}
     cats = F.array_compact(F.array(*[F.when(t, F.lit(c)) for c, t in tests.items()]))
-    kept = both.filter("in_old AND in_new").withColumn("category", F.explode(cats))
-    return lone.unionByName(kept.select("category", "key", F.col("key").alias("old_key"), "old_title", "new_title", "old_url", "new_url", F.col("new_section").alias("section")))
+    stayed = both.filter("in_old AND in_new").withColumn("category", F.explode(cats))
+    return lone.unionByName(stayed.select("category", "key", F.col("key").alias("old_key"), "old_title", "new_title", "old_url", "new_url", F.col("new_section").alias("section")))
 
 
 def keyed(old: DataFrame, new: DataFrame, keys: list[str], values: list[str], names: tuple[str | None, str | None, str | None], pos: str = "pos") -> DataFrame:
@@ -94,7 +104,7 @@ def sections_of(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 SUBJECT = ["category", "key", "old_key", "old_title", "new_title", "old_url", "new_url", "section"]
 
 
-def snapshots(old: dict[str, DataFrame], new: dict[str, DataFrame], old_version: int = 3, new_version: int = 3) -> DataFrame:
+def snapshots(old: dict[str, DataFrame], new: dict[str, DataFrame], old_version: int = 3, new_version: int = 3, exclusions: Exclusions | None = None) -> DataFrame:
     """All changes in one long table (``SUBJECT``, url, title): documents, links, folders and page text.
 
     A snapshot is a dictionary of tables: documents; links (url, title,
@@ -102,7 +112,7 @@ def snapshots(old: dict[str, DataFrame], new: dict[str, DataFrame], old_version:
     table that either side lacks isn't compared.
     """
     none = F.lit(None).cast("string")
-    parts = [documents(old["documents"], new["documents"])]
+    parts = [documents(old["documents"], new["documents"], exclusions=exclusions)]
     if "links" in old and "links" in new:
         found = links(old["links"], new["links"]).join(sections_of(old["links"], new["links"], "url"), "url", "left")
         side = lambda p: F.when(F.col("category") != F.lit({"old": "links_added", "new": "links_removed"}[p]), F.col("url"))
@@ -112,8 +122,10 @@ def snapshots(old: dict[str, DataFrame], new: dict[str, DataFrame], old_version:
         found = folders(old["folders"], new["folders"])
         parts.append(found.select("category", F.col("path").alias("key"), none.alias("old_key"), "old_title", "new_title", none.alias("old_url"), none.alias("new_url"), F.col("path").alias("section")))
     if "page" in old and "page" in new:
-        was = old["page"].select(F.col("page_text").alias("was"))
-        found = new["page"].crossJoin(was).filter(~F.col("page_text").eqNullSafe(F.col("was")))  # one row each
+        # One row each; of several the least counts, so that nothing is multiplied.
+        texts = old["page"].select(F.lit("old").alias("side"), "page_text").unionByName(new["page"].select(F.lit("new").alias("side"), "page_text"))
+        one = texts.agg(*[F.min(F.when(F.col("side") == p, F.col("page_text"))).alias(p) for p in ("old", "new")], F.count_distinct("side").alias("sides"))
+        found = one.filter((F.col("sides") == 2) & ~F.col("old").eqNullSafe(F.col("new")))
         parts.append(found.select(F.lit("page_text_changed").alias("category"), *[none.alias(c) for c in SUBJECT[1:]]))
     out = parts[0]
     for part in parts[1:]:
@@ -130,11 +142,8 @@ def folders(old: DataFrame, new: DataFrame, both_have_them: bool = True) -> Data
 def cell_details(old: DataFrame, new: DataFrame, group: list[str]) -> DataFrame:
     """group, sheet, cell, detail for cells that differ, by (sheet, cell)."""
     out = keyed(old, new, [*group, "sheet", "cell"], ["value"], ("added", "removed", "changed"))
-    short = lambda c, n: F.left(F.coalesce(F.col(c), F.lit("")), F.lit(n))
-    at = F.concat(F.col("sheet"), F.lit("!"), F.col("cell"))
-    detail = F.when(F.col("category") == "added", F.concat(at, F.lit(" added: "), short("new_value", 300))).when(
-        F.col("category") == "removed", F.concat(at, F.lit(" removed: "), short("old_value", 300))
-    ).otherwise(F.concat(at, F.lit(" changed: "), short("old_value", 150), F.lit(" → "), short("new_value", 150)))
+    side = lambda c, other: F.when(F.col("category") != other, F.coalesce(c, F.lit("")))
+    detail = cell_text(F.col("sheet"), F.col("cell"), side("old_value", "added"), side("new_value", "removed"))
     return out.select(*group, "sheet", "cell", detail.alias("detail"))
 
 

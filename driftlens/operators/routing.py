@@ -5,20 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.predicates import Filters, matches, matches_fixed
+from ..functions import urls
+from ..functions.predicates import Filters, matches, matches_fixed, normal_filters
 from ..functions.text import normalize
 
 ALL = "All monitored changes"
-#: Routes are configuration; above this number they are joined without a broadcast.
-MOST_ROUTES = 10_000
+#: Keys of the join: page text, and routes for all extensions.
+PAGE, ANY = "page text", "*"
 
 
 def routed(changes: DataFrame, routes: DataFrame) -> DataFrame:
-    """Changes x routes where the route's filters match the change's subject; page text only for routes that ask for it."""
-    small = F.broadcast(routes) if routes.count() <= MOST_ROUTES else routes
-    hit = matches(F.col("section"), F.col("title"), F.col("url"), F.col("sections"), F.col("titles"), F.col("extensions"))
+    """Changes x routes where the route's filters match the change's subject; page text only for routes that ask for it.
+
+    Joined by file extension (a route without extensions takes all), so that
+    Spark may broadcast or shuffle either side; the other dimensions are tested
+    on what meets.
+    """
+    extensions = normal_filters(F.col("sections"), F.col("titles"), F.col("extensions"))[2]
+    keys = F.concat(F.when(F.size(extensions) == 0, F.array(F.lit(ANY))).otherwise(F.array_distinct(extensions)), F.when(F.col("include_page_text"), F.array(F.lit(PAGE))).otherwise(F.array().cast("array<string>")))
+    by_key = routes.withColumn("route_key", F.explode(keys))
     page = F.col("category") == "page_text_changed"
-    return changes.join(small, (page & F.col("include_page_text")) | (~page & hit))
+    own = F.when(page, F.array(F.lit(PAGE))).otherwise(F.array(F.lit(ANY), urls.suffix(F.coalesce("url", F.lit("")))))
+    hit = matches(F.col("section"), F.col("title"), F.col("url"), F.col("sections"), F.col("titles"), F.col("extensions"))
+    return changes.withColumn("route_key", F.explode(own)).join(by_key, "route_key").filter(page | hit).drop("route_key")
 
 
 def filtered(changes: DataFrame, filters: Filters, include_page_text: bool = False) -> DataFrame:
@@ -52,11 +61,17 @@ def heartbeat_due(last: F.Column, now: F.Column, days: float) -> F.Column:
 
 
 def error_digest(errors: DataFrame, most: int = 3500) -> DataFrame:
-    """One row: all ``title: error`` joined by `` | ``, cut; meant for the errors of one run."""
+    """One row: all ``title: error`` joined by `` | ``, cut, and their number.
+
+    A line takes four characters at least with the mark between, so the first ``most`` / 4 lines in order fill the text
+    whatever follows: no more are gathered.
+    """
     said = lambda c, none: F.coalesce(normalize(F.col(c)), F.lit(none))
     line = F.concat_ws(": ", said("title", "Document"), said("error", "Unavailable"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]), " | ")
-    return errors.agg(F.when(F.length(joined) > most, F.concat(F.left(joined, F.lit(most - 1)), F.lit("…"))).otherwise(joined).alias("digest"), F.count(F.lit(1)).alias("n"))
+    first = errors.select("pos", line.alias("line")).orderBy("pos", "line").limit(most // 4 + 2)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), " | ")
+    told = first.agg(F.when(F.length(joined) > most, F.concat(F.left(joined, F.lit(most - 1)), F.lit("…"))).otherwise(joined).alias("digest"))
+    return errors.agg(F.count(F.lit(1)).alias("n")).select(told.scalar().alias("digest"), "n")
 
 
 def confirmed(first: DataFrame, second: DataFrame) -> DataFrame:

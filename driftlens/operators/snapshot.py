@@ -70,7 +70,8 @@ def preview_pairs(documents: DataFrame, key: str, old, new, present: DataFrame)
     the listing of existing files (path); a path that isn't in it becomes empty.
     """
     listed = present.select("path").distinct()
-    pairs = documents.select(key, F.posexplode(page_pairs(old, new)).alias("place", "p")).select(key, "place", "p.*")
+    pairs = documents.select(key, F.posexplode(page_pairs(old, new)).alias("place", "p"))
+    pairs = pairs.select(key, "place", *[F.col(f"p.{s}.{c}").alias(f"{s}_{n}") for c, n in (("page", "page"), ("preview_path", "path")) for s in ("old", "new")])
     for side in ("old", "new"):
         held = listed.select(F.col("path").alias(f"{side}_path"), F.lit(True).alias(f"{side}_held"))
         pairs = pairs.join(held, f"{side}_path", "left").withColumn(f"{side}_path", F.when(F.col(f"{side}_held"), F.col(f"{side}_path")).otherwise(""))

@@ -118,10 +118,36 @@ def document_filter(spark, sf_dir):
     return n.filter(predicates.matches_fixed(C("section"), C("title"), C("url"), f)).select("doc_id", "url")
 
 
+LINKS = ["a b.pdf?q=(1)!", "../n.pdf", "/m/../n.pdf", "./x/./y//z", "../../../../up", "?a='b'*c", "#frag", "//H2.test:0443/A b/../c?x=$1", "HTTP://u:p@H3.test:80/q(1)!", "http://[::1]:8080/x", "", "d/..", "100%25 zz%"]
+# Literal results, by RFC 3986 and the list of characters that stay.
+LINK_RESULTS = [
+    "/docs/2024/01/a%20b.pdf?q=(1)!", "/docs/2024/n.pdf", "/n.pdf", "/docs/2024/01/x/y/z", "/up", "/docs/2024/01/p.html?a='b'*c", "/docs/2024/01/p.html?v=1",
+    "https://h2.test:443/A%20b/../c?x=$1", "http://h3.test:80/q(1)!", "http://::1:8080/x", "/docs/2024/01/p.html?v=1", "/docs/2024/01/", "/docs/2024/01/100%25%20zz%",
+]
+LINK_ROWS = ", ".join("({}, '{}')".format(i, (x if "://" in x else "https://h1.test" + x).replace("'", "''")) for i, x in enumerate(LINK_RESULTS))
+
+
+@query(f"WITH r(i, url) AS (VALUES {LINK_ROWS}) SELECT p_partkey, url FROM part JOIN r ON p_partkey % {len(LINKS)} = i")
+def links_resolved(spark, sf_dir):
+    """Made-up links against one base: dot segments, ports, users, brackets, characters that stay."""
+    each = F.array(*[F.lit(x) for x in LINKS])
+    link = F.get(each, (C("p_partkey") % len(LINKS)).cast("int"))
+    return fx.table(spark, sf_dir, "part").select("p_partkey", urls.canonical(F.lit("https://h1.test/docs/2024/01/p.html?v=1"), link).alias("url"))
+
+
+EXCLUDED = predicates.Exclusions(("SRC3",), "/documents/", ("src6/en/6.txt",), ("/documents/moved/src4/",), ("docs.example.test",))
+KEPT_SQL = """split_part(section, ' / ', 1) <> 'src3' AND NOT regexp_matches(url, 'documents/moved/src4/') AND NOT ends_with(url, '/documents/src6/en/6.txt')"""
+
+
+@query(f"WITH {fx.CHANGES_SQL.replace('FROM o FULL OUTER JOIN n ON', f'FROM (SELECT * FROM o WHERE {KEPT_SQL}) o FULL OUTER JOIN (SELECT * FROM n WHERE {KEPT_SQL}) n ON')} SELECT category, key, old_key FROM changes")
+def snapshot_diff_excluded(spark, sf_dir):
+    """Excluded documents vanish from both snapshots: they are neither removed nor added."""
+    return diff.documents(*pair(spark, sf_dir), exclusions=EXCLUDED).select("category", "key", "old_key")
+
+
 @query(f"WITH {fx.PAIR_SQL} SELECT doc_id FROM n WHERE split_part(section, ' / ', 1) = 'src3' OR regexp_matches(url, 'documents/moved/src4/') OR url = '{fx.ROOT}src6/en/6.txt'")
 def excluded_documents(spark, sf_dir):
-    ex = predicates.Exclusions(("SRC3",), "/documents/", ("src6/en/6.txt",), ("/documents/moved/src4/",), ("docs.example.test",))
-    return fx.snapshot(spark, sf_dir, "new").filter(predicates.is_excluded(C("section"), C("url"), ex)).select("doc_id")
+    return fx.snapshot(spark, sf_dir, "new").filter(predicates.is_excluded(C("section"), C("url"), EXCLUDED)).select("doc_id")
 
 
 @query("""WITH l AS (SELECT source AS url, CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END AS section, doc_id AS pos FROM documents)
@@ -357,9 +383,9 @@ def heartbeat_due(spark, sf_dir):
     return last.select("user_id", routing.heartbeat_due(F.date_format("last", "yyyy-MM-dd HH:mm:ss"), F.lit("2024-02-03 00:00:00"), 7).alias("due"))
 
 
-@query(f"WITH {fx.PAIR_SQL}, e AS (SELECT string_agg(title || ': timed out', ' | ' ORDER BY doc_id) AS s, count(*) AS n FROM n WHERE doc_id % 97 = 0) SELECT CASE WHEN length(s) > 3500 THEN left(s, 3499) || '…' ELSE s END AS digest, n FROM e")
+@query(f"WITH {fx.PAIR_SQL}, e AS (SELECT string_agg(title || ': timed out', ' | ' ORDER BY doc_id) AS s, count(*) AS n FROM n) SELECT CASE WHEN length(s) > 3500 THEN left(s, 3499) || '…' ELSE s END AS digest, n FROM e")
 def error_digest(spark, sf_dir):
-    e = fx.snapshot(spark, sf_dir, "new").filter("doc_id % 97 = 0").select("title", F.lit("timed out").alias("error"), "pos")
+    e = fx.snapshot(spark, sf_dir, "new").select("title", F.lit("timed out").alias("error"), "pos")
     return routing.error_digest(e)
 
 
@@ -393,15 +419,9 @@ def case_folded(spark, sf_dir):
     return fx.table(spark, sf_dir, "documents").select("doc_id", text.fold(C("text")).alias("folded"))
 
 
-@query("SELECT doc_id, url_encode(left(text, 200)) AS quoted, left(text, 200) AS again FROM documents")
-def percent_encoding(spark, sf_dir):
-    d = fx.table(spark, sf_dir, "documents").select("doc_id", urls.quote(F.left("text", F.lit(200)), "").alias("quoted"))
-    return d.withColumn("again", urls.unquote(C("quoted")))
-
-
 @query("SELECT doc_id, url_encode(text) AS quoted, text AS again FROM documents")
-def percent_encoding_whole(spark, sf_dir):
-    """Whole texts; percent_encoding takes the first 200 characters, as its SQL does."""
+def percent_encoding(spark, sf_dir):
+    """Whole texts, encoded and decoded."""
     d = fx.table(spark, sf_dir, "documents").select("doc_id", urls.quote(C("text"), "").alias("quoted"))
     return d.withColumn("again", urls.unquote(C("quoted")))
 
@@ -525,11 +545,21 @@ def difference_cells(spark, sf_dir):
     return diff.pixel_cells(*[both.select("image", "y", C(side).alias("row")) for side in ("old", "new")])
 
 
-@query()
+@query("""WITH p AS (SELECT vec_id // 64 AS image, CAST(vec_id % 64 AS INT) AS y, CAST(unnest(range(64)) AS INT) AS x FROM embeddings),
+c AS (SELECT image, x // 16 AS cx, y // 16 AS cy, min(x) AS l, min(y) AS t, max(x) AS r, max(y) AS b FROM p WHERE (y * 64 + x) % 577 = 5 OR (y BETWEEN 9 AND 18 AND x BETWEEN 40 AND 44) GROUP BY 1, 2, 3),
+s0 AS (SELECT *, cx * 100 + cy AS g FROM c),
+s1 AS (SELECT a.image, a.cx, a.cy, a.l, a.t, a.r, a.b, min(z.g) AS g FROM s0 a JOIN s0 z ON a.image = z.image AND abs(a.cx - z.cx) <= 1 AND abs(a.cy - z.cy) <= 1 GROUP BY ALL),
+s2 AS (SELECT a.image, a.cx, a.cy, a.l, a.t, a.r, a.b, min(z.g) AS g FROM s1 a JOIN s1 z ON a.image = z.image AND abs(a.cx - z.cx) <= 1 AND abs(a.cy - z.cy) <= 1 GROUP BY ALL),
+s3 AS (SELECT a.image, a.cx, a.cy, a.l, a.t, a.r, a.b, min(z.g) AS g FROM s2 a JOIN s2 z ON a.image = z.image AND abs(a.cx - z.cx) <= 1 AND abs(a.cy - z.cy) <= 1 GROUP BY ALL),
+s4 AS (SELECT a.image, a.cx, a.cy, a.l, a.t, a.r, a.b, min(z.g) AS g FROM s3 a JOIN s3 z ON a.image = z.image AND abs(a.cx - z.cx) <= 1 AND abs(a.cy - z.cy) <= 1 GROUP BY ALL),
+h AS (SELECT image, max(y) + 1 AS height FROM p GROUP BY 1)
+SELECT s4.image, CAST(greatest(min(l) - 3, 0) AS INT) AS "left", CAST(greatest(min(t) - 3, 0) AS INT) AS top, CAST(least(max(r) + 3, 63) AS INT) AS "right", CAST(least(max(b) + 3, max(height) - 1) AS INT) AS bottom
+FROM s4 JOIN h ON s4.image = h.image GROUP BY s4.image, g""")
 def difference_boxes(spark, sf_dir):
-    rows = F.array_sort(F.collect_list(F.struct("y", "old", "new")))
-    whole = images(spark, sf_dir).groupBy("image").agg(rows.alias("rows"))
-    return whole.select("image", F.explode(sequence.difference_boxes(C("rows.old"), C("rows.new"))).alias("box")).select("image", "box.*")
+    both = images(spark, sf_dir)
+    cells = diff.pixel_cells(*[both.select("image", "y", C(side).alias("row")) for side in ("old", "new")])
+    sizes = both.groupBy("image").agg(F.max(F.size("new")).alias("width"), (F.max("y") + 1).alias("height"))
+    return sequence.boxes(cells, sizes)
 
 
 RECORD_TITLE = "CASE doc_id % 4 WHEN 0 THEN 'SQS-Daily-' || doc_id WHEN 1 THEN 'My sqs-daily-1' ELSE 'Doc ' || doc_id END"

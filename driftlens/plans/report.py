@@ -11,24 +11,79 @@ from pyspark.sql import DataFrame
 from ..operators import dedup
 
 
-def change_report(changes: DataFrame, title: str, most: int | None = None) -> str:
-    """Summary lines with counts over all changes, then all of them; or the first ``most`` and a line that counts the others."""
-    lines = [r["line"] for r in dedup.summary(changes).orderBy("place").collect()]
+def _list(items: list[str]) -> str:
+    return f"<ul>{''.join(f'<li>{x}</li>' for x in items)}</ul>" if items else ""
+
+
+def _link(url: str | None, name: str) -> str:
+    safe = url and url.lower().startswith(("http://", "https://"))
+    return f'<a href="{escape(url)}">{escape(name)}</a>' if safe else escape(name)
+
+
+def change_report(changes: DataFrame, title: str, most: int | None = None, details: DataFrame | None = None, records: DataFrame | None = None, previews: DataFrame | None = None) -> str:
+    """Counts over all changes, then a section for each category with its changes; or the first ``most`` of all and a line that counts the others.
+
+    ``details`` (key, place, detail) stand below modified documents, ``previews`` (key, place, old_page, new_page,
+    old_data, new_data: images as addresses, note) below them; ``records`` (kind, code, old_..., new_...) are a table.
+    """
+    labels = dict(dedup.LABELS)
+    lines = [escape(r["line"]) for r in dedup.summary(changes).orderBy("place").collect()]
     ordered = changes.orderBy("category", "key")
     rows = ordered.collect() if most is None else ordered.limit(most).collect()
     more = 0 if most is None else changes.count() - len(rows)
-    body = "".join(f"<tr><td>{escape(r['category'])}</td><td>{escape(r['new_title'] or r['old_title'] or '')}</td><td>{escape(r['key'] or '')}</td></tr>" for r in rows)
+    shown = changes.sparkSession.createDataFrame([(r["key"],) for r in rows if r["category"] == "documents_modified"], "key string").distinct()
+    said, images = {}, {}
+    for table, into in ((details, said), (previews, images)):
+        if table is not None:
+            for r in table.join(shown, "key").orderBy("key", "place").collect():  # of the changes that are listed
+                into.setdefault(r["key"], []).append(r)
+    parts = []
+    for category in sorted({r["category"] for r in rows}, key=list(labels).index):
+        parts.append(f"<h2>{escape(labels[category])}</h2><table>")
+        for r in (r for r in rows if r["category"] == category):
+            name = r["new_title"] or r["old_title"] or ""
+            own = said.get(r["key"], []) if category == "documents_modified" else []
+            pairs = images.get(r["key"], []) if category == "documents_modified" else []
+            below = _list([escape(d["detail"]) for d in own]) + "".join(map(_preview, pairs))
+            parts.append(f"<tr><td>{_link(r['new_url'] or r['old_url'], name)}{below}</td><td>{escape(r['key'] or '')}</td></tr>")
+        parts.append("</table>")
+    if records is not None:
+        names = [c for c in records.columns if c not in ("kind", "code")]
+        found = records.orderBy("kind", "code").collect()
+        cell = lambda x: f"<td>{escape('' if x is None else str(x))}</td>"
+        head = "".join(f"<th>{escape(c)}</th>" for c in ("kind", "code", *names))
+        parts.append(f"<h2>Records</h2><table><tr>{head}</tr>" + "".join(f"<tr>{''.join(cell(r[c]) for c in ('kind', 'code', *names))}</tr>" for r in found) + "</table>")
     rest = f"<p>{more} additional changes omitted</p>" if more else ""
-    return f"<h1>{escape(title)}</h1><ul>{''.join(f'<li>{escape(x)}</li>' for x in lines)}</ul><table>{body}</table>{rest}"
+    return f"<h1>{escape(title)}</h1>{_list(lines)}{''.join(parts)}{rest}"
+
+
+# What stands for an image that a side lacks.
+NO_PREVIOUS, NO_CURRENT, NO_IMAGE = "No previous page (added).", "Page removed.", "Preview unavailable."
+
+
+def _preview(r) -> str:
+    sides = []
+    for label, page, data, none in (("BEFORE", r["old_page"], r["old_data"], NO_PREVIOUS), ("AFTER", r["new_page"], r["new_data"], NO_CURRENT)):
+        shown = escape(none) if page is None else f'<img src="{escape(data)}">' if data else escape(NO_IMAGE)
+        sides.append(f"<td>{label}{'' if page is None else f' — PAGE {page}'}<br>{shown}</td>")
+    return f"<table><tr>{''.join(sides)}</tr></table>" + (f"<p>{escape(r['note'])}</p>" if r["note"] else "")
 
 
-def status_report(title: str, message: str) -> str:
-    return f"<h1>{escape(title)}</h1><p>{escape(message)}</p>"
+def status_report(title: str, message: str, page_url: str = "", at: str = "") -> str:
+    link = f"<p>{_link(page_url, page_url)}</p>" if page_url else ""
+    return f"<h1>{escape(title)}</h1><p>{escape(message)}</p>{link}" + (f"<p>{escape(at)}</p>" if at else "")
 
 
 def history_page(events: DataFrame, most: int = 100) -> str:
-    rows = dedup.newest(events, most).collect()
-    return "<ul>" + "".join(f"<li>{escape(str(r['event_ts']))} {escape(r['kind'])}</li>" for r in rows) + "</ul>"
+    """The newest events with their details; a link where an event has a report."""
+    columns = {"title", "details", "report"} & set(events.columns)
+    items = []
+    for r in dedup.newest(events, most).collect():
+        own = r.asDict()
+        head = f"{escape(str(own['event_ts']))} {escape(own['kind'])} {escape(own['title'] or '') if 'title' in columns else ''}".strip()
+        link = f' <a href="reports/{escape(own["report"])}">report</a>' if "report" in columns and own["report"] else ""
+        items.append(head + link + _list([escape(d) for d in own["details"] or []] if "details" in columns else []))
+    return _list(items) or "<ul></ul>"
 
 
 def image_id(path: str, prefix: str = "preview-") -> str:

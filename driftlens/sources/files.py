@@ -19,9 +19,13 @@ UNIT = pa.list_(pa.struct([("pos", pa.int32()), ("sheet", pa.string()), ("cell",
 
 
 def files(spark: SparkSession, path: str, pattern: str = "*", most_bytes: int = 1 << 30) -> DataFrame:
-    """path, content, size, sha256 of files; larger files are left to ``spark.sql.sources.binaryFile.maxLength``."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).filter(F.col("length") <= most_bytes)
-    return raw.select("path", "content", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    """path, content, size, sha256, reason of files. A cell holds a file, so larger ones have no content and no digest, but a reason."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    none = F.lit(None).cast("string")
+    read = raw.filter(F.col("length") <= most_bytes).select("path", "content", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), none.alias("reason"))
+    said = F.concat(F.lit("larger than "), F.lit(most_bytes).cast("string"), F.lit(" bytes: "), F.col("length").cast("string"))
+    large = raw.filter(F.col("length") > most_bytes).select("path", F.lit(None).cast("binary").alias("content"), F.col("length").alias("size"), none.alias("sha256"), said.alias("reason"))
+    return read.unionByName(large)
 
 
 def _tidy(s: str) -> str:
@@ -55,7 +59,7 @@ def workbook_cells(data: bytes) -> list[tuple[str, str, str]]:
     """(sheet, cell, value): a formula as ``=f``, else inline or shared strings, else the raw value; empty cells are left out."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = set(z.namelist())
-        shared = ["".join(t.text or "" for t in _named(i, "t")) for i in _named(ElementTree.fromstring(z.read("xl/sharedStrings.xml")), "si")] if "xl/sharedStrings.xml" in names else []
+        shared = [_tidy("".join(t.text or "" for t in _named(i, "t"))) for i in _named(ElementTree.fromstring(z.read("xl/sharedStrings.xml")), "si")] if "xl/sharedStrings.xml" in names else []
         targets = {r.get("Id"): r.get("Target", "") for r in _named(ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")), "Relationship")}
         out = []
         for sheet in _named(ElementTree.fromstring(z.read("xl/workbook.xml")), "sheet"):
@@ -77,7 +81,7 @@ def workbook_cells(data: bytes) -> list[tuple[str, str, str]]:
                 else:
                     said = raw
                 if said:
-                    out.append((sheet.get("name", ""), c.get("r", ""), said))
+                    out.append((sheet.get("name", ""), c.get("r", ""), _tidy(said)))
     return out
 
 
@@ -106,17 +110,20 @@ def analyse(data: bytes, suffix: str) -> tuple[str, list[dict], str | None]:
 
 
 def analyses(rows: DataFrame) -> DataFrame:
-    """Adds kind, units, reason to rows (with content and suffix); content is dropped."""
-    kept = [c for c in rows.columns if c != "content"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "content")
+    """Adds kind, units, reason to rows (with content and suffix); content is dropped. A reason that a row has already (a file too large to read) stays."""
+    kept = [c for c in rows.columns if c not in ("content", "reason")]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in kept)
+    if "reason" not in rows.columns:
+        rows = rows.withColumn("reason", F.lit(None).cast("string"))
 
     def run(batches):
         for batch in batches:
-            done = [analyse(c or b"", s or "") for c, s in zip(batch.column("content").to_pylist(), batch.column("suffix").to_pylist(), strict=True)]
+            given = zip(*(batch.column(c).to_pylist() for c in ("content", "suffix", "reason")), strict=True)
+            done = [("unsupported", [], why) if why else analyse(c or b"", s or "") for c, s, why in given]
             arrays = [pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], UNIT), pa.array([d[2] for d in done], pa.string())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *arrays], names=[*kept, "kind", "units", "reason"])
 
-    return rows.select(*kept, "content").mapInArrow(run, f"{schema}, kind string, units array<struct<pos:int,sheet:string,cell:string,text:string>>, reason string")
+    return rows.select(*kept, "content", "reason").mapInArrow(run, f"{schema}, kind string, units array<struct<pos:int,sheet:string,cell:string,text:string>>, reason string")
 
 
 def refused(rows: DataFrame) -> DataFrame:

@@ -1,111 +1,138 @@
-"""Rendered pages to text, links and folders: an Arrow-batched parser, then relational clean-up."""
+"""Rendered pages to text, links and folders: tokens in Arrow batches, then intervals over them, then relational clean-up.
+
+A page becomes a flat list of tokens (opening tag, closing tag, text). What a
+token belongs to follows from intervals between tokens, taken from running
+counts over the whole list at once: the root element, silent elements, the
+generated inventory region, headings and anchors. No token handler keeps state.
+"""
 
 from __future__ import annotations
 
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
 
+# Elements without content, elements whose text isn't shown, headings.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 SILENT = {"script", "style", "svg", "noscript"}
 HEADINGS = {f"h{i}" for i in range(1, 7)}
+OPEN, CLOSE, TEXT = range(3)
 
 
 def _tidy(s: str) -> str:
     return " ".join(s.replace("‌", " ").split())
 
 
-class PageReader(HTMLParser):
-    """Text, links and folder paths inside the root element; folder rows count anywhere."""
+class _Tokens(HTMLParser):
+    """(kind, tag or text, attributes) of a page, in order."""
 
-    def __init__(self, root: str = "main", folder_attribute: str = "data-folder-path", inventory_attribute: str = "data-inventory"):
+    def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root, self.folder_attribute, self.inventory_attribute = root, folder_attribute, inventory_attribute
-        self.inside, self.silent, self.section = False, 0, ""
-        self.heading: list[str] | None = None
-        self.link: list | None = None
-        self.inventory: list[str] = []  # open tags of the generated region
-        self.words: list[str] = []
-        self.links: list[tuple[str, str, str]] = []
-        self.folders: dict[str, None] = {}
+        self.found: list[tuple[int, str, dict]] = []
 
     def handle_starttag(self, tag, attrs):
-        own = dict(attrs)
-        if tag == "tr" and (path := _tidy(own.get(self.folder_attribute) or "")):
-            self.folders.setdefault(path)
-        if tag == self.root:
-            self.inside = True
-            return
-        if not self.inside:
-            return
-        if self.inventory:
-            if tag not in VOID:
-                self.inventory.append(tag)
-        elif self.inventory_attribute in own and tag not in VOID:
-            self.inventory.append(tag)
-        if tag in SILENT:
-            self.silent += 1
-        if self.silent:
-            return
-        if tag in HEADINGS and not self.inventory:
-            self.heading = []
-        elif tag == "a" and own.get("href"):
-            self.link = [own["href"], [], _tidy(own.get(self.folder_attribute) or "") or self.section]
+        self.found.append((OPEN, tag, dict(attrs)))
 
     def handle_endtag(self, tag):
-        if tag == self.root:
-            self.inside = False
-        if not self.inside:
-            return
-        if self.inventory and tag in self.inventory:
-            while self.inventory.pop() != tag:
-                pass
-        if tag in SILENT:
-            self.silent = max(0, self.silent - 1)
-        elif tag == "a" and self.link:
-            self.links.append((self.link[0], _tidy(" ".join(self.link[1])), self.link[2]))
-            self.link = None
-        elif tag in HEADINGS and self.heading is not None:
-            self.section = _tidy(" ".join(self.heading)) or self.section
-            self.heading = None
+        self.found.append((CLOSE, tag, {}))
 
     def handle_data(self, data):
-        if not self.inside or self.silent or not (own := _tidy(data)):
-            return
-        if self.link is not None:
-            self.link[1].append(own)
-        if self.inventory:
-            return
-        if self.heading is not None:
-            self.heading.append(own)
-        self.words.append(own)
+        if tidy := _tidy(data):
+            self.found.append((TEXT, tidy, {}))
+
+
+def tokens(html: str) -> list[tuple[int, str, dict]]:
+    reader = _Tokens()
+    reader.feed(html)
+    reader.close()
+    return reader.found
+
+
+def last_before(marks: np.ndarray) -> np.ndarray:
+    """For each place the last marked one at or before it, -1 if there is none."""
+    return np.maximum.accumulate(np.where(marks, np.arange(len(marks)), -1)) if len(marks) else np.zeros(0, np.int64)
+
+
+def depth_of(opens: np.ndarray, closes: np.ndarray) -> np.ndarray:
+    """Open elements after each token; closing tags without an opening one count nothing."""
+    level = np.cumsum(opens.astype(np.int64) - closes)
+    return level - np.minimum(np.minimum.accumulate(level), 0) if len(level) else level
+
+
+def read_page(html: str | None, root: str = "main", folder_attribute: str = "data-folder-path", inventory_attribute: str = "data-inventory") -> tuple[str, list[tuple[str, str, str]], list[str]]:
+    """Text of the root element without the inventory region, links (href, title, section), and folder paths of rows anywhere."""
+    every = tokens(html or "")
+    folders = list(dict.fromkeys(p for kind, tag, own in every if kind == OPEN and tag == "tr" and (p := _tidy(own.get(folder_attribute) or ""))))
+    names = np.array([t for _, t, _ in every], object)
+    kinds = np.array([k for k, _, _ in every], np.int8)
+    # Tokens inside the root: after its last opening tag, which no closing one follows.
+    edge = (names == root) & (kinds != TEXT)
+    at = last_before(edge)
+    inside = np.flatnonzero((at >= 0) & (kinds[at] == OPEN) & ~edge) if len(every) else np.zeros(0, np.int64)
+    page, names, kinds = [every[i] for i in inside], names[inside], kinds[inside]
+    opens, closes, data = (kinds == k for k in (OPEN, CLOSE, TEXT))
+    one_of = lambda some: np.array([n in some for n in names], bool)
+    silent = one_of(SILENT)
+    heard = depth_of(opens & silent, closes & silent) == 0
+    # Inventory regions: from an opening tag with the attribute to the closing tag that matches it.
+    hidden, until = np.zeros(len(page), bool), 0
+    for i in [k for k in np.flatnonzero(opens) if inventory_attribute in page[k][2] and names[k] not in VOID]:
+        if i >= until:
+            same = names[i:] == names[i]
+            closed = np.flatnonzero((np.cumsum(same & opens[i:]) - np.cumsum(same & closes[i:])) == 0)
+            until = i + int(closed[0]) + 1 if len(closed) else len(page)
+            hidden[i : until - 1 if len(closed) else until] = True
+    # Headings: a closing tag ends the last heading that was opened since the closing tag before it.
+    heading = one_of(HEADINGS)
+    begins, ends = opens & heading & heard & ~hidden, closes & heading
+    section, sections = "", np.full(len(page), "", object)
+    began, ended = last_before(begins), last_before(ends)
+    shown = data & heard & ~hidden
+    changes = []
+    for e in np.flatnonzero(ends):
+        b = began[e]
+        if b >= 0 and (e == 0 or b > ended[e - 1]):
+            said = " ".join(names[b:e][shown[b:e]])
+            changes.append((e, said))
+    for e, said in changes:
+        section = said or section
+        sections[e:] = section
+    # Anchors: a closing tag ends the last one that was opened since the closing tag before it.
+    anchor = names == "a"
+    begins, ends = np.array([bool(o and t[2].get("href")) for o, t in zip(opens & anchor & heard, page, strict=True)], bool), closes & anchor
+    began, ended = last_before(begins), last_before(ends)
+    links = []
+    for e in np.flatnonzero(ends):
+        b = began[e]
+        if b >= 0 and (e == 0 or b > ended[e - 1]):
+            own = page[b][2]
+            title = " ".join(names[b:e][(data & heard)[b:e]])
+            links.append((own["href"], title, _tidy(own.get(folder_attribute) or "") or sections[b]))
+    return " ".join(names[shown]), links, folders
 
 
 LINK = pa.struct([("pos", pa.int64()), ("href", pa.string()), ("title", pa.string()), ("section", pa.string())])
 
 
 def parse(pages: DataFrame, html: str = "html", root: str = "main") -> DataFrame:
-    """The page's columns but html, with page_text, links (pos, href, title, section) and folder paths."""
+    """The page's columns but html, with page_text, links (pos, href, title, section), folder paths, and error (null, or that the page has no text)."""
     kept = [c for c in pages.columns if c != html]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields if f.name != html)
 
     def run(batches):
         for batch in batches:
-            made = []
-            for t in batch.column(len(kept)).to_pylist():
-                reader = PageReader(root)
-                reader.feed(t or "")
-                reader.close()
-                made.append(reader)
-            links = [[{"pos": i, "href": h, "title": x, "section": s} for i, (h, x, s) in enumerate(r.links)] for r in made]
-            arrays = [pa.array([" ".join(r.words) for r in made], pa.string()), pa.array(links, pa.list_(LINK)), pa.array([list(r.folders) for r in made], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), *arrays], names=[*kept, "page_text", "links", "folders"])
+            made = [read_page(t, root) for t in batch.column(len(kept)).to_pylist()]
+            links = [[{"pos": i, "href": h, "title": x, "section": s} for i, (h, x, s) in enumerate(found)] for _, found, _ in made]
+            said = [None if words else f"no text in <{root}>" for words, _, _ in made]
+            arrays = [pa.array([m[0] for m in made], pa.string()), pa.array(links, pa.list_(LINK)), pa.array([m[2] for m in made], pa.list_(pa.string())), pa.array(said, pa.string())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), *arrays], names=[*kept, "page_text", "links", "folders", "error"])
 
-    return pages.select(*kept, html).mapInArrow(run, f"{schema}, page_text string, links array<struct<pos:bigint,href:string,title:string,section:string>>, folders array<string>")
+    return pages.select(*kept, html).mapInArrow(run, f"{schema}, page_text string, links array<struct<pos:bigint,href:string,title:string,section:string>>, folders array<string>, error string")
 
 
 def page_links(parsed: DataFrame, page: str = "page_id", url: str = "url") -> DataFrame:
@@ -118,4 +145,10 @@ def page_links(parsed: DataFrame, page: str = "page_id", url: str = "url") -> Da
 
 
 def in_order(links: DataFrame) -> DataFrame:
+    """Links by folded URL, then folded title, then place."""
     return links.orderBy(text.fold(F.col("url")), text.fold(F.col("title")), "pos")
+
+
+def folders_in_order(paths: DataFrame) -> DataFrame:
+    """Folder rows (path) by folded path."""
+    return paths.orderBy(text.fold(F.col("path")), "path")

@@ -35,17 +35,29 @@ def read_json(spark: SparkSession, path: str, default=MISSING):
 
 
 def write_json(spark: SparkSession, path: str, value) -> None:
-    """Writes beside the target, then renames: readers see the old file or the new one."""
+    write_text(spark, path, json.dumps(value, ensure_ascii=False, indent=1))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """A file or folder; nothing happens if it isn't there."""
+    p, fs = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes beside the target, then renames over it in one step: readers see the old file or the new one, never none."""
     p, fs = _fs(spark, path)
     new, _ = _fs(spark, f"{path}.{uuid.uuid4().hex}.tmp")
     out = fs.create(new, True)
     try:
-        out.write(bytearray(json.dumps(value, ensure_ascii=False, indent=1).encode()))
+        out.write(bytearray(text.encode()))
     finally:
         out.close()
-    fs.delete(p, False)
-    if not fs.rename(new, p):
-        raise OSError(f"can't rename to {path}")
+    jvm = spark.sparkContext._jvm
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(new, p, over)
 
 
 class Store:

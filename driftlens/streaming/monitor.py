@@ -16,9 +16,11 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import ROUTE, Config
+from ..functions.predicates import Exclusions, Filters, is_excluded, link_matches, matches_fixed
 from ..operators import dedup, diff, routing
-from ..sources.state import Lock, Store, has, read_json, write_json
-
+from ..plans import report
+from ..sources.state import Lock, Store, delete, has, read_json, write_json, write_text
 
 Snapshot = DataFrame | dict[str, DataFrame]
 OUTBOX = "label string, recipients string, n bigint, message string, run_id string"
@@ -39,6 +41,31 @@ class Monitor:
     routes: DataFrame | None = None
     owner: str = ""
     heartbeat_days: float = 0
+    exclusions: Exclusions | None = None
+    filters: Filters = Filters()
+    history_limit: int = 100
+    retry_attempts: int = 1
+    retry_delay: float = 5
+    confirmation_delay: float = 0
+    sleep: Callable = time.sleep
+
+    @classmethod
+    def of(cls, spark: SparkSession, root: str, config: Config, exclusions: Exclusions | None = None) -> Monitor:
+        c = config.validate()
+        return cls(
+            spark, root, c.recipients, c.route_rows(spark), c.failure_recipient, c.heartbeat_days, exclusions, c.filters(), int(c.history_limit),
+            max(1, int(c.retry_attempts)), c.retry_delay_seconds, c.confirmation_delay_seconds,
+        )
+
+    def wanted(self, snapshot: Snapshot) -> dict[str, DataFrame]:
+        """The snapshot's tables without excluded documents and without documents and links that the filters don't match."""
+        tables = dict(tables_of(snapshot))
+        at = [F.col(c) for c in ("section", "title", "url")]
+        docs = tables["documents"].filter(matches_fixed(*at, self.filters))
+        tables["documents"] = docs if self.exclusions is None else docs.filter(~is_excluded(at[0], at[2], self.exclusions))
+        if "links" in tables:
+            tables["links"] = tables["links"].filter(link_matches(at[0], at[1], self.filters))
+        return tables
 
     @property
     def store(self) -> Store:
@@ -53,27 +80,33 @@ class Monitor:
 
     def changes(self, snapshot: Snapshot) -> DataFrame:
         """Changes against the baseline; without one, everything is new."""
-        new = tables_of(snapshot)
+        new = self.wanted(snapshot)
         names = self.store.tables()
         old = {k: self.store.read(k) for k in new if k in names}
-        return diff.snapshots({"documents": new["documents"].limit(0)} | old, new)
+        old = {"documents": new["documents"].limit(0)} | old
+        return diff.snapshots(self.wanted(old), new)  # a filter or exclusion since then holds for the baseline, too
 
-    def run(self, snapshot: Callable[[], Snapshot], run_id: str, again: Callable[[], Snapshot] | None = None) -> str:
-        """One scheduled run under the lock: check, then the runtime record; a failure is recorded, told to the owner and raised."""
+    def run(self, snapshot: Callable[[], Snapshot], run_id: str, again: Callable[[], Snapshot] | None = None, dry_run: bool = False) -> str:
+        """One scheduled run under the lock: check, then the runtime record; a failure is recorded, told to the owner and raised. A dry run changes nothing."""
         began = time.monotonic()
         with Lock(self.spark, f"{self.root}/lock"):
             try:
-                found = tables_of(snapshot())
-                outcome, changed = self.check(found, run_id, again)
-                if "errors" in found:
-                    self.warn(found["errors"], run_id)
-                if outcome in ("unchanged", "suppressed"):
+                found = tables_of(retry(snapshot, self.retry_attempts, self.retry_delay, self.sleep))
+                outcome, changed = self.check(found, run_id, again, dry_run)
+                if dry_run:
+                    return outcome
+                errors = found.get("errors")
+                if errors is not None:
+                    self.warn(errors, run_id)
+                if outcome == "unchanged" and (errors is None or errors.isEmpty()):
                     self.heartbeat(run_id)
                 count = 0 if changed is None else changed.count()
             except Exception as e:
+                if dry_run:
+                    raise
                 state = self.runtime()
                 write_json(self.spark, self.runtime_path, state | {"consecutive_failures": state["consecutive_failures"] + 1, "last_error": str(e)})
-                self.log(run_id, "failed")
+                self.log(run_id, "failed", "Check failed", [str(e)])
                 self.tell("Monitor failure", f"The check or its notice failed. Error: {e}", run_id)
                 raise
             done = {"consecutive_failures": 0, "last_error": "", "last_success_at": now(), "last_change_count": count, "last_duration_seconds": round(time.monotonic() - began, 2)}
@@ -94,14 +127,19 @@ class Monitor:
             return "unchanged", None
         outcome = "changed"
         if again is not None:  # the second look is compared with the same baseline and replaces the first
-            tables = {k: v for k, v in tables_of(again()).items() if k != "errors"}
+            self.sleep(self.confirmation_delay)
+            second = retry(again, self.retry_attempts, self.retry_delay, self.sleep)
+            tables = {k: v for k, v in tables_of(second).items() if k != "errors"}
             found = self.changes(tables)
             outcome = "suppressed" if found.isEmpty() else "changed"
         version = self.store.write(tables | {"changes": found})
         if outcome == "changed":
             found = self.store.read("changes", version)
             self.send(found, run_id)
-        self.log(run_id, outcome)
+            lines = [r["line"] for r in dedup.summary(found).orderBy("place").collect()]  # a row a category
+            self.log(run_id, outcome, "Changes confirmed" if again is not None else "Changes found", lines, report.change_report(found, "Changes", 1000))
+        else:
+            self.log(run_id, outcome, "Transient change suppressed", ["The second look was as the baseline."])
         self.store.commit(version)
         return outcome, found if outcome == "changed" else None
 
@@ -134,24 +172,40 @@ class Monitor:
             return
         if last is not None:
             self.tell("Heartbeat", "Checks run; nothing has changed.", run_id)
+            self.log(run_id, "heartbeat", "Heartbeat sent", [])
         write_json(self.spark, self.runtime_path, self.runtime() | {"last_heartbeat_at": now()})
 
     def outbox(self) -> DataFrame:
         return self.spark.read.schema(OUTBOX).parquet(f"{self.root}/outbox").dropDuplicates(["run_id", "label", "recipients"])
 
-    def log(self, run_id: str, kind: str) -> None:
-        row = self.spark.range(1).select(F.current_timestamp().alias("event_ts"), F.lit(run_id).alias("seq"), F.lit(kind).alias("kind"))
-        row.write.mode("append").parquet(f"{self.root}/history")
+    def log(self, run_id: str, kind: str, title: str = "", details: list[str] | None = None, page: str | None = None) -> None:
+        """Adds an event to the log, a table of the newest ``history_limit`` events, and saves its report; reports of events that leave it go."""
+        name = f"{kind}-{run_id}.html" if page else None
+        if page:
+            write_text(self.spark, f"{self.root}/reports/{name}", page)
+        row = self.spark.createDataFrame([(run_id, kind, title, details or [], name)], "seq string, kind string, title string, details array<string>, report string")
+        row = row.select(F.current_timestamp().alias("event_ts"), "*")
+        log = Store(self.spark, f"{self.root}/log")
+        before, version = log.read("events"), log.current()
+        if before is not None:
+            row = row.unionByName(before)
+        log.commit(log.write({"events": dedup.newest(row, self.history_limit).coalesce(1)}))
+        if before is not None:
+            kept = log.read("events").filter("report IS NOT NULL").select("report")
+            for r in before.select("report").filter("report IS NOT NULL").join(kept, "report", "left_anti").collect():  # events that left
+                delete(self.spark, f"{self.root}/reports/{r['report']}")
+            delete(self.spark, f"{self.root}/log/{version}")
 
     def history(self, most: int = 100) -> DataFrame:
-        return dedup.newest(self.spark.read.parquet(f"{self.root}/history"), most)
+        """event_ts, seq, kind, title, details, report of the newest events."""
+        return dedup.newest(Store(self.spark, f"{self.root}/log").read("events"), most)
 
     def status(self) -> DataFrame:
         """One row: documents of the baseline, the newest event if there is one, and the runtime record."""
         state = self.runtime()
         docs = self.store.read("documents")
         n = docs.count() if docs is not None else 0
-        log = self.history(1).collect() if has(self.spark, f"{self.root}/history") else []
+        log = self.history(1).collect() if has(self.spark, f"{self.root}/log/current.json") else []
         event = (log[0]["event_ts"], log[0]["kind"]) if log else (None, None)
         row = (*event, n, state["consecutive_failures"], state["last_error"], state.get("last_success_at"), state.get("last_heartbeat_at"))
         return self.spark.createDataFrame([row], "event_ts timestamp, kind string, documents bigint, consecutive_failures int, last_error string, last_success_at string, last_heartbeat_at string")
@@ -173,7 +227,7 @@ def now() -> str:
 
 
 def empty_routes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "name string, recipients array<string>, sections array<string>, titles array<string>, extensions array<string>, include_page_text boolean")
+    return spark.createDataFrame([], ROUTE)
 
 
 def retry(operation: Callable, attempts: int = 3, delay: float = 5.0, sleep: Callable | None = None):

@@ -132,10 +132,11 @@ def test_runs_failures_warnings_heartbeat(spark, tmp_path):
     assert state["consecutive_failures"] == 0 and state["last_document_count"] == 1
     write_json(spark, m.runtime_path, state | {"last_heartbeat_at": "2020-01-01T00:00:00+00:00"})
     errors = spark.createDataFrame([("B", "timed  out", 0)], "title string, error string, pos int")
-    assert m.run(lambda: {"documents": old, "errors": errors}, "r3") == "unchanged"
+    assert m.run(lambda: {"documents": old, "errors": errors}, "r3") == "unchanged"  # no heartbeat beside errors
+    assert m.run(lambda: new, "d2", dry_run=True) == "dry_run" and m.run(lambda: old, "r3b") == "unchanged"
     assert m.run(lambda: new, "r4") == "changed"
     assert sorted((r["run_id"], r["label"], r["recipients"]) for r in m.outbox().collect()) == [
-        ("r1", "Monitor failure", "owner@x.test"), ("r3", "Document warning", "owner@x.test"), ("r3", "Heartbeat", "owner@x.test"), ("r4", "s", "s@x.test"),
+        ("r1", "Monitor failure", "owner@x.test"), ("r3", "Document warning", "owner@x.test"), ("r3b", "Heartbeat", "owner@x.test"), ("r4", "s", "s@x.test"),
     ]
     assert m.status().first()["kind"] == "changed"
 
@@ -232,10 +233,11 @@ def test_pixels(spark):
     new = frame(rows(1, hit) + rows(2, blank[:19]) + rows(3, [r[:39] for r in hit]))
     got = sorted(tuple(r) for r in diff.pixel_cells(old, new).collect())
     assert got == [(1, 0, 0, 1, 5, 3, 5, 3), (1, 1, 0, 1, 17, 3, 17, 3), (1, 2, 1, 1, 39, 19, 39, 19)]
-    both = spark.createDataFrame([(1, blank, hit), (2, blank, hit[:19]), (3, None, None), (4, blank, blank)], "i int, a array<array<int>>, b array<array<int>>")
-    boxes = {r["i"]: [tuple(x) for x in r["boxes"]] for r in both.select("i", sequence.difference_boxes(F.col("a"), F.col("b")).alias("boxes")).collect()}
+    sizes = spark.createDataFrame([(k, 40, 20) for k in range(1, 5)], "image int, width int, height int")
     # The third pixel's cell touches the second's at a corner: one region.
-    assert boxes == {1: [(2, 0, 39, 19)], 2: [], 3: [], 4: []}
+    assert [tuple(r) for r in sequence.boxes(diff.pixel_cells(old, new), sizes).collect()] == [(1, 2, 0, 39, 19)]
+    hit[3][17] = 0  # then the first is alone
+    assert sorted(tuple(r) for r in sequence.boxes(diff.pixel_cells(frame(rows(1, blank)), frame(rows(1, hit))), sizes).collect()) == [(1, 2, 0, 8, 6), (1, 36, 16, 39, 19)]
 
 
 def test_refused_downloads(spark):
@@ -271,3 +273,55 @@ def test_trees_and_reports_are_whole(spark):
     assert page.count("<tr>") == 1100 and "omitted" not in page
     page = report.change_report(changes, "some", 1000)
     assert page.count("<tr>") == 1000 and "<p>100 additional changes omitted</p>" in page
+
+
+def test_exclusions_filters_and_config_in_runs(spark, tmp_path):
+    """What is excluded or filtered since the baseline is no removal; the log is trimmed with its reports."""
+    from driftlens.config import Config, Route
+    from driftlens.functions.predicates import Exclusions
+
+    c = Config("https://x.test", ["root@x.test"], routes=[Route("r", ["s@x.test"], sections=["S"])], history_limit=2, confirmation_delay_seconds=0, heartbeat_days=0)
+    m = Monitor.of(spark, f"file://{tmp_path}/m", c)
+    calls = []
+
+    def flaky():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError("busy")
+        return docs(spark, ("a", None, "A", "1"), ("b", None, "B", "2"))
+
+    m.sleep = lambda _: None
+    assert m.run(flaky, "r0") == "initialised" and len(calls) == 3  # retried
+    fewer = docs(spark, ("a", None, "A", "1"))
+    c.set_filter("titles", ["a"])
+    assert Monitor.of(spark, m.root, c).changes(fewer).count() == 0
+    c.clear_filters()
+    assert kinds(m.changes(fewer)) == [("documents_removed", "b", "b")]
+    section = fewer.first()["section"]
+    assert Monitor.of(spark, m.root, c, Exclusions(top_sections=(section.split(" / ")[0].upper(),))).changes(fewer).count() == 0
+    for k in range(4):
+        assert m.run(lambda k=k: docs(spark, ("a", None, "A", f"v{k}")), f"c{k}") == "changed"
+    log = m.history().collect()
+    assert [r["seq"] for r in log] == ["c3", "c2"] and log[0]["details"] == ["1 document(s) modified"]
+    assert sorted(x.name for x in (tmp_path / "m/reports").iterdir() if x.suffix == ".html") == ["changed-c2.html", "changed-c3.html"]
+    page = report.history_page(m.history())
+    assert 'href="reports/changed-c3.html"' in page and "1 document(s) modified" in page
+
+
+def test_report_sections(spark):
+    changes = diff.documents(docs(spark, ("a", None, "<A>", "1")), docs(spark, ("a", None, "<A>", "2"), ("b", None, "B", "3")))
+    details = spark.createDataFrame([("a", 0, "Line(s) 1 <changed>"), ("zz", 0, "no")], "key string, place int, detail string")
+    previews = spark.createDataFrame([("a", 0, None, 2, None, "data:image/png;base64,xx", None), ("a", 1, 1, 1, None, None, "n")], "key string, place int, old_page int, new_page int, old_data string, new_data string, note string")
+    records = spark.createDataFrame([("added", "C1", None, "EA")], "kind string, code string, old_unit string, new_unit string")
+    page = report.change_report(changes, "t", details=details, previews=previews, records=records)
+    assert page.index("document(s) added</h2>") < page.index("document(s) modified</h2>") and "&lt;A&gt;" in page and "<A>" not in page
+    assert "Line(s) 1 &lt;changed&gt;" in page and ">no<" not in page and "<td>C1</td>" in page
+    assert "No previous page (added)." in page and "AFTER — PAGE 2" in page and page.count("Preview unavailable.") == 2
+
+
+def test_state_is_never_absent(spark, tmp_path):
+    path = f"file://{tmp_path}/s.json"
+    for k in range(3):
+        write_json(spark, path, {"k": k})
+        assert read_json(spark, path) == {"k": k}
+    assert [x.name for x in tmp_path.iterdir() if not x.name.endswith(".crc")] == ["s.json"]
