@@ -27,20 +27,31 @@ def lines(text: Column) -> Column:
 
 
 @lru_cache(maxsize=1)
-def folding() -> tuple[str, str, dict[str, str]]:
-    """Unicode's full case folding: characters that fold to one character, what they fold to, and those that fold to several."""
-    pairs = [(c, c.casefold()) for c in map(chr, (*range(0xD800), *range(0xE000, 0x110000))) if c.casefold() != c]
-    return "".join(a for a, b in pairs if len(b) == 1), "".join(b for _, b in pairs if len(b) == 1), {a: b for a, b in pairs if len(b) > 1}
+def folding() -> tuple[str, str, dict[str, str], str]:
+    """Unicode's full case folding: characters that fold to one character, what they fold to, those that fold to several,
+    and a pattern of those that lower case doesn't fold (the sharp s and the sigmas apart)."""
+    every = [*map(chr, range(0xD800)), *map(chr, range(0xE000, 0x110000))]
+    pairs = [(c, c.casefold()) for c in every if c.casefold() != c]
+    # From U+2C00 on are scripts that a Java of an older Unicode may not know.
+    other = sorted(ord(c) for c, f in pairs if (c.lower() != f or ord(c) >= 0x2C00) and c not in "ßςΣ")
+    runs = []
+    for c in other:
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    rare = r"(?=[^\x00-\x7f])[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs) + "]"
+    return "".join(a for a, b in pairs if len(b) == 1), "".join(b for _, b in pairs if len(b) == 1), {a: b for a, b in pairs if len(b) > 1}, rare
 
 
 def fold(text: Column) -> Column:
-    """Unicode's full case folding."""
-    one, to, several = folding()
-    out = F.translate(text, one, to)
-    long_ = out
+    """Unicode's full case folding: lower case with the sharp s and the sigmas folded, character by character only for texts with rarer cases."""
+    one, to, several, rare = folding()
+    low = F.replace(F.replace(F.lower(F.replace(text, F.lit("Σ"), F.lit("σ"))), F.lit("ς"), F.lit("σ")), F.lit("ß"), F.lit("ss"))
+    full = F.translate(text, one, to)
     for a, b in several.items():
-        long_ = F.replace(long_, F.lit(a), F.lit(b))
-    return F.when(out.rlike("[" + "".join(several) + "]"), long_).otherwise(out)
+        full = F.replace(full, F.lit(a), F.lit(b))
+    return F.when(text.rlike(rare), full).otherwise(low)
 
 
 def cut(text: Column, most: int, mark: str = "") -> Column:

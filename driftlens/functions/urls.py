@@ -46,11 +46,15 @@ def path(url: Column) -> Column:
 
 
 def quote(text: Column, safe: str) -> Column:
-    """UTF-8 percent-encoding of all but letters, digits, ``_.-~`` and ``safe``."""
-    kept = r"^[A-Za-z0-9_.\-~" + "".join("\\" + c for c in safe) + "]$"
-    one = lambda c: F.when(c.rlike(kept), c).otherwise(F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1"))
-    plain = text.rlike(r"^[A-Za-z0-9_.\-~" + "".join("\\" + c for c in safe) + "]*$")
-    return F.when(plain, text).otherwise(F.array_join(F.transform(F.split(text, ""), one), ""))
+    """UTF-8 percent-encoding of all but letters, digits, ``_.-~`` and ``safe``.
+
+    Form encoding writes every other character as an escape and a blank as ``+``; each escape begins with its own
+    ``%``, so those of characters that stay are undone one by one, that of ``%`` itself last.
+    """
+    out = F.replace(F.replace(F.url_encode(text), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A"))
+    for c in ["~", *sorted(safe, key=lambda c: c == "%")]:
+        out = F.replace(out, F.lit("".join(f"%{b:02X}" for b in c.encode())), F.lit(c))
+    return out
 
 
 def unquote(text: Column) -> Column:
