@@ -1,6 +1,7 @@
 import difflib
 import io
 import random
+import unicodedata
 import zipfile
 from urllib.parse import quote, urlsplit, urlunsplit, urljoin
 
@@ -50,9 +51,10 @@ def test_unquote_and_fold_like_python(spark):
 
     odd = ["a%20b%zz%41", "%", "%4", "+%2B%c3%a9", "100% %41", "%2525", ""]
     assert one(spark, odd, urls.unquote) == [unquote(x) for x in odd]
-    every = ["".join(chr(c) for c in range(a, a + 256) if not 0xD800 <= c < 0xE000) for a in range(0, 0x11000, 256)] + ["µŉǰͅẖﬁ", "Straße ΑΣ"]
+    known = lambda a, b: [chr(c) for c in range(a, b) if unicodedata.category(chr(c)) not in ("Cn", "Cs")]  # noqa: E731  # Java may know more
+    every = ["".join(known(a, a + 256)) for a in range(0, 0x11000, 256)] + ["µŉǰͅẖﬁ", "Straße ΑΣ"]
     assert one(spark, every, text.fold) == [x.casefold() for x in every]
-    each = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x1F000))]  # one by one: lower case is another way for most
+    each = known(0, 0x1F000)  # one by one: lower case is another way for most
     assert [x for x, y in zip(each, one(spark, each, text.fold), strict=True) if y != x.casefold()] == []
 
 
