@@ -247,10 +247,16 @@ def verify(pairs: DataFrame, texts: DataFrame, weight, s: Settings) -> DataFrame
 
 
 def with_counts(rows: DataFrame, counts: DataFrame, key: str, s: Settings) -> DataFrame:
-    """rows with the columns of counts (key, n, ...) where there are any; keys of many rows don't meet in one task."""
-    hot = checked(written(counts.filter(F.col("n") > s.block_rows), "hot"))
-    rest = rows.join(hot.select(key), key, "left_anti").join(counts.filter(F.col("n") <= s.block_rows), key, "left")
-    return rows.join(hot, key).unionByName(rest)
+    """rows (with node) and n of counts (key, n), null where there is none; rows of a frequent key don't meet in one task.
+
+    Frequent keys are looked up first; what found its number goes on under a key of its own that matches nothing.
+    """
+    hot = checked(written(counts.filter(F.col("n") > s.block_rows).select(key, F.col("n").alias("hot_n")), "hot"))
+    first = rows.join(hot, key, "left")
+    own = -1 - F.shiftrightunsigned(F.xxhash64(key, "node"), 2)  # keys are from 0 on
+    rest = counts.filter(F.col("n") <= s.block_rows).select(F.col(key).alias("rare_key"), F.col("n").alias("rare_n"))
+    both = first.withColumn("at", F.when(F.col("hot_n").isNull(), F.col(key)).otherwise(own)).join(rest, F.expr("at = rare_key"), "left")
+    return both.withColumn("n", F.coalesce("hot_n", "rare_n")).select(*rows.columns, "n")
 
 
 def remaining(open_: DataFrame, weight, s: Settings) -> DataFrame:
