@@ -33,7 +33,7 @@ def folding() -> tuple[str, str, dict[str, str], str]:
     every = [*map(chr, range(0xD800)), *map(chr, range(0xE000, 0x110000))]
     pairs = [(c, c.casefold()) for c in every if c.casefold() != c]
     # From U+2C00 on are scripts that a Java of an older Unicode may not know.
-    other = sorted(ord(c) for c, f in pairs if (c.lower() != f or ord(c) >= 0x2C00) and c not in "ßςΣ")
+    other = [ord(c) for c in every if (c.lower() != c.casefold() or (c.casefold() != c and ord(c) >= 0x2C00)) and c not in "ßςΣ"]
     runs = []
     for c in other:
         if runs and runs[-1][1] == c - 1:
