@@ -27,7 +27,6 @@ from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -410,6 +409,8 @@ def decode_span(tokens: DataFrame, path: str, begin: int | None, end: int | None
 
     @F.pandas_udf("string")
     def back(ids, offsets, first):
+        import pandas as pd  # the workers that encode don't need it
+
         vocab, made = vocabulary(path), []
         for own, at, nth in zip(ids, offsets, first, strict=True):
             if own is None or at is None or nth is None or not len(at):

@@ -52,7 +52,7 @@ from .shared import drop, written
 
 U64 = np.uint64
 #: Points of a signature step that are made at a time.
-POINTS = 1 << 20
+POINTS = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -229,12 +229,13 @@ def verify(pairs: DataFrame, texts: DataFrame, weight, s: Settings) -> DataFrame
     """The pairs (a, b) of nodes whose texts (node, text) are similar enough, with their similarity."""
     ta = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     # A text with many partners is copied to several parts, so that no task gets all its pairs.
-    hot = checked(written(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / s.block_rows).cast("int").alias("salts")).filter("salts > 1"), "hot"))
-    salts = F.coalesce("salts", F.lit(1))
-    tb = texts.select(F.col("node").alias("b"), F.col("text").alias("tb")).join(hot, "b", "left")
-    tb = tb.select("b", "tb", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    dealt = pairs.select("a", "b").join(hot, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), salts).cast("int").alias("salt"))
-    with_texts = dealt.join(ta, "a").join(tb, ["b", "salt"]).select("a", "b", "ta", "tb")
+    tb, dealt, key = texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), pairs.select("a", "b"), ["b"]
+    hot = written(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / s.block_rows).cast("int").alias("salts")).filter("salts > 1"), "hot")
+    if not hot.isEmpty():
+        hot, salts, key = checked(hot), F.coalesce("salts", F.lit(1)), ["b", "salt"]
+        tb = tb.join(hot, "b", "left").select("b", "tb", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+        dealt = dealt.join(hot, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), salts).cast("int").alias("salt"))
+    with_texts = dealt.join(ta, "a").join(tb, key).select("a", "b", "ta", "tb")
 
     def run(batches):
         for batch in batches:
@@ -251,7 +252,10 @@ def with_counts(rows: DataFrame, counts: DataFrame, key: str, s: Settings) -> Da
 
     Frequent keys are looked up first; what found its number goes on under a key of its own that matches nothing.
     """
-    hot = checked(written(counts.filter(F.col("n") > s.block_rows).select(key, F.col("n").alias("hot_n")), "hot"))
+    hot = written(counts.filter(F.col("n") > s.block_rows).select(key, F.col("n").alias("hot_n")), "hot")
+    if hot.isEmpty():
+        return rows.join(counts, key, "left").select(*rows.columns, "n")
+    hot = checked(hot)
     first = rows.join(hot, key, "left")
     own = -1 - F.shiftrightunsigned(F.xxhash64(key, "node"), 2)  # keys are from 0 on
     rest = counts.filter(F.col("n") <= s.block_rows).select(F.col(key).alias("rare_key"), F.col("n").alias("rare_n"))

@@ -27,7 +27,6 @@ agree: fully equal rows are interchangeable.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,6 +88,8 @@ def drawn(counts: DataFrame, shards: int, seed: int) -> DataFrame:
     margins = spark.createDataFrame([(g, row.tolist()) for (g, _), row in zip(sums, table, strict=True)], "group bigint, margin array<bigint>")
 
     def draw(pdf):
+        import pandas as pd
+
         pdf = pdf.sort_values("part")
         own = matrix(pdf.n.tolist(), list(pdf.margin.iloc[0]), [seed, int(pdf.group.iloc[0])])
         return pd.DataFrame({"part": pdf.part, "cuts": np.cumsum(own, axis=1).tolist()})
