@@ -177,17 +177,20 @@ def map_texts(df, text_col: str, carried: list[str], fields: list[tuple[str, str
 
     ``fields`` are (name, Spark type, Arrow type) of the kernel's columns; the
     kernel gets a list of texts (None where null) and returns a list of arrays.
-    Only ``carried`` and the text reach Python. Rows keep their partitioning.
+    Only ``carried`` and the text reach Python, the text once: ``text_col`` may
+    name a field of a carried struct (``row.text``). Rows keep their partitioning.
     """
     inner = "__text" + "_" * max((len(c) for c in carried), default=0)
-    keep = df.select(*[df[c] for c in carried], df[text_col].alias(inner))
+    whole, _, within = text_col.partition(".")
+    within = within if whole in carried else ""
+    keep = df.select(*[df[c] for c in carried], *([] if within else [df[text_col].alias(inner)]))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema.fields if f.name != inner] + [f"`{n}` {t}" for n, t, _ in fields])
     names = [*carried, *(n for n, _, _ in fields)]
     types = [t for _, _, t in fields]
 
     def run(batches):
         for batch in batches:
-            column = batch.column(len(carried))
+            column = batch.column(carried.index(whole)).field(within) if within else batch.column(len(carried))
             for a, b, texts in text_blocks(column):
                 made = kernel(texts)
                 arrays = [batch.column(i).slice(a, b - a) for i in range(len(carried))]

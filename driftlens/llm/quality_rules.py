@@ -114,8 +114,8 @@ def rules(docs: DataFrame, id_cols: list[str], text_col: str = "text", limits: L
 
 def keep_good(docs: DataFrame, text_col: str = "text", limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """The rows that the rules keep, with their columns."""
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))  # names can't clash
-    return rules(packed, ["row"], "text", limits).filter("kept").select("row.*")
+    packed = docs.select(F.struct(*docs.columns).alias("row"))  # names can't clash
+    return rules(packed, ["row"], f"row.{text_col}", limits).filter("kept").select("row.*")
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
