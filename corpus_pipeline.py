@@ -30,8 +30,8 @@ LEAST_KNOWN = 0.25
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts in no learned language; learns from the rows that the operator may learn from."""
     model = language_id.fit(docs, language_id.learnable())
-    packed = docs.select(F.struct(*docs.columns).alias("row"), "text")  # names can't clash
-    found = language_id.identify(packed, model, ["row"])
+    packed = docs.select(F.struct(*docs.columns).alias("row"))  # names can't clash
+    found = language_id.identify(packed, model, ["row"], "row.text")
     return found.filter((F.col("lang_pred") != "und") & (F.col("known") >= LEAST_KNOWN)).select("row.*")
 
 
