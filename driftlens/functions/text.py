@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -48,10 +49,9 @@ def fold(text: Column) -> Column:
     """Unicode's full case folding: lower case with the sharp s and the sigmas folded, character by character only for texts with rarer cases."""
     one, to, several, rare = folding()
     low = F.replace(F.replace(F.lower(F.replace(text, F.lit("Σ"), F.lit("σ"))), F.lit("ς"), F.lit("σ")), F.lit("ß"), F.lit("ss"))
-    full = F.translate(text, one, to)
-    for a, b in several.items():
-        full = F.replace(full, F.lit(a), F.lit(b))
-    return F.when(text.rlike(rare), full).otherwise(low)
+    to_several = F.from_json(F.lit(json.dumps(several)), "map<string,string>")  # one literal after folding; nested calls make plans slow to analyse
+    spelt = F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(to_several, c), c))
+    return F.when(text.rlike(rare), F.translate(F.array_join(spelt, ""), one, to)).otherwise(low)
 
 
 def cut(text: Column, most: int, mark: str = "") -> Column:
