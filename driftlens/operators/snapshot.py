@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import kept
 from .dedup import prefer_section
 from .sequence import page_pairs
 
@@ -87,19 +89,71 @@ def ancestors(sections: DataFrame, column: str = "section") -> DataFrame:
     return each.select("path", F.element_at(own, -1).alias("title"), F.size(own).alias("depth"))
 
 
-def flatten_tree(rows: DataFrame, order: str = "pos", levels: int | None = None) -> DataFrame:
-    """Paths of an indented listing (grid, pos, level, name): each level's last name, unless a higher level came since.
+#: Rows of a tree that one range has at most, about.
+RANGE_ROWS = 1 << 20
+STACK = "array<struct<level:int,name:string>>"
 
-    One ordered window a grid; per level it keeps one value, so the cost is rows x levels. Without ``levels`` they
-    go down to the deepest one of the rows.
+
+def open_after(before: Column, least: Column, own: Column) -> Column:
+    """The open path behind a range: what stood open before it above the range's highest level, then what the range leaves open.
+
+    Associative, so summaries of ranges compose in any grouping.
+    """
+    return F.concat(F.filter(before, lambda x: x["level"] < least), own)
+
+
+def range_summaries(rows: DataFrame, order: str) -> DataFrame:
+    """grid, range, least (the highest level that occurs), own (levels left open at the end, with their names)."""
+    last = rows.groupBy("grid", "range", "level").agg(F.max(F.struct(order, "name")).alias("last"))
+    every = last.groupBy("grid", "range").agg(F.min("level").alias("least"), F.array_sort(F.collect_list(F.struct("level", F.col(f"last.{order}").alias("at"), F.col("last.name").alias("name")))).alias("levels"))
+    # A level stays open if no higher one (a smaller number) came after its last name.
+    ends = F.filter("levels", lambda x: ~F.exists("levels", lambda y: (y["level"] < x["level"]) & (y["at"] > x["at"])))
+    return every.select("grid", "range", "least", F.transform(ends, lambda x: F.struct(x["level"].alias("level"), x["name"].alias("name"))).cast(STACK).alias("own"))
+
+
+def open_before(summaries: DataFrame) -> DataFrame:
+    """grid, range, carried: the open path with which each range begins, by composing the summaries of the ranges before it."""
+    listed = summaries.groupBy("grid").agg(F.array_sort(F.collect_list(F.struct("range", "least", "own"))).alias("parts"))
+    start = F.struct(F.array().cast(STACK).alias("stack"), F.array().cast(f"array<struct<range:int,carried:{STACK}>>").alias("out"))
+
+    def step(s, x):
+        told = F.struct(x["range"].alias("range"), s["stack"].alias("carried"))
+        return F.struct(open_after(s["stack"], x["least"], x["own"]).alias("stack"), F.concat(s["out"], F.array(told)).alias("out"))
+
+    made = listed.select("grid", F.explode(F.aggregate("parts", start, step)["out"]).alias("x"))
+    return made.select(F.col("grid").alias("grid_"), F.col("x.range").alias("range_"), F.col("x.carried").alias("carried"))
+
+
+def flatten_tree(rows: DataFrame, order: str = "pos", ranges: int | None = None) -> DataFrame:
+    """Adds path to an indented listing (grid, pos, level, name): each level's last name, unless a higher level came since.
+
+    A segmented scan over ranges of (grid, pos): each range is summed up by the path that it leaves open, these
+    summaries compose to the path with which each range begins, and then every range is walked on its own. So a grid may
+    span any number of tasks, one row a range is all that meets, and levels may have any depth. Rows of one place are
+    taken in the order of level and name; a null level or place counts as 0, a null name as empty, and empty names
+    aren't shown.
     """
-    if levels is None:
-        deepest = rows.agg(F.max("level")).first()[0]
-        levels = 1 if deepest is None else max(1, deepest + 1)
-    so_far = Window.partitionBy("grid").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    names = []
-    for n in range(levels):
-        last = F.max(F.when(F.col("level") == n, F.struct(order, "name"))).over(so_far)
-        closed = F.max(F.when(F.col("level") < n, F.col(order))).over(so_far)
-        names.append(F.when((F.col("level") >= n) & (closed.isNull() | (last[order] > closed)), last["name"]))
-    return rows.withColumn("path", F.array_join(F.array_compact(F.array(*names)), " / "))
+    number = ranges or max(1, -(-rows.count() // RANGE_ROWS), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    tidy = rows.select(F.struct(*rows.columns).alias("row"), F.col("grid").alias("grid"), F.coalesce(F.col(order), F.lit(0).cast(kinds[order])).alias("place"), F.coalesce(F.col("level").cast("int"), F.lit(0)).alias("level"), F.coalesce("name", F.lit("")).alias("name"))
+    salted = tidy.withColumn("at", F.struct("place", "level", "name", F.monotonically_increasing_id().alias("nth")))
+    dealt = kept(salted.repartitionByRange(number, "grid", "at").withColumn("range", F.spark_partition_id()), "tree")
+    begins = open_before(range_summaries(dealt, "at"))
+    met = dealt.join(begins, F.expr("grid <=> grid_ AND `range` = range_"), "left").drop("grid_", "range_")
+    ordered = met.repartition(number, "range").sortWithinPartitions("range", "grid", "at").select("row", "grid", "range", "level", "name", "carried")
+
+    def walk(batches):
+        grid, at, stack = None, None, []
+        for batch in batches:
+            paths = []
+            here = zip(*(batch.column(c).to_pylist() for c in ("grid", "range", "level", "name", "carried")), strict=True)
+            for g, r, level, name, carried in here:
+                if at != r or grid != g:
+                    grid, at, stack = g, r, [(x["level"], x["name"]) for x in carried or []]
+                while stack and stack[-1][0] >= level:
+                    stack.pop()
+                stack.append((level, name))
+                paths.append(" / ".join(n for _, n in stack if n))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string())], names=["row", "path"])
+
+    return ordered.mapInArrow(walk, f"row {dealt.schema['row'].dataType.simpleString()}, path string").select("row.*", "path")

@@ -281,6 +281,14 @@ def seq_opcodes(spark, sf_dir):
     return m.select("doc_id", F.explode(sequence.opcodes(text.lines(C("old")), text.lines(C("new")))).alias("e")).select("doc_id", "e.*")
 
 
+@query(f"WITH {fx.PAIR_SQL} SELECT n.doc_id, sha256(n.text) AS new_sha256 FROM o JOIN n ON o.key = n.key WHERE o.sha256 <> n.sha256")
+def edits_applied(spark, sf_dir):
+    """The old lines with the edits made are the new text."""
+    m = modified(spark, sf_dir).select("doc_id", F.split("old", "\n").alias("a"), F.split("new", "\n").alias("b"))
+    made = m.withColumn("e", sequence.opcodes(C("a"), C("b"))).select("doc_id", sequence.applied(C("a"), C("b"), C("e")).alias("made"))
+    return made.select("doc_id", F.sha2(F.array_join("made", "\n"), 256).alias("new_sha256"))
+
+
 def pages_of(column):
     return F.transform(text.lines(column), lambda x, i: F.struct((i + 1).alias("page"), x.alias("text"), F.sha2(x, 256).alias("text_sha256"), F.lit(None).cast("string").alias("visual_sha256")))
 
@@ -510,7 +518,7 @@ THEN arg_max(name, pos) FILTER (WHERE level = {n}) OVER w END""" for n in range(
 def tree_paths(spark, sf_dir):
     d = fx.table(spark, sf_dir, "documents")
     rows = d.select(C("source").alias("grid"), C("doc_id").alias("pos"), (C("doc_id") * 7 % 4).cast("int").alias("level"), F.concat("lang", C("doc_id").cast("string")).alias("name"))
-    return snapshot.flatten_tree(rows, levels=4).select("grid", "pos", "path")
+    return snapshot.flatten_tree(rows).select("grid", "pos", "path")
 
 
 @query(f"""WITH {fx.PAIR_SQL}, r AS (SELECT DISTINCT split_part(section, ' / ', 1) AS source FROM n),
