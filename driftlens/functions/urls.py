@@ -113,11 +113,14 @@ def canonical(base: Column, link: Column) -> Column:
     )
 
 
+# Where a content disposition tells a file name.
+FILE_NAME = r"filename\*?=(?:UTF-8''|\")?([^\";]+)"
+
+
 def disposition_name(disposition: Column) -> Column:
-    """File name of a content disposition (RFC 6266): the extended form, else the quoted one, else a token."""
+    """The first file name in a content disposition, plain or extended, up to a quote or semicolon; a UTF-8 mark before it is left out."""
     said = F.coalesce(disposition, F.lit(""))
-    forms = [r"(?i)filename\*\s*=\s*[\w!#$%&+^`{}~-]*'[\w-]*'([^;\s]+)", r'(?i)filename\s*=\s*"((?:[^"\\]|\\.)*)"', r'(?i)filename\s*=\s*([^\s;"]+)']
-    return F.coalesce(*[F.nullif(F.regexp_extract(said, p, 1), F.lit("")) for p in forms], F.lit(""))
+    return F.trim(F.regexp_extract(said, f"(?i){FILE_NAME}", 1))
 
 
 def infer_suffix(url: Column, content_type: Column, disposition: Column) -> Column:

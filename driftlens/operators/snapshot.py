@@ -6,16 +6,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import urls
 from ..sources.tables import kept
-from .dedup import prefer_section
+from . import assembly
+from .dedup import pick, prefer_section
 from .sequence import page_pairs
 
 ROW = ["identity", "url", "title", "section", "sha256"]
 
 
-def extra_documents(found: DataFrame, extra: DataFrame, section: str = "Additional documents") -> DataFrame:
-    """Adds documents whose canonical URL isn't known yet, under a default section."""
-    own = extra.withColumn("section", F.coalesce("section", F.lit(section)))
+def extra_documents(found: DataFrame, extra: DataFrame, section: str = assembly.EXTRA_SECTION, base: str = "") -> DataFrame:
+    """Adds documents whose canonical URL isn't known yet, the first of a URL, under a default section."""
+    own = extra.withColumn("url", urls.canonical(F.lit(base), F.col("url"))).withColumn("section", F.coalesce("section", F.lit(section)))
+    order = [F.col("pos")] if "pos" in own.columns else []
+    own = pick(own, ["url"], *order, F.md5(F.to_json(F.struct(*own.columns))))
     return found.unionByName(own.join(found.select("url"), "url", "left_anti"), allowMissingColumns=True)
 
 
@@ -28,34 +32,37 @@ def dynamic_documents(rules: DataFrame, found_links: DataFrame) -> tuple[DataFra
 
     ``found_links`` has source_url, url, host, path. Identity is ``dynamic:<title>``.
     """
-    hit = found_links.join(rules, "source_url").filter(
-        (F.col("host") == F.lower("match_host")) & (F.col("match_path").isNull() | F.contains(F.lower("path"), F.lower("match_path")))
-    )
-    n = rules.join(hit.groupBy("title").agg(F.count_distinct("url").alias("n"), F.min("url").alias("url")), "title", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    resolved = n.filter("n = 1").select(F.concat(F.lit("dynamic:"), "title").alias("identity"), "url", "title")
-    errors = n.filter("n <> 1").select("title", F.col("source_url").alias("url"), F.concat(F.lit("expected one matching link, found "), F.col("n").cast("string")).alias("error"))
-    return resolved, errors
+    found, errors = assembly.resolved(rules, found_links)
+    return found.select("identity", "url", "title"), errors.select("title", "url", "error", "identity")
 
 
 def previous(rows: DataFrame, before: DataFrame) -> DataFrame:
-    """Adds prev_url, prev_title, prev_sha256: the earlier row by identity, else by URL."""
-    by_identity = before.filter("identity IS NOT NULL").select(F.col("identity").alias("i"), *[F.col(c).alias(f"i_{c}") for c in ROW[1:]])
-    by_url = before.select(F.col("url").alias("u"), *[F.col(c).alias(f"u_{c}") for c in ROW[1:]])
-    both = rows.join(by_identity, F.col("identity") == F.col("i"), "left").join(by_url, F.col("url") == F.col("u"), "left")
-    hit = F.col("i").isNotNull()
-    return both.select(*rows.columns, *[F.when(hit, F.col(f"i_{c}")).otherwise(F.col(f"u_{c}")).alias(f"prev_{c}") for c in ROW[1:]])
+    """Adds prev_url, prev_title, prev_section, prev_sha256: the earlier row by identity, else by URL, the last of several."""
+    both = assembly.earlier(rows, before, ROW)
+    return both.select(*rows.columns, *[F.col(f"prev.{c}").alias(f"prev_{c}") for c in ROW[1:]])
 
 
 def carry_forward(fetched: DataFrame, errors: DataFrame, before: DataFrame) -> DataFrame:
-    """Fetched rows, and for documents that failed their earlier row, if there is one; ``carried`` tells which."""
-    failed = errors.select("url").distinct()
-    kept = before.join(failed, "url", "left_semi").join(fetched.select("url"), "url", "left_anti")
-    return fetched.withColumn("carried", F.lit(False)).unionByName(kept.select(*fetched.columns).withColumn("carried", F.lit(True)))
+    """Fetched rows, and for documents that failed their earlier row, if there is one; ``carried`` tells which.
+
+    A failed document is known by its URL or, if ``errors`` has one, its identity; an earlier row is carried once.
+    """
+    kept_rows = fetched.withColumn("carried", F.lit(False))
+    known = assembly.with_column(before, "identity")
+    named = assembly.with_column(errors, "identity").select("identity", "url").distinct()
+    asked = F.explode(F.array(F.concat(F.lit("i:"), "identity"), F.concat(F.lit("u:"), "url"))).alias("lookup")
+    failed = named.select(asked).filter("lookup IS NOT NULL").distinct()
+    rows = known.select(F.struct(*known.columns).alias("row"), F.monotonically_increasing_id().alias("rid"))
+    rows = rows.select("row", "rid", F.explode(F.array(F.concat(F.lit("i:"), "row.identity"), F.concat(F.lit("u:"), "row.url"))).alias("lookup")).join(failed, "lookup", "left_semi")
+    once = rows.groupBy("rid").agg(F.first("row").alias("row")).select("row.*")
+    return kept_rows.unionByName(once.join(fetched.select("url"), "url", "left_anti").select(*fetched.columns).withColumn("carried", F.lit(True)))
 
 
 def split_reuse(rows: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(reused, to analyse): an analysis is reused where the key's digest is unchanged and an analysis exists."""
-    prev = before.select(F.col("key").alias("k"), F.col("sha256").alias("s"), F.col("analysis").alias("reused"))
+    """(reused, to analyse): an analysis is reused where the key's digest is unchanged and an analysis exists; the key's last earlier row counts."""
+    held = assembly.with_column(before, "pos", "bigint").select("key", "sha256", "analysis", F.coalesce("pos", F.lit(0)).alias("pos"))
+    last = pick(held, ["key"], -F.col("pos"), F.col("sha256"))
+    prev = last.select(F.col("key").alias("k"), F.col("sha256").alias("s"), F.col("analysis").alias("reused"))
     both = rows.join(prev, (F.col("key") == F.col("k")) & F.col("sha256").eqNullSafe(F.col("s")) & F.col("reused").isNotNull(), "left")
     return both.filter("k IS NOT NULL").select(*rows.columns, F.col("reused").alias("analysis")), both.filter("k IS NULL").select(*rows.columns)
 

@@ -604,9 +604,16 @@ def page_previews(spark, sf_dir):
     return snapshot.preview_pairs(rows, "key", C("a"), C("b"), paths.filter(~C("path").rlike("/[0-9]*[369]$")))
 
 
+def registered() -> None:
+    """Adds the queries of the other modules."""
+    from . import flows  # noqa: F401  it takes the decorator from here
+
+
 def queries() -> dict:
+    registered()
     return dict(MADE)
 
 
 def oracle_sql() -> dict[str, str]:
+    registered()
     return dict(SQL)
