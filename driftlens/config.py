@@ -121,6 +121,14 @@ class Config:
         rows = [(r.name, r.recipients, r.sections, r.titles, r.extensions, r.include_page_text) for r in self.routes]
         return spark.createDataFrame(rows, ROUTE)
 
+    def extra_rows(self, spark: SparkSession) -> DataFrame | None:
+        rows = [(x["url"], x["title"], x.get("section"), i) for i, x in enumerate(self.extra_documents)]
+        return spark.createDataFrame(rows, "url string, title string, section string, pos bigint") if rows else None
+
+    def rule_rows(self, spark: SparkSession) -> DataFrame | None:
+        rows = [(x["title"], x["source_url"], x["match_host"], x.get("match_path"), x.get("section")) for x in self.dynamic_documents]
+        return spark.createDataFrame(rows, "title string, source_url string, match_host string, match_path string, section string") if rows else None
+
     def save(self, spark: SparkSession, path: str) -> None:
         write_json(spark, path, self.validate().as_dict())
 

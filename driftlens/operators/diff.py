@@ -1,9 +1,9 @@
 """Differences of two snapshots: documents, links, folders, cells and records, as a long table of changes.
 
-One full outer join on the key, written as a narrow table, gives added,
-removed, modified, renamed and relinked rows: each snapshot is read once.
-Categories aren't exclusive, so a row that both snapshots have becomes a row
-for each category by an exploded array. Moves pair removed with added rows of
+One full outer join on the key gives added, removed, modified, renamed and
+relinked rows. Categories aren't exclusive, so a row becomes a row for each
+category by an exploded array; a filter on the category then leaves the branch
+that has it. Nothing is written or run before the result is asked for. Moves pair removed with added rows of
 equal digest by rank within the digest: both sides are ranked in one pass and
 met by (digest, rank). A digest that very many rows share (empty files) is the
 one place where a key can be hot: ranks are taken with a prefix count over key
@@ -16,9 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import Exclusions, is_excluded
-from ..sources.tables import kept
 from .dedup import last_wins
-from .sequence import cell_text
+from .sequence import analysis_details, cell_text, word_details
 
 DOCUMENT = ["url", "title", "section", "sha256"]
 
@@ -57,26 +56,35 @@ def documents(old: DataFrame, new: DataFrame, repackaged: Column | None = None,
     differs = ~F.col("old_sha256").eqNullSafe(F.col("new_sha256"))
     if repackaged is not None:
         differs &= ~repackaged
-    narrow = [f"{p}_{c}" for p in ("old", "new") for c in DOCUMENT]
-    both = kept(named[0].join(named[1], "key", "full_outer").select("key", "in_old", "in_new", *narrow, F.coalesce(differs, F.lit(False)).alias("differs")), "documents")
-    # Rows of one side only: ranked on both sides at once, then met by digest and rank.
-    side = F.when(F.col("in_old").isNull(), "new").otherwise("old")
-    alone = both.filter("in_old IS NULL OR in_new IS NULL").select("key", side.alias("side"), *[F.coalesce(f"old_{c}", f"new_{c}").alias(c) for c in DOCUMENT])
-    of = lambda p, c, name: F.max(F.when(F.col("side") == p, F.col(c))).alias(name)
-    met = _ranked(alone, ["side", "sha256"], "key").groupBy("sha256", "rank").agg(
-        *[of(p, c, f"{p}_{c}") for p in ("old", "new") for c in ("key", "title", "url", "section")]
-    )
-    kind = F.when(F.col("old_key").isNull(), "documents_added").when(F.col("new_key").isNull(), "documents_removed").otherwise("documents_moved")
-    section = F.when(F.col("new_key").isNotNull(), F.col("new_section")).otherwise(F.col("old_section"))
-    lone = met.select(kind.alias("category"), F.coalesce("new_key", "old_key").alias("key"), "old_key", "old_title", "new_title", "old_url", "new_url", section.alias("section"))
+    tests = {"documents_modified": differs, "documents_renamed": ~F.col("old_title").eqNullSafe(F.col("new_title")), "documents_relinked": ~F.col("old_url").eqNullSafe(F.col("new_url"))}
+    stays = F.array_compact(F.array(*[F.when(t, F.lit(c)) for c, t in tests.items()]))
+    lost, came = F.array(F.lit("documents_removed")), F.array(F.lit("documents_added"))
+    category = F.when(F.col("in_new").isNull(), lost).when(F.col("in_old").isNull(), came).otherwise(stays)
+    # The categories come from one join; both branches below read the same exchanges of it.
+    both = named[0].join(named[1], "key", "full_outer").withColumn("category", F.explode(category))
+    lone = moves(both.filter(F.col("category").isin("documents_removed", "documents_added")))
     if mute_added:
         lone = lone.filter("category <> 'documents_added'")
-    tests = {"documents_modified": F.col("differs"), "documents_renamed": ~F.col("old_title").eqNullSafe(F.col("new_title")), "documents_relinked": ~F.col("old_url").eqNullSafe(F.col("new_url"))}
-    cats = F.array_compact(F.array(*[F.when(t, F.lit(c)) for c, t in tests.items()]))
-    stayed = both.filter("in_old AND in_new").withColumn("category", F.explode(cats))
+    stayed = both.filter(F.col("category").isin(*tests))
     return lone.unionByName(stayed.select("category", "key", F.col("key").alias("old_key"), "old_title", "new_title", "old_url", "new_url", F.col("new_section").alias("section")))
 
 
+def moves(lone: DataFrame) -> DataFrame:
+    """Pairs removed with added rows (category, key, old_ and new_ values) of equal digest; each row is in one pair at most.
+
+    Both sides are ranked at once within their digest, then met by digest and rank.
+    """
+    side = F.when(F.col("category") == "documents_added", "new").otherwise("old")
+    alone = lone.select("key", side.alias("side"), *[F.coalesce(f"old_{c}", f"new_{c}").alias(c) for c in DOCUMENT])
+    of = lambda p, c, name: F.max(F.when(F.col("side") == p, F.col(c))).alias(name)
+    met = _ranked(alone, ["side", "sha256"], "key").groupBy("sha256", "rank").agg(
+        *[of(p, c, f"{p}_{c}") for p in ("old", "new") for c in ("key", "title", "url", "section")], *[F.count(F.when(F.col("side") == p, 1)).alias(f"{p}_n") for p in ("old", "new")]
+    )
+    kind = F.when(F.col("old_n") == 0, "documents_added").when(F.col("new_n") == 0, "documents_removed").otherwise("documents_moved")
+    section = F.when(F.col("new_n") > 0, F.col("new_section")).otherwise(F.col("old_section"))
+    return met.select(kind.alias("category"), F.coalesce("new_key", "old_key").alias("key"), "old_key", "old_title", "new_title", "old_url", "new_url", section.alias("section"))
+
+
 def keyed(old: DataFrame, new: DataFrame, keys: list[str], values: list[str], names: tuple[str | None, str | None, str | None], pos: str = "pos") -> DataFrame:
     """Full outer difference on keys (last row wins): category, keys, old_ and new_ values. A name of None leaves a category out."""
     sides = [last_wins(d.select(*keys, *values, pos), keys, pos).drop(pos) for d in (old, new)]
@@ -134,6 +142,26 @@ def snapshots(old: dict[str, DataFrame], new: dict[str, DataFrame], old_version:
     return out.withColumn("url", F.coalesce("new_url", "old_url")).withColumn("title", F.coalesce("new_title", "old_title"))
 
 
+def details(found: DataFrame, old: dict[str, DataFrame], new: dict[str, DataFrame]) -> DataFrame:
+    """key, place, detail: what changed inside modified documents, and under an empty key in the page's text by words.
+
+    Documents have details if both sides carry analyses (kind, units, reason); only modified ones are aligned.
+    """
+    out = found.sparkSession.createDataFrame([], "key string, place int, detail string")
+    sides = [t["documents"] for t in (old, new) if "documents" in t and "analysis" in t["documents"].columns and t["documents"].schema["analysis"].dataType.typeName() == "struct"]
+    if len(sides) == 2:
+        modified = found.filter("category = 'documents_modified'").select("key").distinct()
+        a, b = (last_wins(d.select("key", "analysis", "pos"), ["key"]).select("key", F.col("analysis").alias(n)) for d, n in zip(sides, ("a", "b"), strict=True))
+        met = modified.join(a, "key").join(b, "key")
+        out = out.unionByName(met.select("key", F.posexplode(analysis_details(F.col("a"), F.col("b"))).alias("place", "detail")))
+    if "page" in old and "page" in new:
+        text = lambda t: t["page"].agg(F.min("page_text").alias("t"))
+        page = found.filter("category = 'page_text_changed'").select("category").distinct()
+        both = page.select(text(old).scalar().alias("a"), text(new).scalar().alias("b"))
+        out = out.unionByName(both.select(F.lit("").alias("key"), F.posexplode(word_details(F.col("a"), F.col("b"))).alias("place", "detail")))
+    return out
+
+
 def folders(old: DataFrame, new: DataFrame, both_have_them: bool = True) -> DataFrame:
     out = keyed(old, new, ["path"], ["title"], ("folders_added", "folders_removed", None))
     return out if both_have_them else out.limit(0)

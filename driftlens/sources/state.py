@@ -92,19 +92,43 @@ class Store:
 
 
 class Lock:
-    """One writer at a time; a lock older than ``stale`` seconds is taken over."""
+    """One writer at a time; a lock older than ``stale`` seconds is taken over.
+
+    A stale file is first renamed to a name of the taker's own. Of two takers one renames and the other finds it gone,
+    so neither deletes the lock that the other has just made. On release only the own lock, told by its token, goes.
+    """
 
     def __init__(self, spark: SparkSession, path: str, stale: float = 6 * 3600):
-        self.spark, self.path, self.stale = spark, path, stale
+        self.spark, self.path, self.stale, self.token = spark, path, stale, uuid.uuid4().hex
 
     def __enter__(self):
         p, fs = _fs(self.spark, self.path)
         if fs.exists(p) and time.time() - fs.getFileStatus(p).getModificationTime() / 1000 > self.stale:
-            fs.delete(p, False)
-        if not fs.createNewFile(p):
-            raise RuntimeError(f"another run holds {self.path}")
+            own, _ = _fs(self.spark, f"{self.path}.{self.token}.stale")
+            try:
+                fs.rename(p, own)
+            except Exception:  # another run has taken it
+                pass
+            fs.delete(own, False)
+        try:
+            out = fs.create(p, False)
+        except Exception as e:
+            raise RuntimeError(f"another run holds {self.path}") from e
+        out.write(bytearray(self.token.encode()))
+        out.close()
         return self
 
-    def __exit__(self, *_):
+    def holder(self) -> str | None:
+        """The token in the lock file."""
         p, fs = _fs(self.spark, self.path)
-        fs.delete(p, False)
+        if not fs.exists(p):
+            return None
+        stream = fs.open(p)
+        try:
+            return bytes(b & 0xFF for b in self.spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(stream)).decode()
+        finally:
+            stream.close()
+
+    def __exit__(self, *_):
+        if self.holder() == self.token:
+            delete(self.spark, self.path)

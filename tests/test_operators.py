@@ -276,7 +276,7 @@ def test_trees_and_reports_are_whole(spark):
 
 
 def test_exclusions_filters_and_config_in_runs(spark, tmp_path):
-    """What is excluded or filtered since the baseline is no removal; the log is trimmed with its reports."""
+    """What is excluded since the baseline is no removal, what is filtered only if filters hold for the baseline; the log is trimmed with its reports."""
     from driftlens.config import Config, Route
     from driftlens.functions.predicates import Exclusions
 
@@ -294,7 +294,10 @@ def test_exclusions_filters_and_config_in_runs(spark, tmp_path):
     assert m.run(flaky, "r0") == "initialised" and len(calls) == 3  # retried
     fewer = docs(spark, ("a", None, "A", "1"))
     c.set_filter("titles", ["a"])
-    assert Monitor.of(spark, m.root, c).changes(fewer).count() == 0
+    narrow = Monitor.of(spark, m.root, c)
+    assert kinds(narrow.changes(fewer)) == [("documents_removed", "b", "b")]
+    narrow.filter_baseline = True
+    assert narrow.changes(fewer).count() == 0
     c.clear_filters()
     assert kinds(m.changes(fewer)) == [("documents_removed", "b", "b")]
     section = fewer.first()["section"]
