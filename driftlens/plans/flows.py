@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..operators import assembly
+from ..sources.digests import digests
 from ..sources.tables import folder
 from ..streaming import keyed
 from . import fixtures as fx
@@ -82,3 +83,16 @@ def suffix_by_disposition(spark, sf_dir):
     """The first file name counts, with blanks, in either form."""
     d = fx.table(spark, sf_dir, "documents").select("doc_id", F.expr(GIVEN.replace("''''", "\\'\\'")).alias("said"))
     return d.select("doc_id", urls.infer_suffix(F.lit("https://docs.example.test/get.php"), F.lit(None).cast("string"), C("said")).alias("suffix"), F.length("said").cast("long").alias("size"))
+
+
+@query("""WITH g AS (SELECT CAST(doc_id // 64 AS VARCHAR) AS folder, string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) || chr(10) AS content FROM documents WHERE doc_id // 64 % 5 <> 3 GROUP BY 1)
+SELECT 'group=' || folder AS folder, strlen(content) AS size, sha256(content) AS sha256 FROM g""")
+def file_digests(spark, sf_dir):
+    """The texts as files of 64 each in folders; every fifth folder is excluded, and so never opened."""
+    d = fx.table(spark, sf_dir, "documents").select(F.expr("doc_id div 64").alias("group"), "doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    where = scratch(spark, "files")
+    # Groups are dealt whole, one file each; a range of ids is a task's.
+    d.repartition("group").sortWithinPartitions("group", "doc_id").select("group", "value").write.partitionBy("group").text(where)
+    groups = fx.table(spark, sf_dir, "documents").agg(F.max(F.expr("doc_id div 64")).alias("last")).first()["last"] or 0
+    out = [f"group={g}/" for g in range(3, groups + 1, 5)]
+    return digests(spark, where, out).select("folder", "size", "sha256")
