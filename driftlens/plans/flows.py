@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..operators import assembly
+from ..operators import assembly, diff
+from ..sources import buckets
 from ..sources.digests import digests
 from ..sources.tables import folder
 from ..streaming import keyed
@@ -75,6 +76,15 @@ def snapshot_assembled(spark, sf_dir):
     return made.documents.select("url", "title", "sha256", "carried", "reused")
 
 
+@query(f"WITH {fx.CHANGES_SQL} SELECT category, key, old_key, old_title, new_title, old_url, new_url FROM changes")
+def snapshot_diff_bucketed(spark, sf_dir):
+    """The old snapshot as a baseline in buckets of its key; only the new one is shuffled to meet it."""
+    o, n = pair(spark, sf_dir)
+    where = scratch(spark, "baseline")
+    buckets.write(buckets.baseline(o.drop("text")), where)
+    return diff.documents(buckets.read(spark, where), n).select("category", "key", "old_key", "old_title", "new_title", "old_url", "new_url")
+
+
 GIVEN = "CASE doc_id % 4 WHEN 0 THEN 'attachment; filename=my file ' || doc_id || '.PDF' WHEN 1 THEN 'inline; FileName*=b%20c.csv' WHEN 2 THEN 'filename=\"a.txt\"; filename*=UTF-8''''b.pdf' ELSE 'inline' END"
 
 

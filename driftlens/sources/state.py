@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import buckets
+
 MISSING = None
 
 
@@ -61,17 +63,20 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
 
 
 class Store:
-    """Named tables of versions under a root; ``current.json`` is the commit point."""
+    """Named tables of versions under a root; ``current.json`` is the commit point.
+
+    Tables named in ``bucketed`` (with their key) hold one row a key and are dealt in buckets of it (``sources.buckets``).
+    """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, bucketed: dict[str, str] | None = None):
+        self.spark, self.root, self.bucketed = spark, root.rstrip("/"), bucketed or {}
 
     def current(self) -> str | None:
         return (read_json(self.spark, f"{self.root}/current.json", {}) or {}).get("version")
 
     def read(self, table: str, version: str | None = None) -> DataFrame | None:
         version = version or self.current()
-        return None if version is None else self.spark.read.parquet(f"{self.root}/{version}/{table}")
+        return None if version is None else buckets.read(self.spark, f"{self.root}/{version}/{table}")
 
     def tables(self) -> set[str]:
         """Names of the current version's tables."""
@@ -79,12 +84,16 @@ class Store:
         if version is None:
             return set()
         p, fs = _fs(self.spark, f"{self.root}/{version}")
-        return {x.getPath().getName() for x in fs.listStatus(p)}
+        return {x.getPath().getName() for x in fs.listStatus(p) if x.isDirectory()}
 
     def write(self, tables: dict[str, DataFrame]) -> str:
         version = f"v{time.time_ns()}-{uuid.uuid4().hex[:8]}"
         for name, df in tables.items():
-            df.write.parquet(f"{self.root}/{version}/{name}")
+            path, key = f"{self.root}/{version}/{name}", self.bucketed.get(name)
+            if key in df.columns:
+                buckets.write(buckets.baseline(df, key), path, key)
+            else:
+                df.write.parquet(path)
         return version
 
     def commit(self, version: str) -> None:

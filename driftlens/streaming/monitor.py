@@ -120,7 +120,7 @@ class Monitor:
 
     @property
     def store(self) -> Store:
-        return Store(self.spark, f"{self.root}/state")
+        return Store(self.spark, f"{self.root}/state", {"documents": "key"})
 
     @property
     def runtime_path(self) -> str:
