@@ -12,14 +12,16 @@ classes are the connected components of the links. The steps:
    1 + ln((1 + N) / (1 + df)) / ln(1 + N), scaled so that the rarest weigh 1: a
    shingle of every document weighs half as much. The scale depends on N only
    through the share df / N, so a pair's similarity doesn't drift as N grows;
-2. signatures: weighted MinHash in 128 bins. The elements are a text's shingles
-   with their occurrence numbers, so counts weigh as in the similarity; each has
-   a stream of random points in the bins at its weight as rate, and a bin keeps
-   the element of its earliest point. A bin agrees with the probability of the
-   weighted similarity; a text costs about a point a word, and a short one the
-   some 700 points that fill all bins;
-3. 25 bands of 5 bins make buckets: a pair at 0.8 shares one with probability
-   0.99995. In each bucket all members are compared with its most central text
+2. signatures: improved consistent weighted sampling. A shingle's weight W in a
+   text is its count times its inverse frequency. For each sample and shingle
+   three numbers are drawn by the shingle's hash: r and c of the gamma
+   distribution (2, 1) and b of the uniform one. The weight is quantised to
+   y = exp(r (t - b)) by t = floor(ln W / r + b), and the shingle of the smallest
+   a = c / (y exp(r)) is the sample, told as (shingle, t). Two texts agree in a
+   sample with the probability of their weighted Jaccard similarity, for any real
+   weights. Gamma variates are taken from 2**16 quantiles by bits of the hash;
+3. 16 bands of 4 samples make buckets: a pair at 0.8 shares one with probability
+   0.9998. In each bucket all members are compared with its most central text
    (the one with most bucket mates over all bands), not with each other;
 4. pairs are verified on their whole texts by exact weighted Jaccard;
    components are found by hooking and pointer jumping over written tables;
@@ -41,6 +43,7 @@ are ignored (``keep_one`` returns them); an empty table gives an empty result.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -51,20 +54,23 @@ from .kernels import SLICE_ROWS, Block, blocks, doc_of, is_space, map_texts, mix
 from .shared import drop, written
 
 U64 = np.uint64
-#: Points of a signature step that are made at a time.
-POINTS = 1 << 18
+#: Bits of a hash that choose one variate.
+VARIATE_BITS = 16
 
 
 @dataclass(frozen=True)
 class Settings:
     words: int = 5
     similarity: float = 0.8
-    bins: int = 128
-    bands: int = 25
-    rows: int = 5
+    bands: int = 16
+    rows: int = 4
     counters: int = 18  # bits of each of the two rows
     block_rows: int = 256  # members of a hot shingle or of a hot central text that meet in a salted part
 
+    @property
+    def samples(self) -> int:
+        return self.bands * self.rows
+
 
 def shingles(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys (text number in the 12 highest bits, hash below), ascending and distinct; their counts; start pointers."""
@@ -146,50 +152,53 @@ def frequencies(docs: DataFrame, text_col: str, s: Settings) -> np.ndarray:
     return inverse_frequency(total - load - 2 * np.sqrt(load), n).astype(np.float32)
 
 
-def points(elements: np.ndarray, rate: np.ndarray, first: int, number: int, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Bins and waiting times (matrices elements x number) of points first, first + 1, ... of each element's stream."""
-    nth = np.arange(first + 1, first + number + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)
-    h = mix(elements[:, None] + nth)
-    wait = -np.log(((h >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53) / rate[:, None]
-    return ((mix(h + U64(0x5851F42D4C957F2D)) >> U64(40)) * U64(s.bins) >> U64(24)).astype(np.int64), wait
+@lru_cache(maxsize=1)
+def variates() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Quantiles of r, of 1 / r and of ln c, for r and c of the gamma distribution (2, 1), and of b, uniform."""
+    share = (np.arange(1 << VARIATE_BITS) + 0.5) / (1 << VARIATE_BITS)
+    low, high = np.zeros(len(share)), np.full(len(share), 64.0)
+    for _ in range(80):  # its distribution function 1 - (1 + x) exp(-x) by bisection
+        middle = (low + high) / 2
+        below = 1 - (1 + middle) * np.exp(-middle) < share
+        low, high = np.where(below, middle, low), np.where(below, high, middle)
+    return tuple(x.astype(np.float32) for x in (low, 1 / low, np.log(low), share))
 
 
 def signature(keys: np.ndarray, counts: np.ndarray, ptr: np.ndarray, weight: np.ndarray, s: Settings) -> np.ndarray:
-    """Matrix texts x bins; rows of texts without shingles are 0.
-
-    Each (shingle, occurrence number) has a stream of points at the shingle's
-    weight as rate, each point in a random bin; a bin's sample is the element
-    of its earliest point. So two texts agree in a bin with a probability equal
-    to their weighted Jaccard similarity, whatever their counts and weights.
-    Points are made in doubling numbers for the elements whose next point can
-    still come before the latest of their text's samples.
+    """Matrix texts x samples of (shingle, t) hashes; rows of texts without shingles are 0.
+
+    All shingles of a block draw a sample at once. With x = t - b + 1, ln a is ln c - r x; of equal values the
+    shingle of the smallest hash counts.
     """
     n = len(ptr) - 1
-    out, best = np.zeros((n, s.bins), U64), np.full((n, s.bins), np.inf)
-    which = np.repeat(np.arange(len(keys)), counts)
-    nth = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
-    own = mix((keys[which] & U64((1 << 52) - 1)) + nth.astype(U64) * U64(0xD6E8FEB86659FD93))
-    doc = (keys[which] >> U64(52)).astype(np.int64)
-    rate = weights_of(keys, weight, s).astype(np.float64)[which]
-    at, made, number = np.zeros(len(which)), 0, 1
-    while len(own):
-        most = max(1, POINTS // number)
-        for k in range(0, len(own), most):
-            part = slice(k, k + most)
-            bins, wait = points(own[part], rate[part], made, number, s)
-            wait[:, 0] += at[part]
-            when = np.cumsum(wait, axis=1)
-            at[part] = when[:, -1]
-            cell = (doc[part, None] * s.bins + bins).ravel()
-            when = when.ravel()
-            sooner = np.flatnonzero(when < best.ravel()[cell])
-            sooner = sooner[np.argsort(-when[sooner], kind="stable")]  # the earliest is assigned last
-            best.ravel()[cell[sooner]] = when[sooner]
-            out.ravel()[cell[sooner]] = own[part][sooner // number]
-        going = at < best.max(1)[doc]
-        own, doc, rate, at = own[going], doc[going], rate[going], at[going]
-        made += number
-        number = made
+    out = np.zeros((n, s.samples), U64)
+    some = np.flatnonzero(np.diff(ptr) > 0)
+    if not len(some):
+        return out
+    r_of, inverse_of, log_c_of, b_of = variates()
+    own = keys & U64((1 << 52) - 1)
+    base = mix(own)
+    log_w = np.log(counts * weights_of(keys, weight, s).astype(np.float64)).astype(np.float32)
+    begin, number = ptr[some], np.diff(ptr)[some]
+    seeds = mix(np.arange(1, 2 * s.samples + 1, dtype=U64)).reshape(2, -1)
+    for k in range(s.samples):
+        drawn = ((base ^ seeds[0, k]) * (seeds[1, k] | U64(1))).view(np.uint16).reshape(-1, 4)  # the higher the lane, the better mixed
+        at = drawn[:, 3].astype(np.intp)
+        b = b_of.take(drawn[:, 1])
+        t = log_w * inverse_of.take(at)
+        t += b
+        np.floor(t, out=t)
+        x = t - b
+        x += 1
+        x *= r_of.take(at)
+        a = log_c_of.take(drawn[:, 2])
+        a -= x
+        least = np.minimum.reduceat(a, begin)
+        hits = np.flatnonzero(a == np.repeat(least, number))
+        first = np.zeros(len(some), np.intp)
+        of = np.searchsorted(begin, hits, "right") - 1
+        first[of[::-1]] = hits[::-1]
+        out[some, k] = mix(own[first] + t[first].astype(np.int64).view(U64) * U64(0xD6E8FEB86659FD93))
     return out
 
 

@@ -804,3 +804,24 @@ def test_written_shards(spark, odd, tmp_path):
     places = [(r["shard"], r["slot"]) for r in out.select("shard", "slot").collect()]
     assert sorted(places) == [(s, k) for s in range(3) for k in range(4)]  # repeated rows have a slot each
     assert set(out.columns) == {*odd.columns, "slot"}
+
+
+def test_weighted_sampling_of_real_weights():
+    """Agreement equals the weighted Jaccard similarity for real weights on both sides, also where only weights differ."""
+    rng = np.random.default_rng(21)
+    s = near_dup.Settings(bands=256, rows=16)
+    for k in range(6):
+        keys = np.sort(rng.integers(0, 1 << 52, 60).astype(np.uint64))
+        table = rng.uniform(0.5, 1, 2 << s.counters).astype(np.float32)
+        counts = [rng.integers(1, 2 + 3 * k, 60), rng.integers(1, 2 + 3 * k, 60)]
+        held = [keys[:50], keys[10 * (k % 3) :]]
+        counts = [counts[0][:50], counts[1][10 * (k % 3) :]]
+        both = np.concatenate([held[0], held[1] | np.uint64(1 << 52)])
+        ptr = np.array([0, len(held[0]), len(both)])
+        sig = near_dup.signature(both, np.concatenate(counts), ptr, table, s)
+        weights = [dict(zip(h.tolist(), (c * near_dup.weights_of(h, table, s)).tolist(), strict=True)) for h, c in zip(held, counts, strict=True)]
+        every = set(weights[0]) | set(weights[1])
+        low, high = (sum(f(weights[0].get(x, 0), weights[1].get(x, 0)) for x in every) for f in (min, max))
+        assert abs((sig[0] == sig[1]).mean() - low / high) < 4 * (0.25 / s.samples) ** 0.5
+    r, _, log_c, b = near_dup.variates()
+    assert abs(r.mean() - 2) < 1e-3 and abs(r.var() - 2) < 2e-2 and abs(b.mean() - 0.5) < 1e-6 and np.allclose(np.log(r), log_c, atol=1e-5)
