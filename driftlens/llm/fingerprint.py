@@ -1,7 +1,10 @@
 """Document fingerprints (operator 6): invertible Bloom lookup sketches, in DataFrame functions only.
 
-A text's paragraphs (pieces between line ends and sentence ends, distinct) are
-hashed to 64-bit digests. A sketch has three regions of M cells; a digest goes
+A text's paragraphs (pieces between line ends and sentence ends of any script,
+distinct) are hashed to 64-bit digests; a piece of more than ``LONG`` code points
+is cut further behind every four words (or letters, where there are hardly any
+spaces) whose hash falls on one of ``EVERY``, so texts without sentence ends have
+pieces that edits elsewhere leave alone. A sketch has three regions of M cells; a digest goes
 to one cell of each region, and a cell holds a count, the XOR of its digests
 and the XOR of their checks. Subtracting two texts' sketches leaves the
 digests in which they differ; peeling takes cells with exactly one digest and
@@ -35,8 +38,7 @@ equal rows follow each other); after the last comes the first.
 Defined results: a null text counts as empty; two texts without paragraphs have
 likeness 1; a single row is its own next; repeated rows each get a row; ids may
 have any type with an order; very long texts are read whole; extra columns of
-any name are ignored; an empty table gives no rows. Limit: a text without line
-or sentence ends is one piece.
+any name are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -50,16 +52,46 @@ from .shared import drop, written
 SPREAD, LEAST, RETRY = 4, 32, 16
 #: Equal rows above this number are one row with a number.
 COPIES = 10_000
-SPLIT = r"[.!?]+\s+|[\r\n]+"
+# Line ends, and sentence ends of scripts that put a space behind them and of those that don't.
+SPLIT = r"[.!?]+\s+|[\r\n]+|[。！？｡．؟۔।॥။።]+\s*"
+#: Code points from which on a piece is cut by its content, units (words, or letters where there are hardly any words)
+#: that decide on a cut, the units from one cut to the next in the mean, and the mean letters of words at most.
+LONG, NEAR, EVERY, WORD = 512, 4, 16, 32
+UNIT = r"(?<=\s)(?=\S)"
 #: Layout of a cell's number: what it belongs to (pair and region), the size's logarithm, the place.
 KIND, SIZE = 57, 50
 #: Kinds of rows beside cells: recovered digests, counts of the next pair's, values.
 TAKEN, COUNTED, KEPT = 6, 7, 8
 
 
+def cuts(units: Column) -> Column:
+    """Places behind which a piece (an array of its units) is cut: a hash of the last few of them decides; ascending, with both ends."""
+    here = lambda i: F.xxhash64(F.array_join(F.slice(units, i - NEAR + 1, F.lit(NEAR)), "")).bitwiseAND(F.lit(EVERY - 1)) == 0
+    found = F.when(F.size(units) > NEAR, F.filter(F.sequence(F.lit(NEAR), F.greatest(F.size(units) - 1, F.lit(NEAR))), here)).otherwise(F.array().cast("array<int>"))
+    return F.concat(F.array(F.lit(0)), found, F.array(F.size(units)))
+
+
+def bound(value: Column, of) -> Column:
+    """of(value), an array, with the value computed once: a lambda's variable is, an expression within one isn't."""
+    return F.flatten(F.transform(F.array(value), of))
+
+
+def pieces_of(piece: Column) -> Column:
+    """A long piece, cut by its content."""
+    def between(units, places):
+        spans = F.arrays_zip(F.slice(places, 1, F.size(places) - 1).alias("a"), F.slice(places, 2, F.size(places) - 1).alias("b"))
+        return F.transform(spans, lambda s: F.array_join(F.slice(units, s["a"] + 1, s["b"] - s["a"]), ""))
+
+    of = lambda units: bound(cuts(units), lambda places: between(units, places))
+    return bound(F.split(piece, UNIT), lambda words: F.when(F.size(words) * WORD >= F.length(piece), of(words)).otherwise(bound(F.split(piece, ""), of)))
+
+
 def paragraphs(text: str) -> Column:
-    """Distinct 64-bit digests of a text's paragraphs; one without line or sentence ends is a single piece."""
-    return F.array_distinct(F.transform(F.array_remove(F.split(text, SPLIT), ""), lambda x: F.xxhash64(x)))
+    """Distinct 64-bit digests of a text's paragraphs."""
+    pieces = F.array_remove(F.split(text, SPLIT), "")
+    cut = lambda own: F.flatten(F.transform(own, lambda x: F.when(F.length(x) > LONG, pieces_of(x)).otherwise(F.array(x))))
+    every = bound(pieces, lambda own: F.when(F.exists(own, lambda x: F.length(x) > LONG), cut(own)).otherwise(own))
+    return F.array_distinct(F.transform(every, lambda x: F.xxhash64(x)))
 
 
 def check(digest: Column) -> Column:

@@ -519,7 +519,19 @@ def test_sampling_estimates_similarity():
 
 
 def paragraphs(t):
-    return {x for x in re.split(r"[.!?]+\s+|[\r\n]+", t) if x}
+    out = set()
+    for x in re.split(r"[.!?]+\s+|[\r\n]+|[。！？｡．؟۔।॥။።]+\s*", t):
+        units = [x]
+        if len(x) > 512:
+            units = re.split(r"(?<=\s)(?=\S)", x, flags=re.A)
+            units = units if 32 * len(units) >= len(x) else list(x)
+        at = 0
+        for i in range(4, len(units)):
+            if xxhash.xxh64_intdigest("".join(units[i - 4 : i]).encode(), 42) % 16 == 0:
+                out.add("".join(units[at:i]))
+                at = i
+        out.add("".join(units[at:]))
+    return out - {""}
 
 
 def digests_of(t):
@@ -825,3 +837,15 @@ def test_weighted_sampling_of_real_weights():
         assert abs((sig[0] == sig[1]).mean() - low / high) < 4 * (0.25 / s.samples) ** 0.5
     r, _, log_c, b = near_dup.variates()
     assert abs(r.mean() - 2) < 1e-3 and abs(r.var() - 2) < 2e-2 and abs(b.mean() - 0.5) < 1e-6 and np.allclose(np.log(r), log_c, atol=1e-5)
+
+
+def test_texts_without_western_sentence_ends(spark):
+    """Other scripts' sentence ends and cuts by content keep what an edit leaves."""
+    rng = random.Random(23)
+    letter = lambda: chr(rng.randrange(0x4E00, 0x9000))
+    chinese = ["".join("".join(letter() for _ in range(12)) + rng.choice("。！？") for _ in range(200)) for _ in range(2)]
+    bare = ["".join(letter() for _ in range(6000)), " ".join(f"w{rng.randrange(10**6)}" for _ in range(2000))]
+    rows = list(enumerate([*chinese, *bare, "short"]))
+    got = {r["doc_id"]: r for r in fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(0.25 < got[i]["near_edited"] < 0.55 for i in range(4)) and got[4]["n_paragraphs"] == 1
+    same_fingerprints(spark, rows)
