@@ -8,6 +8,7 @@ generated inventory region, headings and anchors. No token handler keeps state.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from html.parser import HTMLParser
 
 import numpy as np
@@ -82,15 +83,20 @@ def read_page(html: str | None, root: str = "main", folder_attribute: str = "dat
     # Inventory regions: from an opening tag with the attribute to the closing tag that matches it.
     hidden, until = np.zeros(len(page), bool), 0
     for i in [k for k in np.flatnonzero(opens) if inventory_attribute in page[k][2] and names[k] not in VOID]:
-        if i >= until:
-            same = names[i:] == names[i]
-            closed = np.flatnonzero((np.cumsum(same & opens[i:]) - np.cumsum(same & closes[i:])) == 0)
-            until = i + int(closed[0]) + 1 if len(closed) else len(page)
-            hidden[i : until - 1 if len(closed) else until] = True
+        if i >= until:  # regions don't overlap, so all of them together are walked once
+            level, end = 0, len(page)
+            for k in range(i, len(page)):
+                if names[k] == names[i]:
+                    level += int(opens[k]) - int(closes[k])
+                    if not level:
+                        end = k
+                        break
+            until = end + 1
+            hidden[i:end] = True
     # Headings: a closing tag ends the last heading that was opened since the closing tag before it.
     heading = one_of(HEADINGS)
-    begins, ends = opens & heading & heard & ~hidden, closes & heading
-    section, sections = "", np.full(len(page), "", object)
+    begins, ends = opens & heading & heard & ~hidden, closes & heading & heard
+    section, places, sections = "", [], []
     began, ended = last_before(begins), last_before(ends)
     shown = data & heard & ~hidden
     changes = []
@@ -101,10 +107,12 @@ def read_page(html: str | None, root: str = "main", folder_attribute: str = "dat
             changes.append((e, said))
     for e, said in changes:
         section = said or section
-        sections[e:] = section
+        places.append(e)
+        sections.append(section)
+    section_at = lambda k: sections[at - 1] if (at := bisect_right(places, k)) else ""
     # Anchors: a closing tag ends the last one that was opened since the closing tag before it.
     anchor = names == "a"
-    begins, ends = np.array([bool(o and t[2].get("href")) for o, t in zip(opens & anchor & heard, page, strict=True)], bool), closes & anchor
+    begins, ends = np.array([bool(o and t[2].get("href")) for o, t in zip(opens & anchor & heard, page, strict=True)], bool), closes & anchor & heard
     began, ended = last_before(begins), last_before(ends)
     links = []
     for e in np.flatnonzero(ends):
@@ -112,7 +120,7 @@ def read_page(html: str | None, root: str = "main", folder_attribute: str = "dat
         if b >= 0 and (e == 0 or b > ended[e - 1]):
             own = page[b][2]
             title = " ".join(names[b:e][(data & heard)[b:e]])
-            links.append((own["href"], title, _tidy(own.get(folder_attribute) or "") or sections[b]))
+            links.append((own["href"], title, _tidy(own.get(folder_attribute) or "") or section_at(b)))
     return " ".join(names[shown]), links, folders
 
 

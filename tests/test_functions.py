@@ -219,3 +219,16 @@ def test_percent_encoding_of_whole_texts(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: (r["quoted"], r["again"]) for r in registry.queries()["percent_encoding"](spark, str(tmp_path)).collect()}
     assert got == {i: (t if t is None else quote(t, safe=""), t) for i, t in enumerate(texts)}
+
+
+def test_closing_tags_in_silent_elements_and_many_headings():
+    import time
+
+    from driftlens.sources.html import read_page
+
+    assert read_page("<main><a href=x>one<svg></a></svg>two</a></main>")[1] == [("x", "one two", "")]
+    assert read_page("<main><h2>A<script></h2></script>B</h2><a href=y>l</a></main>")[1] == [("y", "l", "A B")]
+    many = "".join(f"<h2>H{i}</h2><div data-inventory><div>no</div></div><a href=u{i}>l{i}</a>" for i in range(20_000))
+    began = time.monotonic()
+    text_, links, _ = read_page(f"<main>{many}</main>")
+    assert time.monotonic() - began < 10 and len(links) == 20_000 and links[-1] == ("u19999", "l19999", "H19999") and "no" not in text_.split()
