@@ -606,7 +606,7 @@ def page_previews(spark, sf_dir):
 
 def registered() -> None:
     """Adds the queries of the other modules."""
-    from . import flows  # noqa: F401  it takes the decorator from here
+    from . import artifacts, flows  # noqa: F401  they take the decorator from here
 
 
 def queries() -> dict:

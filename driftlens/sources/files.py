@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import re
 import zipfile
 from xml.etree import ElementTree
 
@@ -12,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from .workbooks import stream, tidy
 
 # Content types of pages.
 PAGE_TYPES = ("text/html", "application/xhtml+xml")
@@ -28,10 +28,6 @@ def files(spark: SparkSession, path: str, pattern: str = "*", most_bytes: int =
     return read.unionByName(large)
 
 
-def _tidy(s: str) -> str:
-    return " ".join(s.replace("‌", " ").split())
-
-
 def text_lines(data: bytes) -> list[str]:
     """UTF-8 (with or without mark), UTF-16 with a mark, else Windows-1252, else UTF-8 with replacements."""
     for name in ("utf-8-sig", *(["utf-16"] if data[:2] in (b"\xff\xfe", b"\xfe\xff") else []), "cp1252"):
@@ -42,7 +38,7 @@ def text_lines(data: bytes) -> list[str]:
             continue
     else:
         text = data.decode("utf-8", "replace")
-    return [x for line in text.splitlines() if (x := _tidy(line))]
+    return [x for line in text.splitlines() if (x := tidy(line))]
 
 
 def _named(tree, name: str):
@@ -52,37 +48,12 @@ def _named(tree, name: str):
 def word_paragraphs(data: bytes) -> list[str]:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         tree = ElementTree.fromstring(z.read("word/document.xml"))
-    return [x for p in _named(tree, "p") if (x := _tidy("".join(t.text or "" for t in _named(p, "t"))))]
+    return [x for p in _named(tree, "p") if (x := tidy("".join(t.text or "" for t in _named(p, "t"))))]
 
 
 def workbook_cells(data: bytes) -> list[tuple[str, str, str]]:
-    """(sheet, cell, value): a formula as ``=f``, else inline or shared strings, else the raw value; empty cells are left out."""
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        names = set(z.namelist())
-        shared = [_tidy("".join(t.text or "" for t in _named(i, "t"))) for i in _named(ElementTree.fromstring(z.read("xl/sharedStrings.xml")), "si")] if "xl/sharedStrings.xml" in names else []
-        targets = {r.get("Id"): r.get("Target", "") for r in _named(ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")), "Relationship")}
-        out = []
-        for sheet in _named(ElementTree.fromstring(z.read("xl/workbook.xml")), "sheet"):
-            link = next((v for k, v in sheet.attrib.items() if k.rpartition("}")[2] == "id"), None)
-            target = targets.get(link, "")
-            where = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
-            if where not in names:
-                continue
-            for c in _named(ElementTree.fromstring(z.read(where)), "c"):
-                one = lambda name: next(_named(c, name), None)  # noqa: B023, E731
-                formula, value, inline = one("f"), one("v"), one("is")
-                raw = (value.text or "") if value is not None else ""
-                if formula is not None and formula.text:
-                    said = f"={formula.text}"
-                elif inline is not None:
-                    said = "".join(t.text or "" for t in _named(inline, "t"))
-                elif c.get("t") == "s":
-                    said = shared[int(raw)] if re.fullmatch(r"\d+", raw) and int(raw) < len(shared) else raw
-                else:
-                    said = raw
-                if said:
-                    out.append((sheet.get("name", ""), c.get("r", ""), _tidy(said)))
-    return out
+    """(sheet, cell, value) of a workbook that fits a value; ``workbooks.cells`` makes rows of one that doesn't."""
+    return list(stream(data))
 
 
 def pdf_pages(data: bytes) -> list[str]:
@@ -90,7 +61,7 @@ def pdf_pages(data: bytes) -> list[str]:
     import fitz  # optional
 
     with fitz.open(stream=data, filetype="pdf") as doc:
-        return ["\n".join(x for line in page.get_text().splitlines() if (x := _tidy(line))) for page in doc]
+        return ["\n".join(x for line in page.get_text().splitlines() if (x := tidy(line))) for page in doc]
 
 
 def analyse(data: bytes, suffix: str) -> tuple[str, list[dict], str | None]:
