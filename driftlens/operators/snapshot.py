@@ -6,7 +6,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import urls
+from ..functions import text, urls
+from ..functions.text import WHITE
 from ..sources.tables import kept
 from . import assembly
 from .dedup import pick, prefer_section
@@ -96,6 +97,28 @@ def ancestors(sections: DataFrame, column: str = "section") -> DataFrame:
     return each.select("path", F.element_at(own, -1).alias("title"), F.size(own).alias("depth"))
 
 
+def placed(links: DataFrame, hosts: list[str], root: str = "documents") -> DataFrame:
+    """Links (url, section) of these hosts below /root/ get their section from the folders of their URL's path; others keep theirs.
+
+    A null URL keeps its section, too. ``ancestors`` of the result has the folders above.
+    """
+    parts = F.filter(F.split(urls.unquote(urls.path(F.col("url"))), "/"), lambda p: p != "")
+    ours = urls.host(F.col("url")).isin(*hosts) & (F.size(parts) >= 3) & (text.fold(F.get(parts, F.lit(0))) == root)
+    below = F.array_join(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), " / ")
+    return links.withColumn("section", F.when(ours, below).otherwise(F.col("section")))
+
+
+def valid_folders(folders: DataFrame, top: list[str], column: str = "path") -> DataFrame:
+    """Folders below one of the top categories that have no blank part; a null path isn't valid."""
+    parts = F.split(column, " / ")
+    return folders.filter(F.get(parts, F.lit(0)).isin(*top) & ~F.exists(parts, lambda p: p.rlike(rf"^({WHITE})?$")))
+
+
+def by_url(documents: DataFrame) -> DataFrame:
+    """Documents by folded URL, as given (``pos``) among equal ones; null URLs first."""
+    return documents.orderBy(text.fold(F.col("url")), "pos")
+
+
 #: Rows of a tree that one range has at most, about.
 RANGE_ROWS = 1 << 20
 STACK = "array<struct<level:int,name:string>>"

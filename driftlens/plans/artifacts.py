@@ -9,7 +9,7 @@ from xml.sax.saxutils import escape, quoteattr
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators import diff, regions
+from ..operators import diff, records, regions, snapshot
 from ..sources import workbooks
 from ..sources.tables import kept
 from . import fixtures as fx
@@ -94,3 +94,31 @@ def outlined_images(spark, sf_dir):
     both, found = _regions(spark, sf_dir)
     rows = regions.outlined(both.select("image", "y", C("old").alias("row")), found)
     return rows.select("image", "y", F.array_join(C("row").cast("array<string>"), ",").alias("pixels"))
+
+
+SIDE = """SELECT * FROM (SELECT p_partkey AS pos, p_partkey % 5 AS file, p_brand || '-' || p_size AS code, p_name AS description, {unit} AS unit, p_type AS category FROM part WHERE p_partkey % 13 <> {gone})
+  QUALIFY row_number() OVER (PARTITION BY file, code ORDER BY length(code) + length(description) + length(unit) + length(category) DESC, pos) = 1"""
+
+
+@query(f"""WITH o AS ({SIDE.format(unit="'EA'", gone=5)}), n AS ({SIDE.format(unit="CASE WHEN p_partkey % 13 = 6 THEN 'LF' ELSE 'EA' END", gone=4)}),
+c AS (SELECT CASE WHEN o.code IS NULL THEN 'added' WHEN n.code IS NULL THEN 'removed' ELSE 'updated' END AS kind, coalesce(o.file, n.file) AS file, coalesce(o.code, n.code) AS code,
+  o.description AS old_description, n.description AS new_description, o.unit AS old_unit, n.unit AS new_unit FROM o FULL OUTER JOIN n ON o.file = n.file AND o.code = n.code
+  WHERE o.code IS NULL OR n.code IS NULL OR (o.description, o.unit, o.category) IS DISTINCT FROM (n.description, n.unit, n.category))
+SELECT kind, file, code, old_description, new_description, old_unit, new_unit FROM c QUALIFY row_number() OVER (PARTITION BY kind, code ORDER BY file DESC) = 1""")
+def record_files_consolidated(spark, sf_dir):
+    """Records of five files, compared file by file; of what several files tell of a code, the last file's row stays."""
+    sides = [records.items(fx.record_lines(spark, sf_dir, s).withColumn("file", C("pos") % 5), ["file"]) for s in ("old", "new")]
+    found = records.consolidated(records.changes(*sides, ["file"]), "file")
+    return found.select("kind", "file", "code", "old_description", "new_description", "old_unit", "new_unit")
+
+
+PLACED = """CASE doc_id % 4 WHEN 0 THEN 'https://DOCS.example.test/Documents/top ' || source || '//b%20' || doc_id % 7 || '/f%2Fg' || doc_id || '.pdf?x=/y/z'
+  WHEN 1 THEN 'https://other.example.test/documents/a/b/c.pdf' WHEN 2 THEN 'https://docs.example.test/documents/f.pdf' ELSE 'https://docs.example.test/files/a/b/f.pdf' END"""
+
+
+@query("""WITH d AS (SELECT doc_id, coalesce(source, '') AS source FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'top ' || source || ' / b ' || (doc_id % 7) || ' / f' ELSE 'x / y' END AS section FROM d""")
+def sections_by_url(spark, sf_dir):
+    """Sections from the folders in URL paths; quoted slashes part folders, other hosts and roots keep what was given."""
+    d = fx.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"))
+    return snapshot.placed(d.select("doc_id", F.expr(PLACED).alias("url"), F.lit("x / y").alias("section")), ["docs.example.test"]).select("doc_id", "section")

@@ -104,3 +104,29 @@ def test_memory_is_a_rows_not_a_workbooks():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert n == 300_000 and peak < 8 << 20
+
+
+def test_records_over_files(spark):
+    from driftlens.operators import records
+
+    unit = "struct<pos:int,sheet:string,cell:string,text:string>"
+    units = lambda *lines: [(k, None, None, x) for k, x in enumerate(lines)]
+    frame = lambda rows: records.of_analyses(spark.createDataFrame(rows, f"file int, units array<{unit}>"), ["file"])
+    old = frame([(1, units("1|A|first|EA|x", "2|B|b|EA|x", "no record", None)), (2, units("1|A|second|EA|x", "2|C|c|EA|x")), (3, None)])
+    new = frame([(1, units("1|A|other|EA|x", "2|B|b|EA|x")), (2, units("1|A|another|EA|x", "7|A|an|EA|x", "2|D|d|EA|x")), (None, units("1|D|d d|EA|x"))])
+    found = records.changes(old, new, ["file"])
+    assert found.count() == 5
+    got = sorted((r["kind"], r["code"], r["file"], r["old_description"], r["new_description"]) for r in records.consolidated(found.filter("file IS NOT NULL"), "file").collect())
+    assert got == [("added", "D", 2, None, "d"), ("removed", "C", 2, "c", None), ("updated", "A", 2, "second", "another")]
+
+
+def test_folders_from_urls_and_order(spark):
+    from driftlens.operators import snapshot
+
+    rows = [("https://h/Documents/a/b%20c/f.pdf", "s", 1), ("https://h/documents/f.pdf", "s", 2), ("https://H/documents/Z/f.pdf", None, 3), ("https://i/documents/a/f.pdf", "s", 4), (None, "s", 5), ("https://h/documents/a/b c/F.pdf", "s", 0)]
+    d = spark.createDataFrame(rows, "url string, section string, pos int")
+    got = snapshot.placed(d, ["h"])
+    assert {r["pos"]: r["section"] for r in got.collect()} == {1: "a / b c", 2: "s", 3: "Z", 4: "s", 5: "s", 0: "a / b c"}
+    folders = spark.createDataFrame([("a",), ("a / b",), ("a /   / c",), ("a / ",), ("a /  / c",), ("b / a",), (None,), ("",)], "path string")
+    assert [r[0] for r in snapshot.valid_folders(folders, ["a"]).collect()] == ["a", "a / b"]
+    assert [r["pos"] for r in snapshot.by_url(d).collect()] == [5, 0, 1, 2, 3, 4]
