@@ -30,7 +30,7 @@ def confirmation_streamed(spark, sf_dir):
     source, out, check = (scratch(spark, s) for s in ("feed", "outcomes", "checkpoint"))
     listings = [o, n, second]
     for k, listing in enumerate(listings):
-        keyed.feed(listing, listings[max(0, k - 2) : k], k).coalesce(1).write.mode("append").parquet(source)
+        keyed.feed(listing, listings[max(0, k - 2) : k], k).write.mode("append").parquet(source)
         rows = spark.readStream.schema(keyed.FEED).parquet(source)
         keyed.wait_for(keyed.started(keyed.documents(rows, 0), out, check))  # a restart for each snapshot
     told = spark.read.schema(keyed.CHANGE).parquet(out).filter(C("outcome") == keyed.CONFIRMED)

@@ -70,3 +70,18 @@ def test_a_timer_confirms_and_hearts_beat(spark, tmp_path):
     assert [(r["outcome"], r["category"], r["key"], r["snapshot"]) for r in spark.read.parquet(out).collect()] == [("confirmed", "documents_modified", "edit", -1)]
     rows = spark.read.parquet(str(tmp_path / "beats")).collect()
     assert len(rows) >= 2 and all(r["at_ms"] - r["since_ms"] >= 1000 for r in rows) and sum(r["checks"] for r in rows) >= len(OLD)
+
+
+def test_listings_are_written_by_the_tasks_that_read_them(spark, tmp_path, monkeypatch):
+    """Not by one task that reads all documents of a snapshot."""
+    from driftlens.plans import flows
+
+    docs = spark.range(0, 110, 1, 4).selectExpr("id AS doc_id", "concat('t', id) AS text", "'en' AS lang", "'src1' AS source", "4L AS n_chars")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(flows, "scratch", lambda _, name: str(tmp_path / name))
+    monkeypatch.setattr(flows.fx, "table", lambda s, d, name: s.read.parquet(f"{d}/{name}.parquet").repartition(4, "doc_id"))
+    got = flows.confirmation_streamed(spark, str(tmp_path))
+    feed = spark.read.schema(keyed.FEED).parquet(str(tmp_path / "feed")).selectExpr("snapshot", "input_file_name() AS file").distinct().collect()
+    assert all(len({r["file"] for r in feed if r["snapshot"] == k}) > 1 for k in range(3))
+    want = diff.documents(*flows.pair(spark, str(tmp_path)))
+    assert rows_of(got) == rows_of(want.filter("category = 'documents_modified'"))
