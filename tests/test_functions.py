@@ -232,3 +232,16 @@ def test_closing_tags_in_silent_elements_and_many_headings():
     began = time.monotonic()
     text_, links, _ = read_page(f"<main>{many}</main>")
     assert time.monotonic() - began < 10 and len(links) == 20_000 and links[-1] == ("u19999", "l19999", "H19999") and "no" not in text_.split()
+
+
+def test_pages_are_parsed_in_bounded_parts():
+    import pyarrow as pa
+
+    from driftlens.sources import html
+
+    pages = [None, "", *["x" * 300_000] * 7, "y" * 3_000_000, *["z"] * 600]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(pages))), pa.array(pages, pa.string())], names=["page_id", "html"])
+    made = list(html.parts(batch, 1))
+    assert [k for p in made for k in p.column(0).to_pylist()] == list(range(len(pages)))
+    assert all(len(p) <= html.PART_ROWS and (len(p) == 1 or sum(len(t or "") for t in p.column(1).to_pylist()) <= html.PART_BYTES) for p in made)
+    assert [len(p) for p in html.parts(batch.slice(0, 0), 1)] == [0]
